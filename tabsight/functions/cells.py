@@ -160,8 +160,7 @@ def parse_number(c: Column, kind: str = "string", strict: bool = False) -> Colum
     if kind in ("integral", "decimal"):
         return c.cast("double")
     if kind == "floating":
-        value = c.cast("double")
-        return F.when(~F.isnan(value), value)
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if kind != "string":
         return F.lit(None).cast("double")
 

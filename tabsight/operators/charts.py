@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsight.config import BOOLEAN, CATEGORICAL, NUMERIC, ROW
 from tabsight.functions import cells as C
@@ -14,8 +13,8 @@ from tabsight.operators.profile import columns_of, top_ranked
 from tabsight.operators.stats import column_stats, dimension_values, numeric_exprs
 from tabsight.sources.staging import ensure_rows
 
-HISTOGRAM_SCHEMA = T.StructType.fromDDL("bin int, start double, end double, count long")
-CHART_SCHEMA = T.StructType.fromDDL(
+HISTOGRAM_SCHEMA = "bin int, start double, end double, count long"
+CHART_SCHEMA = (
     "position int, kind string, title string, columns array<string>, description string, note string"
 )
 

@@ -9,7 +9,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, NUMERIC, ROW, STRATEGIES, TEXT, Config
 from tabsight.functions import cells as C
@@ -17,7 +16,7 @@ from tabsight.operators.fills import BUCKET_ROWS, fill_columns
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, order_statistics, upper_middle
 from tabsight.sources.staging import ensure_rows
 
-CHANGE_SCHEMA = T.StructType.fromDDL(
+CHANGE_SCHEMA = (
     "row_number long, column string, operation string, before string, after string, reason string"
 )
 

@@ -6,15 +6,14 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.config import NUMERIC, ROW
+from tabsight.config import NUMERIC, ROW, field_names
 from tabsight.operators.order_stats import SMALL_GROUP, linear, long_values, order_statistics
 from tabsight.operators.profile import columns_of
 from tabsight.operators.stats import column_stats, numeric_exprs
 from tabsight.sources.staging import ensure_rows
 
-OUTLIER_SCHEMA = T.StructType.fromDDL(
+OUTLIER_SCHEMA = (
     "column string, row_number long, value double, method string, score double, "
     "lower_bound double, upper_bound double"
 )
@@ -69,4 +68,4 @@ def outliers(
         )
         flagged.append(F.when(x.isNotNull() & (beyond | far), record))
     hits = wide.select(F.col(ROW).alias("row_number"), F.explode(F.array_compact(F.array(*flagged))).alias("_hit"))
-    return hits.select("row_number", "_hit.*").select(*OUTLIER_SCHEMA.fieldNames())
+    return hits.select("row_number", "_hit.*").select(*field_names(OUTLIER_SCHEMA))

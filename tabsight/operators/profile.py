@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT
@@ -14,7 +13,7 @@ from tabsight.functions import cells as C
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, long_values, order_statistics
 from tabsight.sources.staging import data_columns, ensure_rows
 
-PROFILE_SCHEMA = T.StructType.fromDDL(
+PROFILE_SCHEMA = (
     "column string, position int, detected_type string, confidence double, non_missing_count long, "
     "missing_count long, distinct_count long, invalid_count long, sample_values array<string>, "
     "top_values array<struct<value:string,count:long>>, numeric_min double, numeric_max double, "

@@ -6,13 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.config import INFO, WARNING, Config
+from tabsight.config import INFO, WARNING, Config, field_names
 from tabsight.functions import cells as C
 from tabsight.sources.staging import data_columns
 
-ISSUE_SCHEMA = T.StructType.fromDDL(
+ISSUE_SCHEMA = (
     "severity string, code string, message string, column string, row_number long, details map<string,string>"
 )
 
@@ -164,5 +163,5 @@ def findings(
     # Rules 3-5 alternate within a column.
     group = F.when(F.col("rule_order").isin(3, 4, 5), 3).otherwise(F.col("rule_order"))
     return every.orderBy("dataset", group, "position", "rule_order").select(
-        "dataset", *[F.col(c) for c in ISSUE_SCHEMA.fieldNames()]
+        "dataset", *[F.col(c) for c in field_names(ISSUE_SCHEMA)]
     )

@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsight.config import BOOLEAN, CATEGORICAL, NUMERIC, ROW
 from tabsight.functions import cells as C
@@ -14,11 +13,11 @@ from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, floor_index, lon
 from tabsight.operators.profile import columns_of, top_ranked
 from tabsight.sources.staging import ensure_rows
 
-SUMMARY_SCHEMA = T.StructType.fromDDL(
+SUMMARY_SCHEMA = (
     "column string, count long, mean double, median double, stddev double, "
     "min double, q1 double, q3 double, max double"
 )
-CORRELATION_SCHEMA = T.StructType.fromDDL("column_a string, column_b string, correlation double, pair_count long")
+CORRELATION_SCHEMA = "column_a string, column_b string, correlation double, pair_count long"
 
 _BLOCK = 16
 
@@ -184,9 +183,7 @@ def segments(
     dims = [c for c in (columns or columns_of(types, CATEGORICAL, BOOLEAN)) if c in df.columns]
     numeric = columns_of(types, NUMERIC)
     measure = measure or (numeric[0] if numeric else None)
-    schema = T.StructType.fromDDL(
-        "dimension string, value string, row_count long, share double, numeric_aggregates map<string,double>"
-    )
+    schema = "dimension string, value string, row_count long, share double, numeric_aggregates map<string,double>"
     if not dims:
         return df.sparkSession.createDataFrame([], schema)
 

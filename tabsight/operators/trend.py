@@ -7,18 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.config import DATE, INFO, NUMERIC, ROW
+from tabsight.config import DATE, INFO, NUMERIC, ROW, field_names
 from tabsight.functions import cells as C
 from tabsight.operators.profile import columns_of
 from tabsight.operators.stats import numeric_exprs
 from tabsight.sources.staging import ensure_rows
 
-TREND_SCHEMA = T.StructType.fromDDL(
+TREND_SCHEMA = (
     "date_column string, value_column string, slope double, direction string, r_squared double, anomaly_count long"
 )
-ANOMALY_SCHEMA = T.StructType.fromDDL(
+ANOMALY_SCHEMA = (
     "date_column string, value_column string, row_number long, day_number int, "
     "predicted double, actual double, zscore double"
 )
@@ -146,7 +145,7 @@ def trend_anomalies(
         )
         hits.append(F.when(score >= zscore_threshold, record))
     exploded = wide.select(F.col(ROW).alias("row_number"), F.explode(F.array_compact(F.array(*hits))).alias("_hit"))
-    return exploded.select("row_number", "_hit.*").select(*ANOMALY_SCHEMA.fieldNames())
+    return exploded.select("row_number", "_hit.*").select(*field_names(ANOMALY_SCHEMA))
 
 
 def trends(
@@ -175,7 +174,7 @@ def trends(
         lines.join(counts, keys, "left")
         .withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0)))
         .orderBy("_order")
-        .select(*TREND_SCHEMA.fieldNames())
+        .select(*field_names(TREND_SCHEMA))
     )
 
 

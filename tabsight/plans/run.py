@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from tabsight.config import WARNING, Config
 from tabsight.functions.filters import slice_rows
@@ -24,7 +23,7 @@ from tabsight.sources.csv import SourceError, scan_csv
 from tabsight.sources.reports import write_reports, write_table
 from tabsight.sources.staging import data_columns, ensure_rows, prepare_session
 
-TIMING_SCHEMA = T.StructType.fromDDL("stage string, duration_seconds double, status string, message string")
+TIMING_SCHEMA = "stage string, duration_seconds double, status string, message string"
 
 
 @dataclass

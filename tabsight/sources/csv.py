@@ -15,22 +15,21 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.errors import AnalysisException
 
-from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config
+from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config, field_names, fields
 from tabsight.functions.cells import WHITESPACE, strip
 from tabsight.sources.staging import prepare_session
 
-AUDIT_SCHEMA = T.StructType.fromDDL(
+AUDIT_SCHEMA = (
     "path string, length long, encoding string, delimiter string, quote string, skip_initial_space boolean, "
     "header array<string>, multi_line boolean, error string"
 )
-MALFORMED_SCHEMA = T.StructType.fromDDL(
+MALFORMED_SCHEMA = (
     "dataset string, line_number long, expected_fields int, actual_fields int, raw_preview string"
 )
-INGEST_SCHEMA = T.StructType.fromDDL(
+INGEST_SCHEMA = (
     "severity string, code string, message string, line_number long, details map<string,string>"
 )
 
@@ -147,7 +146,7 @@ def audit_files(
     accepted = [r["path"] for r in files.filter(F.col("refused").isNull()).collect()]
     if not accepted:
         return files.select(
-            "path", "length", *[F.lit(None).cast(f.dataType).alias(f.name) for f in AUDIT_SCHEMA.fields[2:-1]],
+            "path", "length", *[F.lit(None).cast(t).alias(n) for n, t in fields(AUDIT_SCHEMA)[2:-1]],
             F.col("refused").alias("error"),
         )
 
@@ -374,7 +373,7 @@ def scan_csv(
             _count_fields(layout["delimiter"], layout["quote"], layout["skip_initial_space"]),
             "dataset string, line_number long, expected_fields int, actual_fields int, raw_preview string",
         )
-        malformed.append(bad.filter(F.col("actual_fields") != F.col("expected_fields")).select(*MALFORMED_SCHEMA.fieldNames()))
+        malformed.append(bad.filter(F.col("actual_fields") != F.col("expected_fields")).select(*field_names(MALFORMED_SCHEMA)))
 
     union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     cap = config.max_rows
