@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, NUMERIC, ROW, STRATEGIES, TEXT, Config
 from tabsight.functions import cells as C
 from tabsight.operators.fills import BUCKET_ROWS, fill_columns
-from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, order_statistics, upper_middle
+from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics, upper_middle
 from tabsight.sources.staging import ensure_rows
 
 CHANGE_SCHEMA = (
@@ -103,11 +103,9 @@ def replacements(
         (dates, upper_middle, lambda c: F.unix_micros(C.col(c))),
     ):
         if columns:
-            wide = standardized.select(*[to_number(c).alias(f"_c{i}") for i, c in enumerate(columns)])
-            long = wide.unpivot([], [f"_c{i}" for i in range(len(columns))], "slot", "value")
-            found = order_statistics(long, ["slot"], "value", {"v": rank}, small_group=small_group)
-            for i, c in enumerate(columns):
-                values[c] = found[(f"_c{i}",)]["v"]
+            exprs = {c: to_number(c) for c in columns}
+            found = column_order_statistics(standardized, exprs, {"v": rank}, small_group=small_group)
+            values |= {c: found[c]["v"] for c in columns}
     for c in dates:
         values[c] = F.timestamp_micros(F.lit(int(values[c])))
     values |= _modes(standardized, modes, types)

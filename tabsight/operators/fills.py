@@ -44,18 +44,21 @@ def fill_columns(
         return picked.alias(name)
 
     edges = staged.groupBy("_bucket").agg(*[edge(n) for n in names])
-    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    later = W.orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+    # "Below" is "above" in reverse order: frames that grow from their start cost one
+    # step per row, frames that shrink towards their end would restart at every row.
+    past = (W.unboundedPreceding, -1)
+    earlier = W.orderBy("_bucket").rowsBetween(*past)
+    later = W.orderBy(F.desc("_bucket")).rowsBetween(*past)
     carried = edges.select(
         "_bucket",
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in above],
-        *[F.first(n, ignorenulls=True).over(later).alias(f"_in_{n}") for n in below],
+        *[F.last(n, ignorenulls=True).over(later).alias(f"_in_{n}") for n in below],
     )
-    inside = W.partitionBy("_bucket").orderBy(ROW)
-    before = inside.rowsBetween(W.unboundedPreceding, -1)
-    onward = inside.rowsBetween(0, W.unboundedFollowing)
+    bucket = W.partitionBy("_bucket")
+    before = bucket.orderBy(ROW).rowsBetween(*past)
+    onward = bucket.orderBy(F.desc(ROW)).rowsBetween(W.unboundedPreceding, 0)
     local = {n: F.last(f"_src_{n}", ignorenulls=True).over(before) for n in above}
-    local |= {n: F.first(f"_src_{n}", ignorenulls=True).over(onward) for n in below}
+    local |= {n: F.last(f"_src_{n}", ignorenulls=True).over(onward) for n in below}
     # Both sides hash by bucket, so the join adds no shuffle of the rows.
     filled = staged.withColumns({f"_near_{n}": e for n, e in local.items()}).join(carried, "_bucket")
     return filled.select(

@@ -14,7 +14,7 @@ import math
 from dataclasses import dataclass
 from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -145,13 +145,14 @@ def _search_table(values: DataFrame, groups: list[str], value: str, searches: li
     return values.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
-def _candidates(values: DataFrame, groups: list[str], value: str, searches: list[_Search]) -> DataFrame:
-    # A handful of intervals per group; groups are columns or top values.
-    table = F.broadcast(_search_table(values, groups, value, searches))
+def _candidates(values: DataFrame, groups: list[str], value: str, table: DataFrame) -> DataFrame:
+    """The values inside the intervals of their group."""
     match = (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high"))
     for i, g in enumerate(groups):
         match = match & (F.col(g) == F.col(f"_g{i}"))
-    return values.join(table, match).select("_id", F.col(value).alias("_v"), "_low", "_high")
+    extra = [c for c in table.columns if not c.startswith("_g")]
+    # A handful of intervals per group; groups are columns or top values.
+    return values.join(F.broadcast(table), match).select(F.col(value).alias("_v"), *extra)
 
 
 def _finish(values, groups, value, searches: list[_Search], found) -> None:
@@ -160,7 +161,8 @@ def _finish(values, groups, value, searches: list[_Search], found) -> None:
         [(i, r, r - s.below + 1) for i, s in enumerate(searches) for r in s.ranks],
         "_rid int, _rank long, _at int",
     )
-    arrays = _candidates(values, groups, value, searches).groupBy("_id").agg(
+    table = _search_table(values, groups, value, searches)
+    arrays = _candidates(values, groups, value, table).groupBy("_id").agg(
         F.sort_array(F.collect_list("_v")).alias("_sorted")
     )
     picked = arrays.join(F.broadcast(ranks), F.col("_id") == F.col("_rid")).select(
@@ -173,15 +175,13 @@ def _finish(values, groups, value, searches: list[_Search], found) -> None:
 def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pass: bool) -> list[_Search]:
     """One counting pass over the bins of every interval."""
 
-    def squeeze(c):
-        # Signed logarithm: bins follow magnitude, so far outliers cost no extra passes.
-        return F.signum(c) * F.log1p(F.abs(c))
+    def place(c: Column) -> Column:
+        # Halved so that a range wider than the largest double stays finite. Signed
+        # logarithm at first: bins follow magnitude, so far outliers cost no extra passes.
+        c = c.cast("double")
+        return (F.signum(c) * F.log1p(F.abs(c)) if first_pass else c) * 0.5
 
-    v, low, high = (F.col(c).cast("double") for c in ("_v", "_low", "_high"))
-    if first_pass:
-        v, low, high = squeeze(v), squeeze(low), squeeze(high)
-    # Halved so that a range wider than the largest double stays finite.
-    share = F.try_divide(v * 0.5 - low * 0.5, high * 0.5 - low * 0.5)
+    share = F.try_divide(place(F.col("_v")) - F.col("_from"), F.col("_span"))
     # The ends get bins of their own, so every pass shrinks the interval.
     bin_ = (
         F.when(F.col("_v") == F.col("_low"), F.lit(0))
@@ -189,8 +189,10 @@ def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pas
         .when(F.isnan(share) | share.isNull(), F.lit(1))
         .otherwise(F.least(F.floor(share * bins) + 1, F.lit(bins)))
     )
+    table = _search_table(values, groups, value, searches)
+    table = table.withColumn("_from", place(F.col("_low"))).withColumn("_span", place(F.col("_high")) - F.col("_from"))
     counted = (
-        _candidates(values, groups, value, searches)
+        _candidates(values, groups, value, table)
         .groupBy("_id", bin_.cast("int").alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
@@ -216,10 +218,22 @@ def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pas
     return list(narrowed.values())
 
 
-def long_values(df: DataFrame, columns: dict[str, object]) -> DataFrame:
-    """Numeric expressions to (column, value) rows, NULLs dropped."""
-    wide = df.select(*[e.alias(f"_x{i}") for i, e in enumerate(columns.values())])
-    labels = F.array(*[F.lit(c) for c in columns])
-    long = wide.unpivot([], [f"_x{i}" for i in range(len(columns))], "_slot", "value")
-    index = F.substring("_slot", 3, 6).cast("int")
-    return long.filter(F.col("value").isNotNull()).select(F.get(labels, index).alias("column"), "value")
+def column_order_statistics(
+    df: DataFrame,
+    columns: dict[str, Column],
+    wanted: dict[str, Rank],
+    stats: Iterable | None = None,
+    small_group: int = SMALL_GROUP,
+) -> dict[str, dict[str, float]]:
+    """Order statistics of numeric expressions: ``{column: {name: value}}``.
+
+    ``stats`` may carry (column, n, low, high) records of an earlier pass.
+    """
+    slots = {c: f"_x{i}" for i, c in enumerate(columns)}
+    wide = df.select(*[e.alias(slots[c]) for c, e in columns.items()])
+    long = wide.unpivot([], list(slots.values()), "slot", "value")
+    bounds = None
+    if stats is not None:
+        bounds = [{"slot": slots[s["column"]], "n": s["n"], "low": s["low"], "high": s["high"]} for s in stats]
+    found = order_statistics(long, ["slot"], "value", wanted, bounds, small_group)
+    return {c: found[(slot,)] for c, slot in slots.items() if (slot,) in found}

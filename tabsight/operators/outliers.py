@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.config import NUMERIC, ROW, field_names
-from tabsight.operators.order_stats import SMALL_GROUP, linear, long_values, order_statistics
+from tabsight.operators.order_stats import SMALL_GROUP, column_order_statistics, linear
 from tabsight.operators.profile import columns_of
 from tabsight.operators.stats import column_stats, numeric_exprs
 from tabsight.sources.staging import ensure_rows
@@ -39,14 +39,14 @@ def outliers(
     if not stats:
         return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
 
-    values = long_values(df, {s["column"]: exprs[s["column"]] for s in stats})
     wanted = {"q1": linear(0.25), "q3": linear(0.75)}
-    quartiles = order_statistics(values, ["column"], "value", wanted, stats, small_group)
+    chosen = {s["column"]: exprs[s["column"]] for s in stats}
+    quartiles = column_order_statistics(df, chosen, wanted, stats, small_group)
 
     wide = df.select(ROW, *[exprs[s["column"]].alias(f"_x{i}") for i, s in enumerate(stats)])
     flagged = []
     for i, s in enumerate(stats):
-        q1, q3 = (quartiles[(s["column"],)][q] for q in ("q1", "q3"))
+        q1, q3 = (quartiles[s["column"]][q] for q in ("q1", "q3"))
         lower, upper = q1 - iqr_multiplier * (q3 - q1), q3 + iqr_multiplier * (q3 - q1)
         x = F.col(f"_x{i}")
         beyond = F.lit(False) if math.isnan(lower) else (x < lower) | (x > upper)

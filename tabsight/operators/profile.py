@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT
 from tabsight.functions import cells as C
-from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, long_values, order_statistics
+from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics
 from tabsight.sources.staging import data_columns, ensure_rows
 
 PROFILE_SCHEMA = (
@@ -21,6 +23,8 @@ PROFILE_SCHEMA = (
 )
 
 _SHORT_TEXT = 64
+_SAMPLES = 5
+_LIKELY_ROWS = 1_000
 
 
 def head_rows(df: DataFrame, rows: int) -> DataFrame:
@@ -61,8 +65,8 @@ def _measures(m, missing, num, ts, flag, length, with_median: bool) -> list[Colu
     return [v.alias(name) for v, name in zip(values, _FACTS)]
 
 
-def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median: bool) -> DataFrame:
-    """Counts and ranges per column.
+def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median: bool) -> list[DataFrame]:
+    """Counts and ranges per column, in a few frames of one row per column.
 
     Typed columns never meet the text parser and aggregate side by side; text
     columns are unpivoted first so that the parser is compiled once, however
@@ -71,6 +75,8 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
     groups = _by_kind(df, columns)
     text = groups.pop("string", [])
     typed = [(i, kind) for kind, slots in groups.items() for i in slots]
+    first, last = (C.iso_text(F.col(c)).alias(n) for c, n in (("ts_min", "date_min"), ("ts_max", "date_max")))
+    shown = ["*", first, last]
     parts = []
     for start in range(0, len(typed), 32):
         block = typed[start : start + 32]
@@ -86,7 +92,7 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
             aggregates += [a.alias(f"{name}_{i}") for a, name in zip(measures, _FACTS)]
             fields = [F.col(f"{name}_{i}").alias(name) for name in _FACTS]
             records.append(F.struct(F.lit(i).alias("position"), *fields))
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*records))))
+        parts.append(df.agg(*aggregates).select(F.inline(F.array(*records))).select(*shown))
     if text:
         raw = F.col("raw")
         cells = _unpivot(df, columns, text, lambda c: c.cast("string")).select(
@@ -107,8 +113,9 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
                 )
             )
             .select(_position(), *_FACTS)
+            .select(*shown)
         )
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def value_counts_by_column(df: DataFrame, columns: list[str], digest_long: bool) -> DataFrame:
@@ -146,23 +153,26 @@ def top_ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _distinct_and_top(df: DataFrame, columns: list[str], digest_long: bool) -> DataFrame:
-    counts = value_counts_by_column(df, columns, digest_long)
-    # Reads every column of the counts, so both branches share one exchange.
-    distinct = counts.groupBy("position").agg(
-        F.count("value").alias("distinct_count"), F.sum("n").alias("_cells"), F.min("first").alias("_first")
-    )
-    top = (
-        top_ranked(counts, ["position"], 5)
-        .groupBy("position")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n", "first"))).alias("top"))
-    )
-    return distinct.filter((F.col("_cells") > 0) & (F.col("_first") >= 0)).join(top, "position").select(
-        "position", "distinct_count", "top"
-    )
+def _distinct_and_top(df: DataFrame, columns: list[str], digest_long: bool) -> dict[int, dict]:
+    """Distinct counts and the five top values per column position.
 
-
-def _samples(df: DataFrame, columns: list[str], with_text: bool) -> DataFrame:
+    The counted values are kept while two small aggregates read them, so the
+    table is scanned and shuffled once.
+    """
+    counts = value_counts_by_column(df, columns, digest_long).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = {
+            r["position"]: {"distinct_count": r["n"], "top": []}
+            for r in counts.groupBy("position").agg(F.count("value").alias("n")).collect()
+        }
+        for r in top_ranked(counts, ["position"], _SAMPLES).orderBy("position", "rank").collect():
+            found[r["position"]]["top"].append(r)
+    finally:
+        counts.unpersist()
+    return found
+
+
+def _samples(df: DataFrame, columns: list[str], with_text: bool) -> dict[int, list]:
     """The first five non-missing cells per column (their row numbers alone unless ``with_text``)."""
     by_kind = C.kinds(df, columns)
 
@@ -175,45 +185,29 @@ def _samples(df: DataFrame, columns: list[str], with_text: bool) -> DataFrame:
     fields = [ROW, "raw"] if with_text else [ROW]
     present = long.filter(F.col("raw").isNotNull()).select("slot", *fields)
     order = W.partitionBy("slot").orderBy(ROW)
-    return (
-        present.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= 5)
-        .groupBy("slot")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("samples"))
-        .select(_position(), "samples")
-    )
-
-
-def type_rules(facts: DataFrame) -> DataFrame:
-    """Add detected_type, confidence and invalid_count to the per-column facts."""
-    m, u = F.col("m"), F.coalesce(F.col("distinct_count"), F.lit(0))
-
-    def ratio(c: str) -> Column:
-        return F.try_divide(F.col(c), m)
-
-    few = u <= F.greatest(F.lit(20), F.floor(m * 0.3))
-    short = (u <= F.greatest(F.lit(50), F.floor(m * 0.5))) & (F.col("avg_length") <= 40)
-    detected = (
-        F.when(m == 0, TEXT)
-        .when(ratio("n_bool") >= 0.9, BOOLEAN)
-        .when((ratio("n_num") >= 0.8) & (F.col("n_num") >= 3), NUMERIC)
-        .when((ratio("n_date") >= 0.8) & (F.col("n_date") >= 3), DATE)
-        .when(few | short, CATEGORICAL)
-        .otherwise(TEXT)
-    )
-    kind = F.col("detected_type")
-    matched = F.when(kind == BOOLEAN, F.col("n_bool")).when(kind == NUMERIC, F.col("n_num")).when(
-        kind == DATE, F.col("n_date")
-    )
-    confidence = (
-        F.when(m == 0, F.lit(0.0))
-        .when(kind == CATEGORICAL, F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1.0 - F.try_divide(u, m) + 0.5)))
-        .when(kind == TEXT, F.greatest(ratio("n_num"), ratio("n_date"), ratio("n_bool")))
-        .otherwise(F.try_divide(matched, m))
-    )
-    return facts.withColumn("detected_type", detected).select(
-        "*", confidence.alias("confidence"), F.coalesce(m - matched, F.lit(0)).alias("invalid_count")
-    )
+    first = present.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= _SAMPLES)
+    found: dict[int, list] = {}
+    for r in first.select(_position(), *fields).orderBy("position", ROW).collect():
+        found.setdefault(r["position"], []).append(r)
+    return found
+
+
+def detect_type(facts: dict) -> tuple[str, float, int]:
+    """(type, confidence, invalid cells) from the facts of one column; the first rule that fits wins."""
+    m, u = facts["m"], facts["distinct_count"]
+    if m == 0:
+        return TEXT, 0.0, 0
+    flags, numbers, dates = (facts[n] / m for n in ("n_bool", "n_num", "n_date"))
+    if flags >= 0.9:
+        return BOOLEAN, flags, m - facts["n_bool"]
+    if numbers >= 0.8 and facts["n_num"] >= 3:
+        return NUMERIC, numbers, m - facts["n_num"]
+    if dates >= 0.8 and facts["n_date"] >= 3:
+        return DATE, dates, m - facts["n_date"]
+    few = u <= max(20, int(m * 0.3))
+    if few or (u <= max(50, int(m * 0.5)) and facts["avg_length"] <= 40):
+        return CATEGORICAL, max(0.5, min(1.0, 1.0 - u / m + 0.5)), 0
+    return TEXT, max(flags, numbers, dates), 0
 
 
 def profile(
@@ -230,50 +224,62 @@ def profile(
     """
     df = ensure_rows(df)
     columns = columns or data_columns(df)
-    spark = df.sparkSession
     head = head_rows(df, sample_rows)
     bounded = 0 < sample_rows <= small_group
-
-    facts = _facts(head, columns, strict_numbers, with_median=bounded)
-    joined = facts.join(_distinct_and_top(head, columns, digest_long=not bounded), "position", "left")
-    typed = type_rules(joined).join(_samples(head, columns, with_text=bounded), "position", "left")
-    found = {
-        row["position"]: row
-        for row in typed.select(
-            "*", C.iso_text(F.col("ts_min")).alias("date_min"), C.iso_text(F.col("ts_max")).alias("date_max")
-        ).collect()
-    }
-
+    # The first rows nearly always hold five values of every column already.
+    near = head if bounded else head_rows(head, _LIKELY_ROWS)
+
+    jobs = [
+        lambda: _distinct_and_top(head, columns, digest_long=not bounded),
+        lambda: _samples(near, columns, with_text=bounded),
+        *[lambda f=f: {r["position"]: r.asDict() for r in f.collect()}
+          for f in _facts(head, columns, strict_numbers, with_median=bounded)],
+    ]
+    # Independent jobs with tiny results: run side by side, they fill each other's idle cores.
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        values, samples, *facts = list(pool.map(lambda job: job(), jobs))
+    found = {i: r for part in facts for i, r in part.items()}
+    for i, r in found.items():
+        r |= values.get(i, {"distinct_count": 0, "top": []})
+        r["samples"] = samples.get(i, [])
+        r["detected_type"], r["confidence"], r["invalid_count"] = detect_type(r)
+
+    texts, medians = {}, {}
     numeric = [i for i, r in found.items() if r["detected_type"] == NUMERIC]
     if bounded:
-        texts = {}
         medians = {i: found[i]["num_median"] for i in numeric}
     else:
+        sparse = [i for i, r in found.items() if len(r["samples"]) < min(_SAMPLES, r["m"])]
+        if sparse:
+            late = _samples(head, [columns[i] for i in sparse], with_text=False)
+            for slot, rows in late.items():
+                found[sparse[slot]]["samples"] = rows
         texts = _texts_at(head, columns, found)
-        by_kind = C.kinds(head, columns)
-        exprs = {columns[i]: C.parse_number(C.col(columns[i]), by_kind[columns[i]], strict_numbers) for i in numeric}
-        bounds = [
-            {"column": columns[i], "n": found[i]["n_num"], "low": found[i]["num_min"], "high": found[i]["num_max"]}
-            for i in numeric
-        ]
-        stats = {}
-        if numeric:
-            values = long_values(head, exprs)
-            stats = order_statistics(values, ["column"], "value", {"median": MEDIAN}, bounds, small_group)
-        medians = {i: stats[(columns[i],)]["median"] for i in numeric}
-
-    records = [
-        _record(name, i, found.get(i), medians.get(i), texts) for i, name in enumerate(columns)
+        medians = _medians(head, columns, numeric, found, strict_numbers, small_group)
+
+    records = [_record(name, i, found.get(i), medians.get(i), texts) for i, name in enumerate(columns)]
+    return df.sparkSession.createDataFrame(records, PROFILE_SCHEMA)
+
+
+def _medians(head, columns, numeric: list[int], found: dict, strict_numbers: bool, small_group: int) -> dict:
+    if not numeric:
+        return {}
+    by_kind = C.kinds(head, columns)
+    exprs = {columns[i]: C.parse_number(C.col(columns[i]), by_kind[columns[i]], strict_numbers) for i in numeric}
+    bounds = [
+        {"column": columns[i], "n": found[i]["n_num"], "low": found[i]["num_min"], "high": found[i]["num_max"]}
+        for i in numeric
     ]
-    return spark.createDataFrame(records, PROFILE_SCHEMA)
+    stats = column_order_statistics(head, exprs, {"median": MEDIAN}, bounds, small_group)
+    return {i: stats[columns[i]]["median"] for i in numeric}
 
 
 def _texts_at(head: DataFrame, columns: list[str], found: dict) -> dict:
     """Texts of the few rows that top and sample values point to."""
     wanted = set()
     for row in found.values():
-        wanted.update(t["first"] for t in row["top"] or [])
-        wanted.update(s[ROW] for s in row["samples"] or [])
+        wanted.update(t["first"] for t in row["top"])
+        wanted.update(s[ROW] for s in row["samples"])
     if not wanted:
         return {}
     by_kind = C.kinds(head, columns)
@@ -289,9 +295,9 @@ def _record(name: str, position: int, row, median, texts: dict) -> tuple:
     if row is None:
         return (name, position, TEXT, 0.0, 0, 0, 0, 0, [], [], *[None] * 7)
     top = [
-        (texts[position, t["first"]][1] if texts else t["value"], t["n"]) for t in row["top"] or []
+        (texts[position, t["first"]][1] if texts else t["value"], t["n"]) for t in row["top"]
     ]
-    samples = [texts[position, s[ROW]][0] if texts else s["raw"] for s in row["samples"] or []]
+    samples = [texts[position, s[ROW]][0] if texts else s["raw"] for s in row["samples"]]
     is_numeric = row["detected_type"] == NUMERIC
     is_date = row["detected_type"] == DATE
     numbers = [row["num_min"], row["num_max"], row["num_mean"], median, row["num_stddev"]]
@@ -302,7 +308,7 @@ def _record(name: str, position: int, row, median, texts: dict) -> tuple:
         row["confidence"],
         row["m"],
         row["missing_count"],
-        row["distinct_count"] or 0,
+        row["distinct_count"],
         row["invalid_count"],
         samples,
         top,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsight.config import BOOLEAN, CATEGORICAL, NUMERIC, ROW
 from tabsight.functions import cells as C
-from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, floor_index, long_values, order_statistics
+from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics, floor_index, order_statistics
 from tabsight.operators.profile import columns_of, top_ranked
 from tabsight.sources.staging import ensure_rows
 
@@ -78,11 +78,11 @@ def summary(
     quantiles = {}
     if stats:
         wanted = {"median": MEDIAN, "q1": floor_index(0.25), "q3": floor_index(0.75)}
-        values = long_values(df, {s["column"]: exprs[s["column"]] for s in stats})
-        quantiles = order_statistics(values, ["column"], "value", wanted, stats, small_group)
+        chosen = {s["column"]: exprs[s["column"]] for s in stats}
+        quantiles = column_order_statistics(df, chosen, wanted, stats, small_group)
     rows = []
     for s in stats:
-        q = quantiles[(s["column"],)]
+        q = quantiles[s["column"]]
         constant = s["low"] == s["high"]
         deviation = 0.0 if constant or s["sd"] is None else s["sd"]
         mean = s["low"] if constant else s["mean"]

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.errors import AnalysisException
 
 from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config, field_names, fields
-from tabsight.functions.cells import WHITESPACE, strip
+from tabsight.functions.cells import WHITESPACE, character_ranges, strip
 from tabsight.sources.staging import prepare_session
 
 AUDIT_SCHEMA = (
@@ -232,8 +232,8 @@ def column_names(header: list[str]) -> list[str]:
 
 def _blank_record(raw: Column, delimiter: str, quote: str) -> Column:
     """Whether every cell of the raw record is empty or whitespace."""
-    space = "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE)
-    free = "".join(rf"\x{{{ord(c):x}}}" for c in WHITESPACE if c != delimiter)
+    space = character_ranges(WHITESPACE)
+    free = character_ranges(WHITESPACE.replace(delimiter, ""))
     q, d = rf"\x{{{ord(quote):x}}}", rf"\x{{{ord(delimiter):x}}}"
     cell = rf"(?:[{free}]*+(?:{q}[{space}]*+{q})?[{free}]*+)"
     return raw.rlike(rf"^{cell}(?:{d}{cell})*+$")

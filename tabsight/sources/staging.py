@@ -18,6 +18,7 @@ from tabsight.functions.cells import col
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
 _MAX_SPLITS = 2_000_000
+_SPREAD_ROWS = 50_000
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -78,7 +79,20 @@ def number_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     )
     offsets = split_offsets(df.sparkSession, [(r["_path"], r["_block"], r["_first"], r["_n"]) for r in splits])
     located = placed.join(F.broadcast(offsets), ["_path", "_block"], "left")
-    return located.select(*[col(c) for c in df.columns], row_position("_mid", "_first", "_offset").alias(ROW))
+    numbered = located.select(*[col(c) for c in df.columns], row_position("_mid", "_first", "_offset").alias(ROW))
+    return _spread(numbered, len(splits), sum(r["_n"] for r in splits))
+
+
+def _spread(numbered: DataFrame, splits: int, rows: int) -> DataFrame:
+    """Deal out rows that sit in fewer splits than there are cores.
+
+    Files of a single row group would otherwise keep one core busy. Files with
+    at least one split per core, the rule at scale, are left as they are.
+    """
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    if splits >= cores or rows < _SPREAD_ROWS:
+        return numbered
+    return numbered.repartition(cores, ROW)
 
 
 def row_position(mid: str, first: str, offset: str):
