@@ -11,6 +11,7 @@ from tabsight.config import BOOLEAN, CATEGORICAL, NUMERIC, ROW
 from tabsight.functions import cells as C
 from tabsight.operators.profile import columns_of, top_ranked
 from tabsight.operators.stats import column_stats, dimension_values, numeric_exprs
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 HISTOGRAM_SCHEMA = "bin int, start double, end double, count long"
@@ -25,10 +26,10 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     expr = numeric_exprs(df, [column])[column]
     s = column_stats(df, {column: expr})[0]
     if not s["n"]:
-        return spark.createDataFrame([], HISTOGRAM_SCHEMA)
+        return local_frame(spark, [], HISTOGRAM_SCHEMA)
     low, high = s["low"], s["high"]
     if low == high:
-        return spark.createDataFrame([(0, low - 0.5, low + 0.5, s["n"])], HISTOGRAM_SCHEMA)
+        return local_frame(spark, [(0, low - 0.5, low + 0.5, s["n"])], HISTOGRAM_SCHEMA)
     bins = min(12, max(3, math.ceil(math.log2(s["n"])) + 1))
     width = (high - low) / bins
     x = F.col("x")
@@ -39,8 +40,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
         .groupBy(slot.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    frame = spark.createDataFrame(
-        [(i, low + i * width, low + i * width + width) for i in range(bins)], "bin int, start double, end double"
+    frame = local_frame(spark, [(i, low + i * width, low + i * width + width) for i in range(bins)], "bin int, start double, end double"
     )
     return frame.join(counts, "bin", "left").select("bin", "start", "end", F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -115,4 +115,4 @@ def chart_plan(
             ("scatter", f"Scatter: {a} vs {b}", [a, b], "Scatter plot for the strongest numeric correlation pair.", note)
         )
     rows = [(i, *c) for i, c in enumerate(charts[: max(0, limit)])]
-    return df.sparkSession.createDataFrame(rows, CHART_SCHEMA)
+    return local_frame(df.sparkSession, rows, CHART_SCHEMA)

@@ -16,9 +16,10 @@ from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tabsight.sources.local import local_frame
+
 SMALL_GROUP = 262_144
 BINS = 4_096
 
@@ -134,15 +135,11 @@ def order_statistics(
 
 
 def _search_table(values: DataFrame, groups: list[str], value: str, searches: list[_Search]) -> DataFrame:
-    types = {f.name: f.dataType for f in values.schema.fields}
-    fields = [T.StructField(f"_g{i}", types[g]) for i, g in enumerate(groups)]
-    fields += [
-        T.StructField("_id", T.IntegerType()),
-        T.StructField("_low", types[value]),
-        T.StructField("_high", types[value]),
-    ]
+    types = {f.name: f.dataType.simpleString() for f in values.schema.fields}
+    keys = [f"_g{i} {types[g]}" for i, g in enumerate(groups)]
+    schema = ", ".join([*keys, "_id int", f"_low {types[value]}", f"_high {types[value]}"])
     rows = [(*s.group, i, s.low, s.high) for i, s in enumerate(searches)]
-    return values.sparkSession.createDataFrame(rows, T.StructType(fields))
+    return local_frame(values.sparkSession, rows, schema)
 
 
 def _candidates(values: DataFrame, groups: list[str], value: str, table: DataFrame) -> DataFrame:
@@ -157,8 +154,7 @@ def _candidates(values: DataFrame, groups: list[str], value: str, table: DataFra
 
 def _finish(values, groups, value, searches: list[_Search], found) -> None:
     """Sort each proven-small interval in one array and read the ranks."""
-    ranks = values.sparkSession.createDataFrame(
-        [(i, r, r - s.below + 1) for i, s in enumerate(searches) for r in s.ranks],
+    ranks = local_frame(values.sparkSession, [(i, r, r - s.below + 1) for i, s in enumerate(searches) for r in s.ranks],
         "_rid int, _rank long, _at int",
     )
     table = _search_table(values, groups, value, searches)
@@ -198,8 +194,7 @@ def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pas
     )
     before = W.partitionBy("_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     running = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranks = values.sparkSession.createDataFrame(
-        [(i, r, r - s.below) for i, s in enumerate(searches) for r in s.ranks],
+    ranks = local_frame(values.sparkSession, [(i, r, r - s.below) for i, s in enumerate(searches) for r in s.ranks],
         "_rid int, _rank long, _within long",
     )
     hit = (

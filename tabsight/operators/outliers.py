@@ -11,6 +11,7 @@ from tabsight.config import NUMERIC, ROW, field_names
 from tabsight.operators.order_stats import SMALL_GROUP, column_order_statistics, linear
 from tabsight.operators.profile import columns_of
 from tabsight.operators.stats import column_stats, numeric_exprs
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 OUTLIER_SCHEMA = (
@@ -37,7 +38,7 @@ def outliers(
     exprs = numeric_exprs(df, columns or columns_of(types, NUMERIC), strict_numbers)
     stats = [s for s in column_stats(df, exprs) if s["n"] >= 4] if exprs else []
     if not stats:
-        return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
+        return local_frame(df.sparkSession, [], OUTLIER_SCHEMA)
 
     wanted = {"q1": linear(0.25), "q3": linear(0.75)}
     chosen = {s["column"]: exprs[s["column"]] for s in stats}

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT
 from tabsight.functions import cells as C
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import data_columns, ensure_rows
 
 PROFILE_SCHEMA = (
@@ -56,13 +57,15 @@ def _position() -> Column:
     return F.substring("slot", 3, 6).cast("int").alias("position")
 
 
-def _measures(m, missing, num, ts, flag, length, with_median: bool) -> list[Column]:
-    median = F.percentile(num, F.lit(0.5)) if with_median else F.lit(None).cast("double")
-    values = [
-        m, missing, F.count(flag), F.count(num), F.count(ts), F.avg(length),
-        F.min(num), F.max(num), F.avg(num), median, F.stddev_samp(num), F.min(ts), F.max(ts),
+def _measures(i="", with_median: bool = False) -> list[str]:
+    """SQL of every fact over the columns present, missing, num, ts, flag, length (with suffix ``i``)."""
+    median = f"percentile(num{i}, 0.5D)" if with_median else "CAST(NULL AS DOUBLE)"
+    measures = [
+        f"count_if(present{i})", f"count_if(NOT present{i})", f"count(flag{i})", f"count(num{i})", f"count(ts{i})",
+        f"avg(length{i})", f"min(num{i})", f"max(num{i})", f"avg(num{i})", median, f"stddev_samp(num{i})",
+        f"min(ts{i})", f"max(ts{i})",
     ]
-    return [v.alias(name) for v, name in zip(values, _FACTS)]
+    return [f"{sql} AS {name}{i}" for sql, name in zip(measures, _FACTS)]
 
 
 def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median: bool) -> list[DataFrame]:
@@ -77,44 +80,39 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
     typed = [(i, kind) for kind, slots in groups.items() for i in slots]
     first, last = (C.iso_text(F.col(c)).alias(n) for c, n in (("ts_min", "date_min"), ("ts_max", "date_max")))
     shown = ["*", first, last]
-    parts = []
+    no_time, parts = F.lit(None).cast("timestamp"), []
     for start in range(0, len(typed), 32):
         block = typed[start : start + 32]
-        aggregates, records = [], []
+        prepared, measures = [], []
         for i, kind in block:
             c = C.col(columns[i])
-            num = C.parse_number(c, kind)
-            ts = c.cast("timestamp") if kind == "temporal" else F.lit(None).cast("timestamp")
-            # The text of a typed value has at most 40 characters, all the rule asks of it.
-            measures = _measures(
-                F.count(c), F.count_if(c.isNull()), num, ts, C.parse_boolean(c, kind), F.lit(0), with_median
-            )
-            aggregates += [a.alias(f"{name}_{i}") for a, name in zip(measures, _FACTS)]
-            fields = [F.col(f"{name}_{i}").alias(name) for name in _FACTS]
-            records.append(F.struct(F.lit(i).alias("position"), *fields))
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*records))).select(*shown))
+            prepared += [
+                c.isNotNull().alias(f"present{i}"),
+                C.parse_number(c, kind).alias(f"num{i}"),
+                (c.cast("timestamp") if kind == "temporal" else no_time).alias(f"ts{i}"),
+                C.parse_boolean(c, kind).alias(f"flag{i}"),
+                # The text of a typed value has at most 40 characters, all the rule asks of it.
+                F.lit(0).alias(f"length{i}"),
+            ]
+            measures += _measures(i, with_median)
+        records = ", ".join(
+            f"struct({i} AS position, {', '.join(f'{name}{i} AS {name}' for name in _FACTS)})" for i, _ in block
+        )
+        row = df.select(*prepared).selectExpr(*measures)
+        parts.append(row.selectExpr(f"inline(array({records}))").select(*shown))
     if text:
         raw = F.col("raw")
+        missing = C.is_missing(raw)
         cells = _unpivot(df, columns, text, lambda c: c.cast("string")).select(
             "slot",
-            C.is_missing(raw).alias("missing"),
+            (~missing).alias("present"),
             C.parse_number(raw, strict=strict_numbers).alias("num"),
             C.parse_date(raw).alias("ts"),
             C.parse_boolean(raw).alias("flag"),
-            F.length(C.strip(raw)).alias("length"),
-        )
-        missing = F.col("missing")
-        length = F.when(~missing, F.col("length"))
-        parts.append(
-            cells.groupBy("slot")
-            .agg(
-                *_measures(
-                    F.count_if(~missing), F.count_if(missing), F.col("num"), F.col("ts"), F.col("flag"), length, with_median
-                )
-            )
-            .select(_position(), *_FACTS)
-            .select(*shown)
+            F.when(~missing, F.length(C.strip(raw))).alias("length"),
         )
+        facts = cells.groupBy("slot").agg(*[F.expr(m) for m in _measures(with_median=with_median)])
+        parts.append(facts.select(_position(), *_FACTS).select(*shown))
     return parts
 
 
@@ -258,7 +256,7 @@ def profile(
         medians = _medians(head, columns, numeric, found, strict_numbers, small_group)
 
     records = [_record(name, i, found.get(i), medians.get(i), texts) for i, name in enumerate(columns)]
-    return df.sparkSession.createDataFrame(records, PROFILE_SCHEMA)
+    return local_frame(df.sparkSession, records, PROFILE_SCHEMA)
 
 
 def _medians(head, columns, numeric: list[int], found: dict, strict_numbers: bool, small_group: int) -> dict:

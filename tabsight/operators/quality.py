@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsight.config import INFO, WARNING, Config, field_names
 from tabsight.functions import cells as C
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import data_columns
 
 ISSUE_SCHEMA = (
@@ -61,7 +62,7 @@ def quality(df: DataFrame, malformed: DataFrame | None = None, columns: list[str
     bad = (
         malformed.agg(F.count(F.lit(1)).alias("malformed_row_count"))
         if malformed is not None
-        else df.sparkSession.createDataFrame([(0,)], "malformed_row_count long")
+        else local_frame(df.sparkSession, [(0,)], "malformed_row_count long")
     )
     # Three one-row frames side by side.
     return (

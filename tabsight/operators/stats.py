@@ -11,6 +11,7 @@ from tabsight.config import BOOLEAN, CATEGORICAL, NUMERIC, ROW
 from tabsight.functions import cells as C
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics, floor_index, order_statistics
 from tabsight.operators.profile import columns_of, top_ranked
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 SUMMARY_SCHEMA = (
@@ -40,17 +41,13 @@ def column_stats(df: DataFrame, exprs: dict[str, Column]) -> list[dict]:
     for start in range(0, len(names), 4 * _BLOCK):
         block = names[start : start + 4 * _BLOCK]
         wide = df.select(*[exprs[c].alias(f"_x{i}") for i, c in enumerate(block)])
-        aggregates = [F.count(F.lit(1)).alias("rows")]
+        aggregates = ["count(1) AS rows"]
         for i in range(len(block)):
-            x = f"_x{i}"
             aggregates += [
-                F.count(x).alias(f"n{i}"),
-                F.avg(x).alias(f"mean{i}"),
-                F.stddev_samp(x).alias(f"sd{i}"),
-                F.min(x).alias(f"low{i}"),
-                F.max(x).alias(f"high{i}"),
+                f"count(_x{i}) AS n{i}", f"avg(_x{i}) AS mean{i}", f"stddev_samp(_x{i}) AS sd{i}",
+                f"min(_x{i}) AS low{i}", f"max(_x{i}) AS high{i}",
             ]
-        row = wide.agg(*aggregates).first()
+        row = wide.selectExpr(*aggregates).first()
         for i, c in enumerate(block):
             stats.append(
                 {
@@ -87,7 +84,7 @@ def summary(
         deviation = 0.0 if constant or s["sd"] is None else s["sd"]
         mean = s["low"] if constant else s["mean"]
         rows.append((s["column"], s["n"], mean, q["median"], deviation, s["low"], q["q1"], q["q3"], s["high"]))
-    return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
+    return local_frame(df.sparkSession, rows, SUMMARY_SCHEMA)
 
 
 def correlations(df: DataFrame, types: dict[str, str], columns: list[str] | None = None) -> DataFrame:
@@ -108,7 +105,7 @@ def correlations(df: DataFrame, types: dict[str, str], columns: list[str] | None
             rows += _pair_block(df, exprs, stats, left, right)
     position = {c: i for i, c in enumerate(exprs)}
     rows.sort(key=lambda r: (-abs(r[2]), position[r[0]], position[r[1]]))
-    return df.sparkSession.createDataFrame(rows, CORRELATION_SCHEMA)
+    return local_frame(df.sparkSession, rows, CORRELATION_SCHEMA)
 
 
 def _pair_block(df, exprs, stats, left: list[str], right: list[str]) -> list[tuple]:
@@ -124,23 +121,18 @@ def _pair_block(df, exprs, stats, left: list[str], right: list[str]) -> list[tup
     centered = df.select(*[(exprs[c] - F.lit(stats[c]["mean"])).alias(slot[c]) for c in used])
     aggregates = []
     for k, (a, b) in enumerate(pairs):
-        x, y = F.col(slot[a]), F.col(slot[b])
-        aggregates.append(F.sum(x * y).alias(f"xy{k}"))
+        x, y = slot[a], slot[b]
+        aggregates.append(f"sum({x} * {y}) AS xy{k}")
         if _gapless(stats[a]) and _gapless(stats[b]):
             continue
-        px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        aggregates += [
-            F.count(x * y).alias(f"n{k}"),
-            F.sum(px).alias(f"x{k}"),
-            F.sum(py).alias(f"y{k}"),
-            F.sum(px * px).alias(f"xx{k}"),
-            F.sum(py * py).alias(f"yy{k}"),
-            F.min(px).alias(f"xlow{k}"),
-            F.max(px).alias(f"xhigh{k}"),
-            F.min(py).alias(f"ylow{k}"),
-            F.max(py).alias(f"yhigh{k}"),
-        ]
-    row = centered.agg(*aggregates).first().asDict()
+        px, py = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+        aggregates.append(f"count({x} * {y}) AS n{k}")
+        for name, p in (("x", px), ("y", py)):
+            aggregates += [
+                f"sum({p}) AS {name}{k}", f"sum(power({p}, 2)) AS {name}{name}{k}",
+                f"min({p}) AS {name}low{k}", f"max({p}) AS {name}high{k}",
+            ]
+    row = centered.selectExpr(*aggregates).first().asDict()
     results = []
     for k, (a, b) in enumerate(pairs):
         xy = row[f"xy{k}"]
@@ -185,7 +177,7 @@ def segments(
     measure = measure or (numeric[0] if numeric else None)
     schema = "dimension string, value string, row_count long, share double, numeric_aggregates map<string,double>"
     if not dims:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
 
     number = numeric_exprs(df, [measure]).get(measure) if measure else None
     number = number if number is not None else F.lit(None).cast("double")
@@ -216,7 +208,7 @@ def segments(
             aggregates[f"mean_{measure}"] = r["mean"]
             aggregates[f"median_{measure}"] = medians[(r["slot"], r["value"])]["median"]
         rows.append((dims[r["slot"]], r["value"], r["n"], r["n"] / total, aggregates))
-    return df.sparkSession.createDataFrame(rows, schema)
+    return local_frame(df.sparkSession, rows, schema)
 
 
 def dimension_values(df: DataFrame, dims: list[str], number: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from tabsight.config import DATE, INFO, NUMERIC, ROW, field_names
 from tabsight.functions import cells as C
 from tabsight.operators.profile import columns_of
 from tabsight.operators.stats import numeric_exprs
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 TREND_SCHEMA = (
@@ -129,7 +130,7 @@ def trend_anomalies(
     df = ensure_rows(df)
     usable = [f for f in fits if f.residual_sd and not math.isnan(f.residual_sd)]
     if not usable:
-        return df.sparkSession.createDataFrame([], ANOMALY_SCHEMA)
+        return local_frame(df.sparkSession, [], ANOMALY_SCHEMA)
     wide, day, num = _wide(df, [(f.date_column, f.value_column) for f in usable])
     hits = []
     for f in usable:
@@ -165,8 +166,7 @@ def trends(
     for i, f in enumerate(fits):
         direction = "increasing" if f.slope > 0 else "decreasing" if f.slope < 0 else "flat"
         rows.append((i, f.date_column, f.value_column, f.slope, direction, f.r_squared))
-    lines = spark.createDataFrame(
-        rows, "_order int, date_column string, value_column string, slope double, direction string, r_squared double"
+    lines = local_frame(spark, rows, "_order int, date_column string, value_column string, slope double, direction string, r_squared double"
     )
     keys = ["date_column", "value_column"]
     counts = trend_anomalies(df, types, fits, zscore_threshold).groupBy(*keys).agg(F.count(F.lit(1)).alias("anomaly_count"))

@@ -20,6 +20,7 @@ from tabsight.operators.quality import findings, quality, with_dataset
 from tabsight.operators.stats import correlations, segments, summary
 from tabsight.operators.trend import anomaly_findings, fit_trends, trend_anomalies, trends
 from tabsight.sources.csv import SourceError, scan_csv
+from tabsight.sources.local import hold, local_frame
 from tabsight.sources.reports import write_reports, write_table
 from tabsight.sources.staging import data_columns, ensure_rows, prepare_session
 
@@ -97,7 +98,7 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         found = profile(rows, columns, config.sample_rows_for_inference, config.strict_numbers)
         state["types"] = result.types = column_types(found)
         counters = quality(rows, state["malformed"], columns)
-        counters = spark.createDataFrame(counters.collect(), counters.schema)
+        counters = hold(counters)
         flagged = outliers(
             rows, state["types"], config.outlier_iqr_multiplier, config.outlier_zscore_threshold,
             strict_numbers=config.strict_numbers,
@@ -105,7 +106,7 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         if config.output_directory:
             flagged = job.keep("outliers", flagged)
         totals = flagged.groupBy("column").count().withColumnRenamed("count", "outlier_count")
-        totals = spark.createDataFrame(totals.collect(), "column string, outlier_count long")
+        totals = hold(totals)
         tables |= {
             "profile": with_dataset(found, name),
             "quality": with_dataset(counters, name),
@@ -118,7 +119,7 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         cleaned = clean(state["rows"], state["types"], config)
         state["cleaned"] = tables["cleaned"] = job.keep("cleaned", cleaned.rows)
         tables["change_log"] = cleaned.change_log
-        tables["cleaning"] = spark.createDataFrame(cleaned.report.collect(), cleaned.report.schema)
+        tables["cleaning"] = hold(cleaned.report)
         state["sliced"] = slice_rows(state["cleaned"], config.slice_filters)
         if config.slice_filters:
             result.warnings.append(
@@ -141,7 +142,7 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         try:
             tables["model"] = model(rows, types, config)
         except SingularModel as exc:
-            tables["model"] = spark.createDataFrame([], MODEL_SCHEMA)
+            tables["model"] = local_frame(spark, [], MODEL_SCHEMA)
             result.warnings.append(f"No regression model: {exc}.")
 
     def chart() -> None:
@@ -185,9 +186,8 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
 def _summarize(job: _Run) -> None:
     """Run summary, written last so that it tells how the run ended."""
     result = job.result
-    result.tables["timings"] = job.spark.createDataFrame(result.timings, TIMING_SCHEMA)
-    result.tables["run_summary"] = job.spark.createDataFrame(
-        [(result.success, result.source_name, result.errors, result.warnings, dict(result.output_paths))],
+    result.tables["timings"] = local_frame(job.spark, result.timings, TIMING_SCHEMA)
+    result.tables["run_summary"] = local_frame(job.spark, [(result.success, result.source_name, result.errors, result.warnings, dict(result.output_paths))],
         "success boolean, source_name string, errors array<string>, warnings array<string>, "
         "output_paths map<string,string>",
     )

@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 
 from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config, field_names, fields
 from tabsight.functions.cells import WHITESPACE, character_ranges, strip
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import prepare_session
 
 AUDIT_SCHEMA = (
@@ -336,7 +337,7 @@ def scan_csv(
         broken = [f"CSV file '{str(path).rsplit('/', 1)[-1]}' is empty."]
     if broken or not layouts:
         raise SourceError("; ".join(broken) or f"File not found: {path}")
-    audit = spark.createDataFrame(layouts, AUDIT_SCHEMA)
+    audit = local_frame(spark, layouts, AUDIT_SCHEMA)
     if any(r["encoding"] == "cp1252" for r in layouts):
         # Spark refuses windows-1252 without this switch.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -359,7 +360,7 @@ def scan_csv(
         if ROW in names:
             raise SourceError(f"The column name {ROW!r} is reserved.")
         headers += [n for n in names if n not in headers]
-        numbered = _number(frame, kept, spark.createDataFrame(offsets[number], _OFFSET_SCHEMA))
+        numbered = _number(frame, kept, local_frame(spark, offsets[number], _OFFSET_SCHEMA))
         if config.max_rows:
             numbered = numbered.filter(F.col(ROW) < config.max_rows + FIRST_ROW)
         rows.append(numbered.select(ROW, *[F.col(f"_cells.c{i}").alias(n) for i, n in enumerate(names)]))
@@ -449,4 +450,4 @@ def _ingest_findings(spark, layouts, kept_total: int, truncated: bool, cap) -> D
         records.append((WARNING, "row_limit", f"Row limit reached at {cap:,} records. The input was truncated to keep processing bounded.", None, {}))
     if kept_total == 0:
         records.append((WARNING, "no_rows", "The CSV file contained a header row but no data rows.", None, {}))
-    return spark.createDataFrame(records, INGEST_SCHEMA)
+    return local_frame(spark, records, INGEST_SCHEMA)

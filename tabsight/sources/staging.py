@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from tabsight.config import FIRST_ROW, ROW
 from tabsight.functions.cells import col
+from tabsight.sources.local import local_frame
 
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
@@ -31,9 +32,6 @@ def prepare_session(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    # The JIT never compiles methods beyond 8,000 bytecodes: let such stages split their code instead.
-    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -111,7 +109,7 @@ def split_offsets(spark: SparkSession, splits: list[tuple]) -> DataFrame:
     for path, block, first, count in splits:
         rows.append((path, block, first, offset))
         offset += count
-    return spark.createDataFrame(rows, "_path string, _block long, _first long, _offset long")
+    return local_frame(spark, rows, "_path string, _block long, _first long, _offset long")
 
 
 def _number_sorted(df: DataFrame, order_by: list[str]) -> DataFrame:
