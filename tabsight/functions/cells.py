@@ -64,6 +64,10 @@ _PLAIN_NUMBER = r"^[\t-\r\x20]*+[+-]?\d+(?:\.\d+)?[\t-\r\x20]*+$"
 _TWO_EXPONENTS = r"(?s)[eE].*[eE]"
 _NOT_NUMBER_CHARS = r"[^0-9eE.\-+()%]+"
 _NOT_A_NUMBER = r"(?s)^(?![+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$).*$"
+_BRACKETED = r"(?s)" + _whole(r"\(.*\)")
+_PERCENT = rf"(?s)(?:^[{_WS}]*+\(.*%\)|%)[{_WS}]*+\z"
+# What surrounds the number: a pair of brackets, a percent sign inside or instead of them.
+_DECORATION = rf"(?s)^[{_WS}]*+\((.*?)%?\)[{_WS}]*+\z|%[{_WS}]*+\z"
 _STRICT_NUMBER = _whole(
     r"\(?[$€£¥]?\s*[+-]?(?:\d{1,3}(?:,\d{3})+|\d+|(?=\.))(?:\.\d*)?(?:[eE][+-]?\d+)?\s*%?\)?"
 )
@@ -182,22 +186,18 @@ def parse_number(c: Column, kind: str = "string", strict: bool = False) -> Colum
         number = F.regexp_replace(kept, _NOT_A_NUMBER, "NaN").try_cast("double")
         return F.nanvl(number, F.lit(None).cast("double"))
 
-    def kept(text: Column) -> Column:
-        return F.regexp_replace(text, _NOT_NUMBER_CHARS, "")
-
-    s = strip(c)
-    bracketed = s.startswith("(") & s.endswith(")")
-    inner = F.when(bracketed, s.substr(F.lit(2), F.length(s) - 2)).otherwise(s)
-    value = read(kept(F.regexp_replace(inner, r"%\z", "")))
-    value = F.when(bracketed, -value).otherwise(value)
-    decorated = F.when(inner.endswith("%"), value / F.lit(100.0)).otherwise(value)
+    # Few references to the cell: a predicate on the result inlines all of them.
+    core = F.regexp_replace(c, _DECORATION, "$1")
+    sign = F.when(c.rlike(_BRACKETED), F.lit(-1.0)).otherwise(F.lit(1.0))
+    scale = F.when(c.rlike(_PERCENT), F.lit(100.0)).otherwise(F.lit(1.0))
+    decorated = read(F.regexp_replace(core, _NOT_NUMBER_CHARS, "")) * sign / scale
     # Every missing token lacks a digit; two exponent letters can never form a number.
     number = (
         F.when(~c.rlike("[0-9]"), None)
         .when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
         .when(c.rlike(_TWO_EXPONENTS), None)
         .when(c.rlike("[()%]"), decorated)
-        .otherwise(read(kept(c)))
+        .otherwise(read(F.regexp_replace(c, _NOT_NUMBER_CHARS, "")))
     )
     return F.when(c.rlike(_STRICT_NUMBER), number) if strict else number
 
