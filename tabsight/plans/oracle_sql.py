@@ -37,7 +37,7 @@ def _profile(table: str, columns: list[tuple[str, str, str]], source: str | None
             dates = f"{iso.format(f'min({expr})')} AS date_min, {iso.format(f'max({expr})')} AS date_max"
         else:
             dates = "CAST(NULL AS VARCHAR) AS date_min, CAST(NULL AS VARCHAR) AS date_max"
-        folded = f"lower({name})" if kind in ("categorical", "text") else name
+        folded = rf"lower(trim(regexp_replace({name}, '\s+', ' ', 'g')))" if kind in ("categorical", "text") else name
         m, u = f"count({name})", f"count(DISTINCT {folded})"
         if kind == "categorical":
             confidence = f"greatest(0.5, least(1.0, 1.5 - {u} / {m}::DOUBLE))"
@@ -89,6 +89,13 @@ CUSTOMER = (
     + [("c_name", "text", "0.0")]
 )
 LABELS = _same("numeric", "doc_id") + _same("boolean", "quality", "toxic")
+DOCUMENTS = (
+    _same("numeric", "doc_id", "n_chars")
+    + [("source", "numeric", _digits("source"))]
+    + _same("categorical", "lang")
+    + [("text", "text", "0.0")]
+)
+
 
 def _filter(condition: str) -> str:
     return f"WITH {GAPPY} SELECT event_id, event_type, value FROM std WHERE {condition}"
@@ -221,6 +228,47 @@ w AS (SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS w1,
              (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS w2, tss FROM s),
 fit AS (SELECT w1, w2, my - w1 * m1 - w2 * m2 AS w0, tss FROM w, m)"""
 
+_CHARTS = """
+WITH p AS (SELECT * FROM (VALUES
+  (0, 'histogram', 'o_orderkey'), (1, 'histogram', 'o_custkey'), (2, 'histogram', 'o_totalprice'),
+  (3, 'bar', 'o_orderstatus'), (4, 'bar', 'o_orderpriority'), (5, 'line', 'o_orderkey')) v(position, kind, c))
+SELECT position, kind,
+  CASE kind WHEN 'histogram' THEN 'Distribution of ' || c WHEN 'bar' THEN 'Top values for ' || c
+            ELSE 'Trend: ' || c || ' by o_orderdate' END AS title,
+  CASE kind WHEN 'histogram' THEN 'Histogram for numeric column ''' || c || '''.'
+            WHEN 'bar' THEN 'Category frequency chart for ''' || c || '''.'
+            ELSE 'Time-series trend for ''' || c || ''' over ''o_orderdate''.' END AS description
+FROM p WHERE (SELECT count(*) FROM orders) >= 3"""
+
+_ORDER_OUTLIERS = " + ".join(
+    f"(SELECT count(*) FROM orders, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, "
+    f"avg({c}) AS mean, stddev_samp({c}) AS sd FROM orders) WHERE {c} < q1 - 1.5 * (q3 - q1) "
+    f"OR {c} > q3 + 1.5 * (q3 - q1) OR abs(({c} - mean) / sd) >= 3)"
+    for c in ("o_orderkey", "o_custkey", "o_totalprice")
+)
+
+_INSIGHTS = f"""
+WITH f AS (SELECT count(*) AS n, regr_slope(o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS slope,
+    regr_r2(o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS r2,
+    corr(o_orderkey, o_custkey) AS a, corr(o_orderkey, o_totalprice) AS b, corr(o_custkey, o_totalprice) AS c,
+    count(*) - count(DISTINCT (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)) AS copies
+  FROM orders),
+d AS (SELECT *, 'o_orderkey shows a ' || CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END ||
+    ' trend over o_orderdate with R² of ' || printf('%.2f', r2) || '.' AS trend,
+    (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS fit, {_ORDER_OUTLIERS} AS outliers FROM f)
+SELECT 'Processed ' || format('{{:,}}', n) || ' row(s) across 6 column(s). The quality report found 0 missing cell(s), ' ||
+    format('{{:,}}', copies) || ' duplicate record(s), and ' || format('{{:,}}', outliers) ||
+    ' potential outlier(s). Strongest analytical signals include ' || trend || '.' AS executive_summary,
+  trend || ' | Basic regression on o_orderkey explains ' || printf('%.2f', fit) ||
+    ' of observed variance using 2 feature(s).' AS key_drivers,
+  '' AS risks,
+  'Review the top missing-value columns and choose a fill strategy that matches the business meaning of each field. | ' ||
+  'Validate the outlier rows against source systems before treating them as true anomalies. | ' ||
+  'Promote the strongest correlated dimensions into monitored KPIs or downstream feature engineering.' ||
+  CASE WHEN fit < 0.4 THEN ' | Treat the current predictive model as exploratory only; more features or more rows may be needed.' ELSE '' END
+    AS recommended_actions
+FROM d"""
+
 _DATE_LAYOUTS = """CASE o_orderkey % 12
   WHEN 3 THEN CASE WHEN day(o_orderdate) <= 12
                    THEN make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0.0)
@@ -235,6 +283,7 @@ ORACLE: dict[str, str] = {
     "profile_part": _profile("part", PART),
     "profile_customer": _profile("customer", CUSTOMER),
     "profile_labels": _profile("labels", LABELS),
+    "profile_documents": _profile("documents", DOCUMENTS),
     "profile_sample_events": _profile("events", EVENTS, "(SELECT * FROM events ORDER BY event_id LIMIT 5000)"),
     "top_values_orders": "\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey)) - 1 AS rank, "
@@ -358,6 +407,8 @@ FROM w, range(0, 12) r(i) LEFT JOIN c ON c.bin = i WHERE i < k""",
     "trend_series": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS value FROM orders",
     "trend_series_by_day": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1",
     "scatter_points": "SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem",
+    "chart_plan": _CHARTS,
+    "insights": _INSIGHTS,
     "scan_csv": "SELECT o_orderkey + 2 AS row_number, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority, "
     "round(o_totalprice, 2) AS o_totalprice FROM orders",
     "malformed_rows": "SELECT 3 AS expected_fields, CASE o_orderkey % 10 WHEN 3 THEN 2 ELSE 4 END AS actual_fields, "
