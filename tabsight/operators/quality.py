@@ -134,7 +134,7 @@ def findings(
                F.format_string("Detected %d duplicate record(s).", copies),
                details=details(("duplicate_rows", copies)))
     )
-    columns = profile.join(F.broadcast(totals.select("dataset", "row_count")), "dataset")
+    columns = profile.join(totals.select("dataset", "row_count"), "dataset")
     name, rows = F.col("column"), F.greatest(F.lit(1), F.col("row_count"))
     gaps, invalid = F.col("missing_count"), F.col("invalid_count")
     rate = gaps / rows
@@ -155,7 +155,7 @@ def findings(
                F.format_string("Schema confidence for '%s' is only %.2f.", name, F.col("confidence")), name)
     )
     count = F.col("outlier_count")
-    outlying = found.join(F.broadcast(profile.select("dataset", "column", "position")), ["dataset", "column"]).select(
+    outlying = found.join(profile.select("dataset", "column", "position"), ["dataset", "column"]).select(
         *issue(6, F.col("position"), WARNING, "outliers_detected",
                F.format_string("Detected %d potential outlier(s) in '%s'.", count, name),
                name, details(("outlier_count", count)))

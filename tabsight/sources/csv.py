@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config, field_names, fields
 from tabsight.functions.cells import WHITESPACE, character_ranges, strip
 from tabsight.sources.local import local_frame
-from tabsight.sources.staging import prepare_session
+from tabsight.sources.staging import check_splits, prepare_session
 
 AUDIT_SCHEMA = (
     "path string, length long, encoding string, delimiter string, quote string, skip_initial_space boolean, "
@@ -352,6 +352,7 @@ def scan_csv(
         frame, kept = _records(spark, members[0], [m["path"] for m in members])
         counted += [(s["_path"], s["_block"], number, s) for s in _count_splits(frame, kept)]
         frames.append((members[0], frame, kept))
+    check_splits(len(counted))
     offsets, kept_total, later_blank = _offsets(counted)
 
     rows, malformed, headers = [], [], []

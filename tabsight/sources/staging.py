@@ -19,7 +19,7 @@ from tabsight.sources.local import local_frame
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
 _MAX_SPLITS = 2_000_000
-_SPREAD_ROWS = 50_000
+_SPREAD_ROWS = 5_000
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -99,12 +99,15 @@ def row_position(mid: str, first: str, offset: str):
     return F.when(F.col(offset).isNull(), moved.cast("long")).otherwise(position)
 
 
+def check_splits(count: int) -> None:
+    """Offsets are collected and broadcast, so their number has a limit."""
+    if count > _MAX_SPLITS:
+        raise ValueError(f"{count:,} file splits are too many to number; raise spark.sql.files.maxPartitionBytes.")
+
+
 def split_offsets(spark: SparkSession, splits: list[tuple]) -> DataFrame:
     """Running row offset per split, for splits already in (path, block) order."""
-    if len(splits) > _MAX_SPLITS:
-        raise ValueError(
-            f"{len(splits):,} file splits are too many to number; raise spark.sql.files.maxPartitionBytes."
-        )
+    check_splits(len(splits))
     rows, offset = [], FIRST_ROW
     for path, block, first, count in splits:
         rows.append((path, block, first, offset))
