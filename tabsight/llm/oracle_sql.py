@@ -2,4 +2,27 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_mixing": """
+        WITH docs AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, coalesce(source, '') AS s FROM documents
+        ), rates AS (
+            SELECT s, 1.0::DOUBLE / (SELECT count(DISTINCT s) FROM docs) * (SELECT count(*) FROM docs) / count(*) AS rate
+            FROM docs GROUP BY s
+        ), terms AS (
+            SELECT s, k, exp(-rate) * list_product([rate / i FOR i IN range(1, k + 1)]::DOUBLE[] || [1.0::DOUBLE]) AS term
+            FROM rates, range(0, 121) AS r(k)
+        ), sums AS (
+            SELECT s, k, sum(term) OVER (PARTITION BY s ORDER BY k) AS cdf FROM terms
+        ), drawn AS (
+            SELECT *, ('0x' || substr(md5(concat_ws(':', '0', doc_id, md5(text), '1')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+            FROM docs
+        ), counted AS (
+            SELECT d.doc_id, d.source, d.text, count(x.k) AS n FROM drawn d JOIN sums x ON x.s = d.s AND x.cdf <= d.u GROUP BY ALL
+        ), copies AS (
+            SELECT doc_id, source, text, unnest(range(0, n))::INTEGER AS copy FROM counted
+        )
+        SELECT doc_id, source, copy, md5(concat_ws(':', '0', 'order', doc_id, md5(text), copy)) AS shuffle_key, md5(text) AS text_md5
+        FROM copies
+    """,
+}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabsight.llm import packing, records
+from tabsight.llm import jaccard, mixing, packing, records, secret_scan
 from tabsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal shares of all sources; the copies in their shuffled order, with digests in place of the texts."""
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = records.token_files(table(spark, sf_dir, "documents"))
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
