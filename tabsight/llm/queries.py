@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import jaccard, mixing, packing, records, secret_scan
-from tabsight.llm.common import table
+from tabsight.llm import jaccard, mixing, near_dedup, packing, records, secret_scan, top_k
+from tabsight.llm.common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +30,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+@query
+def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows whose vec_id is divisible by 20 against all rows."""
+    rows = keep(top_k.quantized(table(spark, sf_dir, "embeddings")), "vectors")
+    return top_k.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query
+def op6_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
