@@ -117,10 +117,11 @@ def _compare(passes: int, at: int, threshold: float, window: int):
             group = np.arange(len(same))
             for x, y in zip(a, b, strict=True):
                 if group[x] != group[y]:
-                    found.append((reps[x], reps[y], 0))
+                    found.append((int(reps[x]), int(reps[y]), 0))
                     group[group == group[y]] = group[x]
-            found += [(reps[k], None, links[k]) for k in np.flatnonzero(links)]
-        return pd.DataFrame(found, columns=["u", "v", "n"]).astype({"u": "int64", "v": "Int64", "n": "int64"})
+            found += [(int(reps[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+        u, v, n = zip(*found, strict=True) if found else ((), (), ())
+        return pd.DataFrame({"u": pd.array(u, "int64"), "v": pd.array(v, "Int64"), "n": pd.array(n, "int64")})
 
     return run
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import keep, python_tasks
 
 K, SCALE = 20, 64
+NO_SCORE = -(1 << 62)
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 1024, 64
 
 
@@ -83,10 +84,10 @@ class BallTree:
         length = np.sqrt((real * real).sum(axis=1))
         return np.floor((real @ self.centres.T + length[:, None] * self.radii) * (1 + 1e-9) + 1e-3)
 
-    def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, least: int = NO_SCORE) -> list[tuple[int, int]]:
         """Up to k (score, -id) of the best rows other than the query's own, none below ``least``."""
         best: list[tuple[int, int]] = []
-        kth = least if least is not None else -(1 << 62)
+        kth = least
         open_nodes = [(-bounds[0], 0)]
         while open_nodes:
             bound, node = heapq.heappop(open_nodes)
@@ -129,7 +130,7 @@ def _search(k: int):
             queries = np.stack([np.frombuffer(v, np.int64) for v in asked["vector"]])
             bounds = tree.bounds(queries)
             for row, (vec_id, least) in enumerate(zip(asked["vec_id"], asked["least"], strict=True)):
-                best = tree.search(queries[row], vec_id, bounds[row], k, None if pd.isna(least) else int(least))
+                best = tree.search(queries[row], vec_id, bounds[row], k, int(least))
                 found += [(vec_id, -other, score) for score, other in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
@@ -152,14 +153,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         all_shards = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard")
         left = asked.select("vec_id", "dim", "vector", "least", "block", F.lit(0).alias("side"), all_shards)
         right = held.where(F.col("shard").between(first, last)).select(
-            "vec_id", "dim", "vector", F.lit(None).cast("long").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "shard"
+            "vec_id", "dim", "vector", F.lit(NO_SCORE).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "shard"
         )
         return left.unionByName(right).groupBy("dim", "block", "shard").applyInPandas(_search(k), _FOUND)
 
-    found = keep(wave(asked.withColumn("least", F.lit(None).cast("long")), 0, 0), "search-first")
+    found = keep(wave(asked.withColumn("least", F.lit(NO_SCORE)), 0, 0), "search-first")
     if shards > 1:
         kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-        known = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
+        known = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left").fillna(NO_SCORE, "least")
         found = found.unionByName(wave(known, 1, shards - 1))
     # At most k rows of each shard for a query.
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
