@@ -271,11 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     return fit_linear(sets, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
-def score(docs: DataFrame, intercept: float, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with ``score``: the classifier's probability for every whole text; null and empty texts get the intercept's."""
+def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: str = "score") -> DataFrame:
+    """``docs`` with a column of the classifier's probability for every whole text; null and empty texts get the
+    intercept's. The name must not be that of a column there is."""
     python_tasks(docs.sparkSession)
-    schema = docs.schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "`_toxic_score` double"])
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def score(docs: DataFrame, intercept: float, weights: dict[str, float]) -> DataF
                 found = {f for w in set(words_of(text)) for f in known[w]}
                 z = intercept + sum(weights[f] for f in sorted(found))
                 scores.append(1 / (1 + np.exp(-min(max(z, -50.0), 50.0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, out)
 
@@ -301,11 +301,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     intercept, weights = fit(own, labels)
     scored = score(own, intercept, weights)
     fold = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", fold.alias("held_out"), F.col("_toxic_score").alias("score"), (F.col("_toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     intercept, weights = fit(own, labels)
-    return score(docs, intercept, weights).where(F.col("_toxic_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = max(docs.columns, key=len) + "_score"
+    return score(docs, intercept, weights, name).where(F.col(f"`{name}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
