@@ -111,14 +111,6 @@ def kind_of(dtype: T.DataType) -> str:
     raise ValueError(f"Columns of type {dtype.simpleString()} are outside the data model; select or flatten them first.")
 
 
-def supported(dtype: T.DataType) -> bool:
-    try:
-        kind_of(dtype)
-    except ValueError:
-        return False
-    return True
-
-
 def kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
     fields = {f.name: f.dataType for f in df.schema.fields}
     return {c: kind_of(fields[c]) for c in columns}

@@ -1,9 +1,11 @@
 """Forward and back fill in row order, distributed.
 
-Rows go in buckets of consecutive row numbers. One small aggregate finds the
-last (first) value of each bucket; a running scan over that table, one row per
-bucket, says what enters each bucket from outside; inside a bucket an ordinary
-window does the rest. No window ever spans the table.
+Rows go in buckets of consecutive row numbers, buckets in as large groups. One
+small aggregate finds the last (first) value of each bucket, one of those finds
+that of each group. A running scan over the groups, one row for some 7 * 10**10
+rows, says what enters each group from outside, one over each group's buckets
+what enters a bucket, and inside a bucket an ordinary window does the rest. No
+window ever spans the table or all its buckets.
 """
 
 from __future__ import annotations
@@ -44,16 +46,20 @@ def fill_columns(
         return picked.alias(name)
 
     edges = staged.groupBy("_bucket").agg(*[edge(n) for n in names])
+    edges = edges.withColumn("_group", F.floor(F.col("_bucket") / bucket_rows))
     # "Below" is "above" in reverse order: frames that grow from their start cost one
     # step per row, frames that shrink towards their end would restart at every row.
     past = (W.unboundedPreceding, -1)
-    earlier = W.orderBy("_bucket").rowsBetween(*past)
-    later = W.orderBy(F.desc("_bucket")).rowsBetween(*past)
-    carried = edges.select(
-        "_bucket",
-        *[F.last(n, ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in above],
-        *[F.last(n, ignorenulls=True).over(later).alias(f"_in_{n}") for n in below],
-    )
+
+    def entering(key: str, groups) -> dict[str, Column]:
+        earlier, later = groups.orderBy(key).rowsBetween(*past), groups.orderBy(F.desc(key)).rowsBetween(*past)
+        return {n: F.last(n, ignorenulls=True).over(earlier if n in above else later) for n in names}
+
+    ends = {n: F.when(F.col(n).isNotNull(), F.col("_bucket")) for n in names}
+    groups = edges.groupBy("_group").agg(*[(F.max_by if n in above else F.min_by)(n, ends[n]).alias(n) for n in names])
+    outer = groups.select("_group", *[e.alias(f"_out_{n}") for n, e in entering("_group", W).items()])
+    inner = edges.select("_group", "_bucket", *[e.alias(f"_in_{n}") for n, e in entering("_bucket", W.partitionBy("_group")).items()])
+    carried = inner.join(outer, "_group").select("_bucket", *[F.coalesce(f"_in_{n}", f"_out_{n}").alias(f"_in_{n}") for n in names])
     bucket = W.partitionBy("_bucket")
     before = bucket.orderBy(ROW).rowsBetween(*past)
     onward = bucket.orderBy(F.desc(ROW)).rowsBetween(W.unboundedPreceding, 0)

@@ -35,7 +35,7 @@ def head_rows(df: DataFrame, rows: int) -> DataFrame:
 
 _FACTS = (
     "m", "missing_count", "n_bool", "n_num", "n_date", "avg_length",
-    "num_min", "num_max", "num_mean", "num_median", "num_stddev", "ts_min", "ts_max",
+    "num_min", "num_max", "num_mean", "num_stddev", "ts_min", "ts_max",
 )
 
 
@@ -57,18 +57,17 @@ def _position() -> Column:
     return F.substring("slot", 3, 6).cast("int").alias("position")
 
 
-def _measures(i="", with_median: bool = False) -> list[str]:
+def _measures(i="") -> list[str]:
     """SQL of every fact over the columns present, missing, num, ts, flag, length (with suffix ``i``)."""
-    median = f"percentile(num{i}, 0.5D)" if with_median else "CAST(NULL AS DOUBLE)"
     measures = [
         f"count_if(present{i})", f"count_if(NOT present{i})", f"count(flag{i})", f"count(num{i})", f"count(ts{i})",
-        f"avg(length{i})", f"min(num{i})", f"max(num{i})", f"avg(num{i})", median, f"stddev_samp(num{i})",
+        f"avg(length{i})", f"min(num{i})", f"max(num{i})", f"avg(num{i})", f"stddev_samp(num{i})",
         f"min(ts{i})", f"max(ts{i})",
     ]
     return [f"{sql} AS {name}{i}" for sql, name in zip(measures, _FACTS)]
 
 
-def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median: bool) -> list[DataFrame]:
+def _facts(df: DataFrame, columns: list[str], strict_numbers: bool) -> list[DataFrame]:
     """Counts and ranges per column, in a few frames of one row per column.
 
     Typed columns never meet the text parser and aggregate side by side; text
@@ -94,7 +93,7 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
                 # The text of a typed value has at most 40 characters, all the rule asks of it.
                 F.lit(0).alias(f"length{i}"),
             ]
-            measures += _measures(i, with_median)
+            measures += _measures(i)
         records = ", ".join(
             f"struct({i} AS position, {', '.join(f'{name}{i} AS {name}' for name in _FACTS)})" for i, _ in block
         )
@@ -111,7 +110,7 @@ def _facts(df: DataFrame, columns: list[str], strict_numbers: bool, with_median:
             C.parse_boolean(raw).alias("flag"),
             F.when(~missing, F.length(C.strip(raw))).alias("length"),
         )
-        facts = cells.groupBy("slot").agg(*[F.expr(m) for m in _measures(with_median=with_median)])
+        facts = cells.groupBy("slot").agg(*[F.expr(m) for m in _measures()])
         parts.append(facts.select(_position(), *_FACTS).select(*shown))
     return parts
 
@@ -151,13 +150,13 @@ def top_ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _distinct_and_top(df: DataFrame, columns: list[str], digest_long: bool) -> dict[int, dict]:
+def _distinct_and_top(df: DataFrame, columns: list[str]) -> dict[int, dict]:
     """Distinct counts and the five top values per column position.
 
     The counted values are kept while two small aggregates read them, so the
     table is scanned and shuffled once.
     """
-    counts = value_counts_by_column(df, columns, digest_long).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = value_counts_by_column(df, columns, digest_long=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         found = {
             r["position"]: {"distinct_count": r["n"], "top": []}
@@ -170,22 +169,21 @@ def _distinct_and_top(df: DataFrame, columns: list[str], digest_long: bool) -> d
     return found
 
 
-def _samples(df: DataFrame, columns: list[str], with_text: bool) -> dict[int, list]:
-    """The first five non-missing cells per column (their row numbers alone unless ``with_text``)."""
+def _samples(df: DataFrame, columns: list[str]) -> dict[int, list]:
+    """The first five non-missing cells per column (their row numbers)."""
     by_kind = C.kinds(df, columns)
 
     def cell(i: int) -> Column:
         c, kind = C.col(columns[i]), by_kind[columns[i]]
-        return F.when(~C.is_missing(c, kind), C.text_of(c, kind) if with_text else F.lit(""))
+        return F.when(~C.is_missing(c, kind), F.lit(""))
 
     wide = df.select(ROW, *[cell(i).alias(f"_c{i}") for i in range(len(columns))])
     long = wide.unpivot([ROW], [f"_c{i}" for i in range(len(columns))], "slot", "raw")
-    fields = [ROW, "raw"] if with_text else [ROW]
-    present = long.filter(F.col("raw").isNotNull()).select("slot", *fields)
+    present = long.filter(F.col("raw").isNotNull()).select("slot", ROW)
     order = W.partitionBy("slot").orderBy(ROW)
     first = present.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= _SAMPLES)
     found: dict[int, list] = {}
-    for r in first.select(_position(), *fields).orderBy("position", ROW).collect():
+    for r in first.select(_position(), ROW).orderBy("position", ROW).collect():
         found.setdefault(r["position"], []).append(r)
     return found
 
@@ -211,11 +209,14 @@ def detect_type(facts: dict) -> tuple[str, float, int]:
 def profile(
     df: DataFrame,
     columns: list[str] | None = None,
-    sample_rows: int = 5_000,
+    sample_rows: int = 0,
     strict_numbers: bool = False,
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """One record per column over the first ``sample_rows`` rows (all when <= 0).
+    """One record per column over all rows, or over the first ``sample_rows`` if that is above 0.
+
+    ``small_group`` bounds the rows that one task sorts for a median; larger
+    columns are narrowed by counting first, with the same result.
 
     Runs its jobs right away: what comes back is a local frame of one row per
     column, since every later stage chooses its plan by these types.
@@ -223,15 +224,14 @@ def profile(
     df = ensure_rows(df)
     columns = columns or data_columns(df)
     head = head_rows(df, sample_rows)
-    bounded = 0 < sample_rows <= small_group
     # The first rows nearly always hold five values of every column already.
-    near = head if bounded else head_rows(head, _LIKELY_ROWS)
+    near = head_rows(head, min(_LIKELY_ROWS, sample_rows) if sample_rows > 0 else _LIKELY_ROWS)
 
     jobs = [
-        lambda: _distinct_and_top(head, columns, digest_long=not bounded),
-        lambda: _samples(near, columns, with_text=bounded),
+        lambda: _distinct_and_top(head, columns),
+        lambda: _samples(near, columns),
         *[lambda f=f: {r["position"]: r.asDict() for r in f.collect()}
-          for f in _facts(head, columns, strict_numbers, with_median=bounded)],
+          for f in _facts(head, columns, strict_numbers)],
     ]
     # Independent jobs with tiny results: run side by side, they fill each other's idle cores.
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -242,18 +242,14 @@ def profile(
         r["samples"] = samples.get(i, [])
         r["detected_type"], r["confidence"], r["invalid_count"] = detect_type(r)
 
-    texts, medians = {}, {}
     numeric = [i for i, r in found.items() if r["detected_type"] == NUMERIC]
-    if bounded:
-        medians = {i: found[i]["num_median"] for i in numeric}
-    else:
-        sparse = [i for i, r in found.items() if len(r["samples"]) < min(_SAMPLES, r["m"])]
-        if sparse:
-            late = _samples(head, [columns[i] for i in sparse], with_text=False)
-            for slot, rows in late.items():
-                found[sparse[slot]]["samples"] = rows
-        texts = _texts_at(head, columns, found)
-        medians = _medians(head, columns, numeric, found, strict_numbers, small_group)
+    sparse = [i for i, r in found.items() if len(r["samples"]) < min(_SAMPLES, r["m"])]
+    if sparse:
+        late = _samples(head, [columns[i] for i in sparse])
+        for slot, rows in late.items():
+            found[sparse[slot]]["samples"] = rows
+    texts = _texts_at(head, columns, found)
+    medians = _medians(head, columns, numeric, found, strict_numbers, small_group)
 
     records = [_record(name, i, found.get(i), medians.get(i), texts) for i, name in enumerate(columns)]
     return local_frame(df.sparkSession, records, PROFILE_SCHEMA)
@@ -273,29 +269,26 @@ def _medians(head, columns, numeric: list[int], found: dict, strict_numbers: boo
 
 
 def _texts_at(head: DataFrame, columns: list[str], found: dict) -> dict:
-    """Texts of the few rows that top and sample values point to."""
-    wanted = set()
-    for row in found.values():
-        wanted.update(t["first"] for t in row["top"])
-        wanted.update(s[ROW] for s in row["samples"])
+    """Texts and folded texts of the cells that top and sample values point to: at most ten for each column."""
+    wanted = {(t["first"], i) for i, r in found.items() for t in r["top"]} | {(s[ROW], i) for i, r in found.items() for s in r["samples"]}
     if not wanted:
         return {}
     by_kind = C.kinds(head, columns)
-    few = head.filter(F.col(ROW).isin(list(wanted))).select(
-        ROW,
-        *[C.text_of(C.col(c), by_kind[c]).alias(f"_c{i}") for i, c in enumerate(columns)],
-        *[C.fold_value(C.col(c), by_kind[c]).alias(f"_f{i}") for i, c in enumerate(columns)],
-    )
-    return {(i, r[ROW]): (r[f"_c{i}"], r[f"_f{i}"]) for r in few.collect() for i in range(len(columns))}
+    cells = [
+        F.struct(F.lit(i).alias("position"), C.text_of(C.col(c), by_kind[c]).alias("text"), C.fold_value(C.col(c), by_kind[c]).alias("folded"))
+        for i, c in enumerate(columns)
+    ]
+    rows = head.filter(F.col(ROW).isin(sorted({row for row, _ in wanted}))).select(ROW, F.explode(F.array(*cells)).alias("cell"))
+    few = F.broadcast(local_frame(head.sparkSession, sorted(wanted), f"{ROW} long, position int"))
+    some = rows.select(ROW, "cell.*").join(few, [ROW, "position"])
+    return {(r["position"], r[ROW]): (r["text"], r["folded"]) for r in some.collect()}
 
 
 def _record(name: str, position: int, row, median, texts: dict) -> tuple:
     if row is None:
         return (name, position, TEXT, 0.0, 0, 0, 0, 0, [], [], *[None] * 7)
-    top = [
-        (texts[position, t["first"]][1] if texts else t["value"], t["n"]) for t in row["top"]
-    ]
-    samples = [texts[position, s[ROW]][0] if texts else s["raw"] for s in row["samples"]]
+    top = [(texts[position, t["first"]][1], t["n"]) for t in row["top"]]
+    samples = [texts[position, s[ROW]][0] for s in row["samples"]]
     is_numeric = row["detected_type"] == NUMERIC
     is_date = row["detected_type"] == DATE
     numbers = [row["num_min"], row["num_max"], row["num_mean"], median, row["num_stddev"]]

@@ -42,7 +42,7 @@ def day_ordinal(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts)) + EPOCH_ORDINAL
 
 
-def _pairs(df: DataFrame, types: dict[str, str], dates, values, max_values: int) -> list[tuple[str, str]]:
+def _pairs(df: DataFrame, types: dict[str, str], dates, values, max_values: int | None) -> list[tuple[str, str]]:
     dates = [c for c in (dates or columns_of(types, DATE)) if c in df.columns]
     values = [c for c in (values or columns_of(types, NUMERIC)[:max_values]) if c in df.columns]
     return [(d, v) for d in dates for v in values]
@@ -69,7 +69,7 @@ def fit_trends(
     types: dict[str, str],
     date_columns: list[str] | None = None,
     value_columns: list[str] | None = None,
-    max_values: int = 3,
+    max_values: int | None = None,
 ) -> list[Fit]:
     """Least-squares line of each value on the day, for at least three complete rows.
 

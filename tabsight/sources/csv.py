@@ -9,6 +9,7 @@ or in UTF-16/32, go through the multi-line CSV reader instead.
 from __future__ import annotations
 
 import csv as _csv
+import io
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.errors import AnalysisException
 from tabsight.config import FIRST_ROW, INFO, ROW, WARNING, Config, field_names, fields
 from tabsight.functions.cells import WHITESPACE, character_ranges, strip
 from tabsight.sources.local import local_frame
-from tabsight.sources.staging import check_splits, prepare_session
+from tabsight.sources.staging import prepare_session
 
 AUDIT_SCHEMA = (
     "path string, length long, encoding string, delimiter string, quote string, skip_initial_space boolean, "
@@ -39,7 +40,6 @@ DELIMITERS = ",;\t|"
 SNIFF_CHARS = 8_192
 CP1252_GAPS = r"[\x81\x8d\x8f\x90\x9d]"
 
-_SAMPLE_LINES = 1_000
 _PREVIEW_CELLS = 5
 _JAVA_CHARSET = {"cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
 
@@ -56,7 +56,6 @@ class CsvScan:
     malformed: DataFrame
     findings: DataFrame
     headers: list[str]
-    truncated: bool
     audit: DataFrame
 
 
@@ -93,8 +92,8 @@ def _sniffer():
         except _csv.Error:
             delimiter, quote, skip = ",", '"', False
         delimiter = given or delimiter
-        lines = text.splitlines(keepends=True)
-        reader = _csv.reader(lines, delimiter=delimiter, quotechar=quote, skipinitialspace=skip)
+        # Records end at line feeds and carriage returns only, not at the other breaks that splitlines() knows.
+        reader = _csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote, skipinitialspace=skip)
         header = [h.strip() for h in next(reader, [])]
         name = path.rsplit("/", 1)[-1]
         error = None if any(header) else f"CSV file '{name}' does not contain a usable header row."
@@ -128,21 +127,12 @@ def audit_files(
     if unknown:
         raise ValueError(f"Unsupported encoding candidates: {unknown}")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    limit = config.max_file_size_bytes
     name = F.regexp_extract("path", "([^/]+)$", 1)
     shown = F.when(suffix == "", "<none>").otherwise(suffix)
     refused = F.when(
         suffix != ".csv",
         F.concat(F.lit("Unsupported file type '"), shown, F.lit("'. Only .csv files are accepted.")),
     )
-    if limit:
-        refused = refused.when(
-            F.col("length") > limit,
-            F.format_string(
-                f"File '%s' is %s bytes, which exceeds the configured limit of {limit:,} bytes.",
-                name, F.format_number("length", 0),
-            ),
-        )
     files = list_files(spark, path).withColumn("refused", refused)
     accepted = [r["path"] for r in files.filter(F.col("refused").isNull()).collect()]
     if not accepted:
@@ -155,7 +145,11 @@ def audit_files(
     raw = F.col("value").cast("binary")
     first = lines.filter(F.col("_block") == 0)
     order = W.partitionBy("_path").orderBy("_mid")
-    head = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= _SAMPLE_LINES)
+    # Lines until the sniffed characters are full in any encoding (4 bytes at most); each line has a byte at least.
+    most = 4 * SNIFF_CHARS
+    near = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    taken = F.sum(F.least(F.octet_length("value"), F.lit(most)) + 1).over(order.rowsBetween(W.unboundedPreceding, -1))
+    head = near.withColumn("_taken", F.coalesce(taken, F.lit(0))).filter(F.col("_taken") < most)
     cut = F.when(F.col("_n") == 1, raw).otherwise(F.substring(raw, 1, SNIFF_CHARS))
     samples = (
         head.select("_path", "_n", cut.alias("line"))
@@ -289,10 +283,8 @@ def _count_splits(frame: DataFrame, kept: Column) -> list:
         frame.groupBy("_path", "_block")
         .agg(
             F.min("_mid").alias("first"),
-            F.max("_mid").alias("last"),
             F.count(F.lit(1)).alias("n"),
             F.count_if(kept).alias("kept"),
-            F.max(F.when(kept, F.col("_mid"))).alias("last_kept"),
         )
         .collect()
     )
@@ -301,9 +293,9 @@ def _count_splits(frame: DataFrame, kept: Column) -> list:
 def _count_fields(delimiter: str, quote: str, skip: bool):
     def count(batches):
         for pdf in batches:
-            # A record may span lines, so the reader gets it in line pieces.
+            # A record may span lines, so the reader gets it in pieces that end at line feeds and carriage returns.
             parsed = [
-                next(_csv.reader(raw.splitlines(keepends=True), delimiter=delimiter, quotechar=quote, skipinitialspace=skip), [])
+                next(_csv.reader(io.StringIO(raw, newline=""), delimiter=delimiter, quotechar=quote, skipinitialspace=skip), [])
                 for raw in pdf["raw"]
             ]
             yield pdf.drop(columns="raw").assign(
@@ -352,8 +344,7 @@ def scan_csv(
         frame, kept = _records(spark, members[0], [m["path"] for m in members])
         counted += [(s["_path"], s["_block"], number, s) for s in _count_splits(frame, kept)]
         frames.append((members[0], frame, kept))
-    check_splits(len(counted))
-    offsets, kept_total, later_blank = _offsets(counted)
+    offsets, kept_total = _offsets(counted)
 
     rows, malformed, headers = [], [], []
     for number, (layout, frame, kept) in enumerate(frames):
@@ -362,8 +353,6 @@ def scan_csv(
             raise SourceError(f"The column name {ROW!r} is reserved.")
         headers += [n for n in names if n not in headers]
         numbered = _number(frame, kept, local_frame(spark, offsets[number], _OFFSET_SCHEMA))
-        if config.max_rows:
-            numbered = numbered.filter(F.col(ROW) < config.max_rows + FIRST_ROW)
         rows.append(numbered.select(ROW, *[F.col(f"_cells.c{i}").alias(n) for i, n in enumerate(names)]))
         flagged = numbered.filter(F.col("_cells._corrupt").isNotNull()).select(
             F.col("_path").alias("dataset"),
@@ -378,14 +367,11 @@ def scan_csv(
         malformed.append(bad.filter(F.col("actual_fields") != F.col("expected_fields")).select(*field_names(MALFORMED_SCHEMA)))
 
     union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    cap = config.max_rows
-    truncated = bool(cap) and (kept_total > cap or (kept_total == cap and later_blank))
     return CsvScan(
         rows=union(rows).select(ROW, *[F.col("`" + h.replace("`", "``") + "`") for h in headers]),
         malformed=union(malformed),
-        findings=_ingest_findings(spark, layouts, kept_total, truncated, cap),
+        findings=_ingest_findings(spark, layouts, kept_total),
         headers=headers,
-        truncated=truncated,
         audit=audit,
     )
 
@@ -393,7 +379,7 @@ def scan_csv(
 _OFFSET_SCHEMA = "_path string, _block long, _first long, _line_base long, _kept_base long, _offset long"
 
 
-def _offsets(counted: list) -> tuple[dict[int, list], int, bool]:
+def _offsets(counted: list) -> tuple[dict[int, list], int]:
     """Row and line offsets per split, from the counts of the splits.
 
     The position of a kept record counts the kept records before it in its
@@ -407,7 +393,7 @@ def _offsets(counted: list) -> tuple[dict[int, list], int, bool]:
         kept_base[path, block] = part[1] + running.get(part, 0)
         running[part] = running.get(part, 0) + s["kept"]
     offsets: dict[int, list] = {}
-    row, line, last_path, kept_total, later = FIRST_ROW, 1, None, 0, False
+    row, line, last_path, kept_total = FIRST_ROW, 1, None, 0
     for path, block, group, s in sorted(counted, key=lambda c: c[:2]):
         if path != last_path:
             line, last_path = 1, path
@@ -415,12 +401,9 @@ def _offsets(counted: list) -> tuple[dict[int, list], int, bool]:
         base = kept_base[path, block]
         offsets.setdefault(group, []).append((path, block, s["first"], line, base + header, row))
         kept = s["kept"] - header
-        if kept > 0:
-            kept_total, later = kept_total + kept, s["last"] > s["last_kept"]
-        else:
-            later = later or s["n"] > header
+        kept_total += max(kept, 0)
         row, line = row + kept, line + s["n"]
-    return {g: offsets.get(g, []) for g in range(1 + max((c[2] for c in counted), default=-1))}, kept_total, later
+    return {g: offsets.get(g, []) for g in range(1 + max((c[2] for c in counted), default=-1))}, kept_total
 
 
 def _number(frame: DataFrame, kept: Column, offsets: DataFrame) -> DataFrame:
@@ -437,7 +420,7 @@ def _number(frame: DataFrame, kept: Column, offsets: DataFrame) -> DataFrame:
     )
 
 
-def _ingest_findings(spark, layouts, kept_total: int, truncated: bool, cap) -> DataFrame:
+def _ingest_findings(spark, layouts, kept_total: int) -> DataFrame:
     records = []
     for r in layouts:
         header = r["header"]
@@ -447,8 +430,6 @@ def _ingest_findings(spark, layouts, kept_total: int, truncated: bool, cap) -> D
             records.append((WARNING, "blank_header", f"{header.count('')} blank header name(s) were replaced.", 1, {"path": r["path"]}))
         if r["encoding"] != "utf-8":
             records.append((INFO, "encoding_warning", f"Detected encoding '{r['encoding']}'.", None, {"path": r["path"]}))
-    if truncated:
-        records.append((WARNING, "row_limit", f"Row limit reached at {cap:,} records. The input was truncated to keep processing bounded.", None, {}))
     if kept_total == 0:
         records.append((WARNING, "no_rows", "The CSV file contained a header row but no data rows.", None, {}))
     return local_frame(spark, records, INGEST_SCHEMA)

@@ -7,19 +7,20 @@ pulls the table into a single task.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabsight.config import FIRST_ROW, ROW
 from tabsight.functions.cells import col
-from tabsight.sources.local import local_frame
 
 _POSITION_BITS = 33
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
-_MAX_SPLITS = 2_000_000
-_SPREAD_ROWS = 5_000
+#: Offsets of so many splits are kept as a local relation (some 10 MB).
+LOCAL_SPLITS = 50_000
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -36,9 +37,11 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is named."""
+    """The cluster's shared checkpoint folder; a scratch folder stands in only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
         named = tempfile.mkdtemp(prefix="tabsight-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,7 +60,7 @@ def number_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
     Without ``order_by`` the frame must be a file scan and rows are numbered in
     (file path, position) order: one counting pass yields the offset of every
-    split, a table bounded by the number of splits. With ``order_by`` (unique
+    split. Rows stay in their scan's partitions. With ``order_by`` (unique
     keys) the frame is range-sorted once and cut to the shared folder, so the
     numbers are stable however often the result is read.
     """
@@ -69,28 +72,32 @@ def number_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
     ).withColumn("_mid", F.monotonically_increasing_id())
-    splits = (
-        placed.groupBy("_path", "_block")
-        .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .orderBy("_path", "_block")
-        .collect()
-    )
-    offsets = split_offsets(df.sparkSession, [(r["_path"], r["_block"], r["_first"], r["_n"]) for r in splits])
-    located = placed.join(F.broadcast(offsets), ["_path", "_block"], "left")
-    numbered = located.select(*[col(c) for c in df.columns], row_position("_mid", "_first", "_offset").alias(ROW))
-    return _spread(numbered, len(splits), sum(r["_n"] for r in splits))
+    offsets = _split_offsets(placed)
+    located = placed.join(offsets, ["_path", "_block"], "left")
+    return located.select(*[col(c) for c in df.columns], row_position("_mid", "_first", "_offset").alias(ROW))
 
 
-def _spread(numbered: DataFrame, splits: int, rows: int) -> DataFrame:
-    """Deal out rows that sit in fewer splits than there are cores.
+def _split_offsets(placed: DataFrame) -> DataFrame:
+    """The first position and the row offset of every file split, with no limit to their number.
 
-    Files of a single row group would otherwise keep one core busy. Files with
-    at least one split per core, the rule at scale, are left as they are.
+    Running sums go over the splits of a file and then over the files. The
+    table is made once: as a local relation while it is small, which plans as
+    a broadcast, as a written table in the shared folder beyond that.
     """
-    cores = numbered.sparkSession.sparkContext.defaultParallelism
-    if splits >= cores or rows < _SPREAD_ROWS:
-        return numbered
-    return numbered.repartition(cores, ROW)
+    spark = placed.sparkSession
+    splits = placed.groupBy("_path", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    inside = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
+    files = splits.groupBy("_path").agg(F.sum("_n").alias("_n"))
+    starts = files.select("_path", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + FIRST_ROW).alias("_start"))
+    rows = splits.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside"))
+    offsets = rows.join(starts, "_path").select("_path", "_block", "_first", (F.col("_start") + F.col("_inside")).alias("_offset"))
+    few = offsets.limit(LOCAL_SPLITS + 1).toArrow()
+    if few.num_rows <= LOCAL_SPLITS:
+        return F.broadcast(spark.createDataFrame(few, offsets.schema))
+    path = f"{shared_folder(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    offsets.write.parquet(path)
+    return spark.read.schema(offsets.schema).parquet(path)
 
 
 def row_position(mid: str, first: str, offset: str):
@@ -99,28 +106,15 @@ def row_position(mid: str, first: str, offset: str):
     return F.when(F.col(offset).isNull(), moved.cast("long")).otherwise(position)
 
 
-def check_splits(count: int) -> None:
-    """Offsets are collected and broadcast, so their number has a limit."""
-    if count > _MAX_SPLITS:
-        raise ValueError(f"{count:,} file splits are too many to number; raise spark.sql.files.maxPartitionBytes.")
-
-
-def split_offsets(spark: SparkSession, splits: list[tuple]) -> DataFrame:
-    """Running row offset per split, for splits already in (path, block) order."""
-    check_splits(len(splits))
-    rows, offset = [], FIRST_ROW
-    for path, block, first, count in splits:
-        rows.append((path, block, first, offset))
-        offset += count
-    return local_frame(spark, rows, "_path string, _block long, _first long, _offset long")
+def _number_sorted(df: DataFrame, order_by: list[str]) -> DataFrame:
+    return _number_parts(df, cut_lineage(df.orderBy(*[col(c) for c in order_by]).withColumn("_mid", F.monotonically_increasing_id())))
 
 
-def _number_sorted(df: DataFrame, order_by: list[str]) -> DataFrame:
-    ordered = df.orderBy(*[col(c) for c in order_by]).withColumn("_mid", F.monotonically_increasing_id())
-    staged = cut_lineage(ordered)
+def _number_parts(df: DataFrame, staged: DataFrame) -> DataFrame:
+    """Number the rows of a frame that was cut with its positions (``_mid``), part by part."""
     part = F.shiftright("_mid", _POSITION_BITS)
     sizes = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition of the sorted frame.
+    # One row per partition of the staged frame.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + FIRST_ROW).alias("_offset"))
     return (
@@ -131,12 +125,24 @@ def _number_sorted(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 
 def use_order_key(df: DataFrame, key: str) -> DataFrame:
-    """Take an existing unique, dense, zero-based key as the row order."""
-    return df.withColumn(ROW, (col(key).cast("long") + FIRST_ROW))
+    """Take an existing key as the row order; it has to be unique, dense and begin at 0, which is checked."""
+    place = col(key).cast("long")
+    found = df.agg(F.min(place), F.max(place), F.count(F.lit(1)), F.count_distinct(place)).first()
+    if found[2] and tuple(found) != (0, found[2] - 1, found[2], found[2]):
+        raise ValueError(f"{key!r} is no dense, unique row key from 0; number the rows with order_by=[{key!r}] instead.")
+    return df.withColumn(ROW, place + FIRST_ROW)
 
 
 def ensure_rows(df: DataFrame) -> DataFrame:
-    return df if ROW in df.columns else number_rows(df)
+    """Numbered rows of any frame: of file scans by position, of all others in the order of one reliable cut."""
+    if ROW in df.columns:
+        return df
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        prepare_session(df.sparkSession)
+        return _number_parts(df, cut_lineage(df.withColumn("_mid", F.monotonically_increasing_id())))
+    return number_rows(df)
 
 
 def data_columns(df: DataFrame) -> list[str]:

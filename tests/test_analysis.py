@@ -106,8 +106,20 @@ def test_regression(spark):
     assert last["prediction"] == pytest.approx(4, abs=1e-4)
     assert model.model(df.limit(3), types).count() == 0
     assert model.model(df, types, Config(model_enabled=False)).count() == 0
-    chosen = model.choose_model_columns(types, Config(target_column="x2", feature_columns=["x1", "x2", "z"]))
-    assert chosen == ("x2", ["x1"])
+    assert model.choose_model_columns(types, Config(target_column="x2", feature_columns=["x1", "x2"])) == ("x2", ["x1"])
+    with pytest.raises(ValueError, match="'z'"):
+        model.choose_model_columns(types, Config(feature_columns=["x1", "z"]))
+
+
+def test_named_features_are_all_used(spark):
+    names = [f"x{i}" for i in range(6)]
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 6))
+    df = spark.createDataFrame([(i + 2, float(1 + r @ np.arange(1, 7)), *map(float, r)) for i, r in enumerate(x)], "_row long, y double, " + ", ".join(f"{n} double" for n in names))
+    types = dict.fromkeys(["y", *names], "numeric")
+    row = model.model(df, types, Config(target_column="y", feature_columns=names)).first()
+    assert [row["coefficients"][n] for n in names] == pytest.approx(range(1, 7), abs=1e-4)
+    assert model.choose_model_columns(types, Config())[1] == names[:4]
 
 
 def test_collinear_columns_survive_by_the_ridge(spark):

@@ -87,20 +87,20 @@ def test_refused_files(spark, write, name, content, message):
         scan_csv(spark, write(name, content))
 
 
-def test_missing_file_and_size_limit(spark, write, tmp_path):
+def test_missing_file_and_upper_case_suffix(spark, write, tmp_path):
     with pytest.raises(SourceError, match="not found"):
         scan_csv(spark, str(tmp_path / "none.csv"))
-    with pytest.raises(SourceError, match="exceeds"):
-        scan_csv(spark, write("large.csv", "name\n" + "x" * 1024), Config(max_file_size_bytes=8))
     assert audit_files(spark, write("f.CSV", "a\n1\n")).first()["error"] is None
 
 
-@pytest.mark.parametrize("tail, truncated", [("", False), ("\n", True), ("r,1\n", True)])
-def test_row_cap(spark, write, tail, truncated):
-    body = "k,v\n" + "".join(f"r{i},{i}\n" for i in range(10)) + tail
-    scan = scan_csv(spark, write("cap.csv", body), Config(max_rows=10))
-    assert len(cells(scan)) == 10 and scan.truncated == truncated
-    assert ("row_limit" in [f["code"] for f in scan.findings.collect()]) == truncated
+@pytest.mark.parametrize("odd", ["\x85", "\u2028", "\x0b", "\x0c", "\x1c"])
+def test_only_line_ends_end_records(spark, write, odd):
+    """Breaks that are no line ends stay in header names, cells and malformed records."""
+    scan = scan_csv(spark, write("odd.csv", f"id,na{odd}me,z\n1,x{odd}y,q\n2,x{odd}y\n3,a,b{odd}c,d\n"))
+    assert scan.headers == ["id", f"na{odd}me", "z"]
+    assert [tuple(r)[1:] for r in scan.rows.orderBy("_row").collect()][0] == ("1", f"x{odd}y", "q")
+    found = [(r["line_number"], r["actual_fields"]) for r in scan.malformed.orderBy("line_number").collect()]
+    assert found == [(3, 2), (4, 4)]
 
 
 def test_numbers_hold_across_files_and_splits(spark, write, tmp_path):
