@@ -291,6 +291,18 @@ ORACLE: dict[str, str] = {
         f"QUALIFY row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey)) <= 5"
         for c in ("o_custkey", "o_orderstatus", "o_orderpriority")
     ),
+    "top_values_typed": "\nUNION ALL ".join(
+        f"SELECT {n} AS rows_asked, '{c}' AS \"column\", row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey)) - 1 AS rank, "
+        f"CAST({value} AS VARCHAR) AS value, count(*) AS n FROM orders WHERE {n} = 0 OR o_orderkey < {n} GROUP BY {value} "
+        f"QUALIFY row_number() OVER (ORDER BY count(*) DESC, min(o_orderkey)) <= 5"
+        for n in (0, 5_000)
+        for c, value in (("day", "CAST(o_orderdate AS DATE)"), ("tenth", "CAST((o_orderkey % 7) / 10.0 AS FLOAT)"))
+    ),
+    "profile_aggregated_orders": _profile(
+        "orders",
+        [("bucket", "numeric", "bucket"), ("orders", "numeric", "orders"), ("largest", "numeric", "largest"), ("latest", "date", "latest")],
+        "(SELECT o_custkey % 500 AS bucket, count(*) AS orders, max(o_totalprice) AS largest, max(o_orderdate) AS latest FROM orders GROUP BY 1)",
+    ),
     "sample_values_events": f"WITH {GAPPY} "
     + "\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY event_id) - 1 AS rank, CAST({c} AS VARCHAR) AS value "

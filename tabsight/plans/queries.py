@@ -93,6 +93,27 @@ def top_values_orders(spark, sf_dir):
     )
 
 
+def top_values_typed(spark, sf_dir):
+    """Top values of dates and floats read the same whether all rows or the first 5,000 are asked for."""
+    typed = orders(spark, sf_dir).select(
+        ROW, F.to_date("o_orderdate").alias("day"), ((F.col("o_orderkey") % 7).cast("float") / F.lit(10).cast("float")).cast("float").alias("tenth")
+    )
+    parts = [
+        profile(typed, sample_rows=n).select(F.lit(n).alias("rows_asked"), "column", F.posexplode("top_values").alias("rank", "top"))
+        for n in (0, 5_000)
+    ]
+    return parts[0].unionByName(parts[1]).select("rows_asked", "column", "rank", "top.value", F.col("top.count").alias("n"))
+
+
+def profile_aggregated_orders(spark, sf_dir):
+    """A frame that is no file scan."""
+    grouped = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("largest"), F.max("o_orderdate").alias("latest")
+    )
+    found = profile(grouped).drop("position", "sample_values", "top_values")
+    return rounded(found, 4, "confidence", "numeric_min", "numeric_max", "numeric_mean", "numeric_median", "numeric_stddev")
+
+
 def sample_values_events(spark, sf_dir):
     found = profile(gappy_events(spark, sf_dir), sample_rows=0)
     return found.select("column", F.posexplode("sample_values").alias("rank", "value"))
@@ -461,6 +482,8 @@ QUERIES: dict[str, Query] = {
     "profile_documents": profile_query("documents"),
     "profile_sample_events": profile_query("events", 5_000),
     "top_values_orders": top_values_orders,
+    "top_values_typed": top_values_typed,
+    "profile_aggregated_orders": profile_aggregated_orders,
     "sample_values_events": sample_values_events,
     "missing_cells_events": missing_cells_events,
     "missing_tokens_events": missing_tokens_events,
