@@ -1,13 +1,13 @@
 """Exact Jaccard self-join of word n-gram sets by prefix trees.
 
-Sets are ordered by one global order (that of a 64-bit hash of the n-gram). Equal sets are one class.
+Sets are stored in one global order (that of a 64-bit hash of the n-gram). Equal sets are one class.
 
 1. Filter. Two linked sets share at least k elements among the first |x| - o(x) + k of each, where o(x) is the least
    overlap that x can have with a partner. Only these prefixes are shuffled: an element that no other class has there
-   cannot be shared, and a class with too few others is linked with nothing.
-2. Blocks. The few classes left are joined by elements of their short prefixes (k = 1) into clusters; linked classes
-   are always in one cluster. A cluster is cut into blocks of bounded size along the set size, and only pairs of
-   blocks whose sizes can be similar are compared.
+   cannot be shared, and a class with too few others is linked with nothing. Most texts go here.
+2. Blocks. The classes left are tied by elements of their short prefixes (k = 1), now in the order of rarity, into
+   clusters; linked classes are always in one cluster. A cluster is cut into blocks of bounded size along the set size,
+   and only pairs of blocks whose sizes can be similar are compared.
 3. Trees. In a task the sets of a block stand in a prefix tree; the sets of the other block walk it, subtrees share
    the overlap counted so far, and a subtree is left as soon as what remains on either side cannot reach the overlap
    needed. Sets that are in one component already are passed over, so a group of copies costs no pair of each two.
@@ -91,7 +91,7 @@ def _short(size, percent: int):
 
 def _shared(size, percent: int):
     """k: so many elements two linked sets share among the first _short + k - 1 of each."""
-    return -(-_short(size, percent) // 2)
+    return _short(size, percent)
 
 
 _SETS = "doc_id long, size long, sig1 long, sig2 long, elements array<long>"
@@ -237,43 +237,48 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int = 90, n: int = 3)
     elements = sets.select("sig1", F.explode("elements").alias("e"))
     alone = elements.groupBy("e").agg(F.min("sig1").alias("sig1"), F.max("sig1").alias("last")).where("sig1 = last")
     own = alone.groupBy("sig1").agg(F.count(F.lit(1)).alias("own"))
-    short = f"cast(size - ceil(size * {percent} / 100) + 1 as int)"
+    short = f"size - ceil(size * {percent} / 100) + 1"
     partner = F.expr(f"ceil(size * {percent} / 100)")
-    needed = F.expr(f"ceil((partner - ceil(partner * {percent} / 100) + 1) / 2)")
+    needed = F.expr(f"partner - ceil(partner * {percent} / 100) + 1")
     left = (
-        sets.join(own, "sig1", "left").withColumn("partner", partner)
-        .where(F.size("elements") - F.coalesce("own", F.lit(0)) >= needed)
-        .groupBy("sig1", "sig2", "size")
-        .agg(F.min("doc_id").alias("rep"), F.first("elements").alias("elements"))
-        .select("rep", "sig1", "size", F.expr(f"slice(elements, 1, {short})").alias("elements"))
+        sets.select("doc_id", "sig1", "sig2", "size", F.size("elements").alias("long")).join(own, "sig1", "left")
+        .withColumn("partner", partner).where(F.col("long") - F.coalesce("own", F.lit(0)) >= needed)
+        .groupBy("sig1", "sig2", "size").agg(F.min("doc_id").alias("doc_id"))
     )
-    left = keep(left, "jaccard-left")
-    # 2. Clusters over shared elements of the short prefixes: each element ties its classes to its smallest one.
-    short = left.select("rep", F.explode("elements").alias("e"))
-    centre = short.groupBy("e").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v <> last").select("e", "v")
-    ties = short.join(centre, "e").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
+    left = keep(left.select("doc_id", "sig1"), "jaccard-left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+    texts = texts.join(ids.select("doc_id"), "doc_id", "left_semi")
+    whole = _sets(texts, n, percent, True).join(ids, ["doc_id", "sig1"], "left_semi").dropDuplicates(["doc_id", "sig1"])
+    whole = keep(whole.select(F.col("doc_id").alias("rep"), "size", "elements"), "jaccard-whole")
+    # 2. The short prefix again, now of whole sets in the order of rarity: what no other class has comes first and ties
+    # nothing. Each element ties the classes that have it in their short prefix to the smallest of them.
+    every = whole.select("rep", "size", F.explode("elements").alias("e"))
+    times = every.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = every.join(times, "e").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("shared"))
+    place = F.expr(f"cast({short} - (size - size(shared)) as int)")
+    rare = shared.withColumn("place", place).where("place > 0").select("rep", F.explode(F.expr("slice(shared.e, 1, place)")).alias("e"))
+    rare = keep(rare, "jaccard-rare")
+    centre = rare.groupBy("e").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v <> last").select("e", "v")
+    ties = rare.join(centre, "e").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
     cluster = components(ties, "jaccard-ties").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     # Blocks along the size. Ranks run over one cluster's numbers only; rows with equal sizes are told apart by rep.
     order = W.partitionBy("cluster").orderBy("size", "rep")
     filled = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     block = F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS) + F.floor(filled / BLOCK_ELEMENTS)
-    ranked = left.select("rep", "sig1", "size").join(cluster, "rep").withColumn("block", block.cast("long"))
+    ranked = whole.select("rep", "size").join(cluster, "rep").withColumn("block", block.cast("long"))
     ranked = keep(ranked, "jaccard-blocks")
     blocks = ranked.groupBy("cluster", "block").agg(F.min("size").alias("small"), F.max("size").alias("big"), F.count(F.lit(1)).alias("n"))
     other = blocks.select("cluster", F.col("block").alias("block2"), F.col("small").alias("small2"), F.col("n").alias("n2"))
     pairs = blocks.join(other, "cluster").where(f"block <= block2 and 100 * big >= {percent} * small2 and (block < block2 or n > 1)")
     sides = F.expr("if(block = block2, array(0), array(0, 1))")
     tasks = pairs.select("cluster", "block", "block2", F.explode(sides).alias("side")).withColumn("own", F.expr("if(side = 0, block, block2)"))
-    # 3. Whole sets of the classes left, from their texts once more. Small clusters share a task, large ones do not.
-    wanted = ranked.select(F.col("rep").alias("doc_id"), "sig1", "cluster", F.col("block").alias("own"))
-    classes, total = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ids = wanted.select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(ids) if classes <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    whole = _sets(texts, n, percent, True).dropDuplicates(["doc_id", "sig1"])
-    dealt = whole.join(wanted, ["doc_id", "sig1"]).join(tasks, ["cluster", "own"])
+    # 3. Small clusters share a task, the pairs of blocks of large ones are spread.
+    total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    wanted = ranked.select("rep", "cluster", F.col("block").alias("own"))
+    dealt = whole.join(wanted, "rep").join(tasks, ["cluster", "own"])
     buckets = max(1, total // BLOCK_ELEMENTS) * 4
-    rows = dealt.select(F.col("doc_id").alias("rep"), "elements", "cluster", "block", "block2", "side").withColumn(
+    rows = dealt.select("rep", "elements", "cluster", "block", "block2", "side").withColumn(
         "bucket", F.pmod(F.xxhash64("cluster", "block", "block2"), F.lit(buckets))
     )
     return rows.groupBy("bucket").applyInPandas(_compare(percent), "u long, v long")
