@@ -37,17 +37,22 @@ class RunResult:
     warnings: list[str] = field(default_factory=list)
     timings: list[tuple] = field(default_factory=list)
     output_paths: dict[str, str] = field(default_factory=dict)
+    persisted: list[DataFrame] = field(default_factory=list, repr=False)
 
     @property
     def cleaned(self) -> DataFrame | None:
         return self.tables.get("cleaned")
 
+    def close(self) -> None:
+        """Release what a run without a sink keeps persisted; its tables then run anew when they are read."""
+        while self.persisted:
+            self.persisted.pop().unpersist()
+
 
 class _Run:
     def __init__(self, spark: SparkSession, config: Config, source_name: str) -> None:
         self.spark, self.config = spark, config
         self.result = RunResult(source_name=source_name)
-        self.persisted: list[DataFrame] = []
 
     def stage(self, name: str, work: Callable[[], None]) -> None:
         start = time.perf_counter()
@@ -65,10 +70,36 @@ class _Run:
             self.result.output_paths[name] = path
             return self.spark.read.parquet(path)
         df = df.persist()
-        self.persisted.append(df)
+        self.result.persisted.append(df)
         return df
 
 
+def analyze(df: DataFrame, types: dict[str, str], config: Config = Config()) -> tuple[dict[str, DataFrame], list[str]]:
+    """Every analysis of a table by name, and warnings; runs alone on any frame, given the types of its columns.
+
+    Trends, one row for each pair of a date and a value column, are computed once
+    here: their anomaly counts scan all rows, and charts, insights and reports
+    read them.
+    """
+    rows, warnings = ensure_rows(df), []
+    fits = fit_trends(rows, types)
+    anomalies = trend_anomalies(rows, types, fits, config.outlier_zscore_threshold)
+    tables = {
+        "summary": summary(rows, types),
+        "correlations": correlations(rows, types),
+        "segments": segments(rows, types),
+        "trends": hold(trends(rows, types, config.outlier_zscore_threshold, fits=fits)),
+        "trend_anomalies": anomalies,
+        "anomaly_findings": anomaly_findings(anomalies),
+    }
+    try:
+        tables["model"] = model(rows, types, config)
+    except SingularModel as exc:
+        tables["model"] = local_frame(df.sparkSession, [], MODEL_SCHEMA)
+        warnings.append(f"No regression model: {exc}.")
+    return tables, warnings
+
+
 def run(spark: SparkSession, source, config: Config = Config(), source_name: str | None = None) -> RunResult:
     """Run every stage over a CSV path or a DataFrame; failures end up in ``errors``.
 
@@ -87,8 +118,8 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
             state["rows"], state["malformed"] = job.keep("input", ensure_rows(source)), None
             return
         scan = scan_csv(spark, source, config)
-        state["rows"], state["malformed"] = job.keep("input", scan.rows), scan.malformed
-        tables["malformed"], tables["ingest_findings"], tables["audit"] = scan.malformed, scan.findings, scan.audit
+        state["rows"], state["malformed"] = job.keep("input", scan.rows), job.keep("malformed", scan.malformed)
+        tables["malformed"], tables["ingest_findings"], tables["audit"] = state["malformed"], scan.findings, scan.audit
         result.warnings += [r["message"] for r in scan.findings.collect() if r["severity"] == WARNING]
 
     def validate() -> None:
@@ -122,28 +153,16 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         tables["cleaning"] = hold(cleaned.report)
         state["sliced"] = slice_rows(state["cleaned"], config.slice_filters)
         if config.slice_filters:
+            # Fixed text.
             result.warnings.append(
                 f"Applied {len(config.slice_filters)} slice filter(s) before analysis and visualization."
             )
 
-    def analyze() -> None:
+    def study() -> None:
         nonlocal tables
-        rows, types = state["sliced"], state["types"]
-        fits = fit_trends(rows, types)
-        anomalies = trend_anomalies(rows, types, fits, config.outlier_zscore_threshold)
-        tables |= {
-            "summary": summary(rows, types),
-            "correlations": correlations(rows, types),
-            "segments": segments(rows, types),
-            "trends": trends(rows, types, config.outlier_zscore_threshold, fits=fits),
-            "trend_anomalies": anomalies,
-            "anomaly_findings": anomaly_findings(anomalies),
-        }
-        try:
-            tables["model"] = model(rows, types, config)
-        except SingularModel as exc:
-            tables["model"] = local_frame(spark, [], MODEL_SCHEMA)
-            result.warnings.append(f"No regression model: {exc}.")
+        found, warnings = analyze(state["sliced"], state["types"], config)
+        tables |= found
+        result.warnings += warnings
 
     def chart() -> None:
         rows = state["sliced"]
@@ -170,7 +189,7 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
 
     try:
         for stage, work in (
-            ("ingestion", ingest), ("validation", validate), ("cleaning", tidy), ("analysis", analyze),
+            ("ingestion", ingest), ("validation", validate), ("cleaning", tidy), ("analysis", study),
             ("visualization", chart), ("insights", explain), ("reporting", report),
         ):
             job.stage(stage, work)
@@ -179,6 +198,8 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
         result.errors.append(str(exc))
     except Exception as exc:  # a run reports its failure instead of raising
         result.errors.append(f"{type(exc).__name__}: {exc}")
+    if not result.success:
+        result.close()
     _summarize(job)
     return result
 
