@@ -34,16 +34,19 @@ def _directions(dimension: int, seed: int, bits: int) -> np.ndarray:
 
 
 def _keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """``vec_id``, ``unit`` (bytes of doubles), ``key0`` ...: sortable keys. Vectors that cannot link are left out."""
+    """``vec_id``, ``dim``, ``vector`` (its numbers as bytes) and ``keys``, one sortable key for each pass.
+
+    Vectors that cannot link are left out. Floats stay floats, all else becomes doubles.
+    """
     python_tasks(vectors.sparkSession)
-    names = ["vec_id", "dim", "vector", *[f"key{p}" for p in range(passes)]]
-    schema = "vec_id long, dim int, vector binary, " + ", ".join(f"key{p} binary" for p in range(passes))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    stored = np.dtype("<f4" if single else "<f8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not vector or None in vector:
+                if vec_id is None or not vector or None in vector:
                     continue
                 row = np.array(vector, np.float64)
                 if np.isfinite(row).all() and row.any():
@@ -52,18 +55,25 @@ def _keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             for dim in sorted({len(r) for r in rows}):
                 own = [k for k, r in enumerate(rows) if len(r) == dim]
                 block = np.stack([rows[k] for k in own])
-                unit = _units(block)
-                keys = []
+                unit, keys = _units(block), []
                 for p in range(passes):
                     seen = unit @ _directions(dim, seed * 1000 + p, bits)
                     # The finer projection as a number whose bytes sort like it.
                     fine = ((np.clip(seen[:, -1] / np.sqrt(dim), -1, 1) + 1) * (2**31 - 1)).astype(">u4")
                     packed = np.packbits(seen[:, :-1] > 0, axis=1)
                     keys.append([a.tobytes() + b.tobytes() for a, b in zip(packed, fine, strict=True)])
-                columns = [pa.array([ids[k] for k in own], pa.int64()), pa.array([dim] * len(own), pa.int32()), pa.array([r.tobytes() for r in block], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(k, pa.binary()) for k in keys]], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[k] for k in own], pa.int64()),
+                        pa.array([dim] * len(own), pa.int32()),
+                        pa.array([r.astype(stored).tobytes() for r in block], pa.binary()),
+                        pa.array([list(k) for k in zip(*keys, strict=True)], pa.list_(pa.binary())),
+                    ],
+                    names=["vec_id", "dim", "vector", "keys"],
+                )
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInArrow(run, "vec_id long, dim int, vector binary, keys array<binary>")
 
 
 def _units(block: np.ndarray) -> np.ndarray:
@@ -72,32 +82,36 @@ def _units(block: np.ndarray) -> np.ndarray:
     return block / np.sqrt((block * block).sum(axis=1, keepdims=True))
 
 
-def _ranked(classes: DataFrame, key: str, rank: str) -> DataFrame:
-    """Add the dense rank of a row in the order of ``key``, ``rep``: range-sorted parts and the rows before each."""
-    ordered = keep(classes.select("rep", key).orderBy(key, "rep").withColumn("_at", F.monotonically_increasing_id()), "ranks")
+def _places(classes: DataFrame, bits: int) -> DataFrame:
+    """``rep``, ``pass``, ``rank`` (dense, from 0) in the order of the pass's keys, and ``run``, the key's leading bits.
+
+    One range sort over all passes; a row's position is its place in its part and the rows of the parts before.
+    """
+    rows = classes.select("rep", F.posexplode("keys").alias("pass", "key"))
+    ordered = keep(rows.orderBy("pass", "key", "rep").withColumn("_at", F.monotonically_increasing_id()), "projection-order")
     part = F.shiftright("_at", 33)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return ordered.withColumn("_part", part).join(offsets, "_part").select("rep", key, place.alias(rank))
-
+    lead = F.conv(F.hex(F.substring("key", 1, -(-bits // 8))), 16, 10).cast("long")
+    # Every pass holds every class once: the ranks of a pass begin after as many rows as the passes before have.
+    return ordered.withColumn("_part", part).join(offsets, "_part").select("rep", "pass", place.alias("place"), lead.alias("run"))
 
-def _compare(passes: int, at: int, threshold: float, window: int):
-    ranks, runs = [f"rank{p}" for p in range(passes)], [f"run{p}" for p in range(passes)]
 
+def _compare(threshold: float, window: int, stored: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
+        at, block, other = int(rows["pass"].iloc[0]), int(rows["block"].iloc[0]), int(rows["block2"].iloc[0])
         found = []
         for _, same in rows.groupby("dim"):
-            unit = _units(np.stack([np.frombuffer(v) for v in same["vector"]]))
-            place, key = same[ranks].to_numpy(), same[runs].to_numpy()
             home = (same["side"] == 0).to_numpy()
-            block, other = int(same["block"].iloc[0]), int(same["block2"].iloc[0])
             left = np.flatnonzero(home)
             right = left if block == other else np.flatnonzero(~home)
             if not len(left) or not len(right):
                 continue
+            unit = _units(np.stack([np.frombuffer(v, stored) for v in same["vector"]]).astype(np.float64))
+            place, key = np.stack(same["ranks"].to_list()), np.stack(same["runs"].to_list())
             near = unit[left] @ unit[right].T >= threshold
             # In reach in this pass: within the window, or in one run of equal keys.
             near &= (np.abs(place[left, at][:, None] - place[right, at]) <= window) | (key[left, at][:, None] == key[right, at])
@@ -115,7 +129,7 @@ def _compare(passes: int, at: int, threshold: float, window: int):
             np.add.at(links, a, weights[b])
             np.add.at(links, b, weights[a])
             group = np.arange(len(same))
-            for x, y in zip(a, b, strict=True):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 if group[x] != group[y]:
                     found.append((int(reps[x]), int(reps[y]), 0))
                     group[group == group[y]] = group[x]
@@ -126,21 +140,6 @@ def _compare(passes: int, at: int, threshold: float, window: int):
     return run
 
 
-def _pass(ranked: DataFrame, passes: int, at: int, threshold: float, window: int) -> DataFrame:
-    """Links (``u``, ``v``) and counts (``u``, null, ``n``) of one pass; a run is what has the same leading bits."""
-    rows = ranked.withColumn("rank", F.col(f"rank{at}")).withColumn("block", F.floor(F.col("rank") / BLOCK).cast("long"))
-    runs = rows.groupBy(f"run{at}").agg(F.max("block").alias("_until"))
-    rows = rows.join(runs, f"run{at}")
-    # A row meets its own block, the later ones within the window, and those that its run of equal keys reaches.
-    reach = F.greatest(F.floor((F.col("rank") + window) / BLOCK), F.col("_until")).cast("long")
-    ends = rows.groupBy("block").agg(F.max(reach).alias("_reach"))
-    most = ends.select(F.col("block"), F.explode(F.sequence("block", "_reach")).alias("block2"))
-    sides = F.expr("if(block = block2, array(0), array(0, 1))")
-    tasks = most.select("block", "block2", F.explode(sides).alias("side")).withColumn("_own", F.expr("if(side = 0, block, block2)"))
-    dealt = rows.withColumnRenamed("block", "_own").join(tasks, "_own").drop("_own", "_until")
-    return dealt.groupBy("block", "block2").applyInPandas(_compare(passes, at, threshold, window), "u long, v long, n long")
-
-
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = 7
 ) -> DataFrame:
@@ -150,32 +149,40 @@ def near_duplicates(
     lengths never link with each other. Rows that repeat a vector are linked with each other. A null vec_id has neither
     links nor component; rows of one vec_id with different vectors share a component. Empty in, empty out.
     """
-    keyed = keep(_keys(vectors, passes, bits, seed).where("vec_id is not null"), "projections")
-    names = [f"key{p}" for p in range(passes)]
+    keyed = keep(_keys(vectors, passes, bits, seed), "projections")
     classes = keyed.groupBy("vector").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("dim").alias("dim"), *[F.first(k).alias(k) for k in names]
+        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("dim").alias("dim"), F.first("keys").alias("keys")
     )
-    # Two vectors of one vec_id may both be the least of their class: the digest tells them apart.
-    classes = keep(classes.withColumn("digest", F.xxhash64("vector")), "projection-classes")
-    ranked = classes.select("digest", "vector", "weight", "dim", F.col("rep").alias("id"), *names).withColumnRenamed("digest", "rep")
-    for p, name in enumerate(names):
-        ranked = ranked.join(_ranked(ranked, name, f"rank{p}").drop(name), "rep")
-    lead = -(-bits // 8)
-    runs = {f"run{p}": F.conv(F.hex(F.substring(name, 1, lead)), 16, 10).cast("long") for p, name in enumerate(names)}
-    ranked = keep(ranked.withColumns(runs).drop("id", *names), "projection-ranks")
-    found = None
-    for p in range(passes):
-        one = _pass(ranked, passes, p, threshold, window)
-        found = one if found is None else found.unionByName(one)
-    found = keep(found, "projection-links")
-    ids = classes.select(F.col("digest").alias("u"), F.col("rep").alias("id"))
+    # Two vectors of one vec_id may both be the least of their class: a digest names the class.
+    classes = keep(classes.withColumn("rep", F.xxhash64("vector")), "projection-classes")
+    size = classes.count()
+    places = _places(classes, bits).withColumn("rank", F.col("place") - F.col("pass") * F.lit(size))
+    listed = places.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("pass", "rank", "run"))).alias("all"))
+    ranked = classes.select("rep", "dim", "vector", "weight").join(listed.select("rep", F.col("all.rank").alias("ranks"), F.col("all.run").alias("runs")), "rep")
+    ranked = keep(ranked, "projection-ranks")
+    # A block meets itself, the later ones within the window, and those that its runs of equal keys reach.
+    spots = ranked.select(F.posexplode(F.arrays_zip("ranks", "runs")).alias("pass", "at")).select("pass", "at.ranks", "at.runs")
+    block = F.floor(F.col("ranks") / BLOCK).cast("long")
+    until = spots.groupBy("pass", "runs").agg(F.min(block).alias("block"), F.max(block).alias("until")).where("until > block")
+    ends = spots.groupBy("pass", block.alias("block")).agg(F.floor((F.max("ranks") + window) / BLOCK).cast("long").alias("until"))
+    inner = until.select("pass", F.explode(F.sequence("block", "until")).alias("block"), "until")
+    reach = ends.unionByName(inner).groupBy("pass", "block").agg(F.max("until").alias("until"))
+    last = max(0, (size - 1) // BLOCK)
+    pairs = reach.select("pass", "block", F.explode(F.sequence("block", F.least("until", F.lit(last)))).alias("block2"))
+    sides = F.expr("if(block = block2, array(0), array(0, 1))")
+    tasks = pairs.select("pass", "block", "block2", F.explode(sides).alias("side")).withColumn("own", F.expr("if(side = 0, block, block2)"))
+    rows = ranked.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("own", F.floor(F.col("rank") / BLOCK).cast("long"))
+    dealt = rows.join(tasks, ["pass", "own"]).drop("own")
+    stored = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    found = keep(dealt.groupBy("pass", "block", "block2").applyInPandas(_compare(threshold, window, stored), "u long, v long, n long"), "projection-links")
+    ids = classes.select(F.col("rep").alias("u"), "id")
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
     named = found.where("v is not null").join(ids, "u").select(F.col("v").alias("u"), F.col("id").alias("a")).join(ids, "u")
     links = named.select(F.col("a").alias("u"), F.col("id").alias("v"))
     # Equal vectors under several ids, and one id with several vectors, tie their classes as well.
-    member = keyed.select("vec_id", "vector", "dim").join(classes.select("vector", "rep", "weight", F.col("digest").alias("u")), "vector")
-    member = keep(member.select("vec_id", "u", "rep", "weight"), "projection-members")
-    ties = member.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
+    member = keyed.select("vec_id", "vector").join(classes.select("vector", "id", "weight", F.col("rep").alias("u")), "vector")
+    member = keep(member.select("vec_id", "u", "id", "weight"), "projection-members")
+    ties = member.where("vec_id <> id").select(F.col("vec_id").alias("u"), F.col("id").alias("v"))
     group = components(links.unionByName(ties), "projection-components").select(F.col("node").alias("vec_id"), "component")
     linked = member.join(counts, "u", "left").groupBy("vec_id").agg(F.max(F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("_n"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, "vec_id", "left").join(group, "vec_id", "left")
