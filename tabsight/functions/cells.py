@@ -79,6 +79,8 @@ _ISO = _whole(
     r"(?!0000)(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
     r"(?:[^Z](\d{2})(?:(:?)(\d{2})(?:\7(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?|Z)?"
 )
+# Groups: 1 year, 2-5 week and day (dashed or basic), 6 what follows the date.
+_ISO_WEEK = _whole(r"(?!0000)(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)((?:[^Z\d-].*|Z)?)")
 _DASHED = _whole(rf"(?!0000)\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[{_WS}]+\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}})?)?")
 _SLASHED = _whole(rf"(?!0000)\d{{4}}/\d{{1,2}}/\d{{1,2}}(?:[{_WS}]+\d{{1,2}}:\d{{1,2}}:\d{{1,2}})?")
 _YEAR_LAST = _whole(r"(\d{1,2})/(\d{1,2})/((?!0000)\d{4})")
@@ -194,6 +196,44 @@ def parse_number(c: Column, kind: str = "string", strict: bool = False) -> Colum
     return F.when(c.rlike(_STRICT_NUMBER), number) if strict else number
 
 
+def _iso_time(c: Column) -> Column:
+    """The UTC time of an ISO text; offsets of up to a day, which a cast would refuse beyond 18 hours."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(c, _ISO, group)
+
+    def clock(group: int) -> Column:
+        return F.lpad(part(group), 2, "0")
+
+    text = F.concat(
+        F.concat_ws("-", part(1), F.concat(part(2), part(4)), F.concat(part(3), part(5))),
+        F.lit(" "),
+        F.concat_ws(":", clock(6), clock(8), clock(9)),
+        F.lit("."),
+        F.rpad(part(10), 6, "0"),
+    )
+    local = text.try_cast("timestamp")
+    offset = F.replace(part(11), F.lit(":"), F.lit(""))
+    hours, minutes = F.substring(offset, 2, 2).try_cast("int"), F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
+    east = F.make_dt_interval(F.lit(0), hours, minutes)
+    moved = F.when((hours <= 23) & (minutes <= 59), F.when(offset.startswith("-"), local + east).otherwise(local - east))
+    return F.when(offset.isin("", "Z"), local).otherwise(moved)
+
+
+def _calendar_text(c: Column) -> Column:
+    """An ISO week date as the ISO date of its day (Monday, where none is named); NULL for a week the year hasn't."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(c, _ISO_WEEK, group)
+
+    week = F.concat(part(2), part(4)).try_cast("int")
+    day = F.coalesce(F.concat(part(3), part(5)).try_cast("int"), F.lit(1))
+    fourth = F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(4))
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    there = (week >= 1) & (F.year(F.date_add(monday, 3)) == F.year(fourth))
+    return F.when(there, F.concat(F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"), part(6)))
+
+
 def parse_date(c: Column, kind: str = "string") -> Column:
     """Timestamp of an ISO 8601 text or one of the accepted layouts, month before day; UTC.
 
@@ -208,22 +248,6 @@ def parse_date(c: Column, kind: str = "string") -> Column:
     if kind != "string":
         return F.lit(None).cast("timestamp")
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(c, _ISO, group)
-
-    def clock(group: int) -> Column:
-        return F.lpad(part(group), 2, "0")
-
-    offset = F.regexp_replace(F.regexp_replace(part(11), ":", ""), r"^([+-]\d{2})(\d{2})?$", "$1:$2")
-    offset = F.regexp_replace(offset, ":$", ":00")
-    iso = F.concat(
-        F.concat_ws("-", part(1), F.concat(part(2), part(4)), F.concat(part(3), part(5))),
-        F.lit(" "),
-        F.concat_ws(":", clock(6), clock(8), clock(9)),
-        F.lit("."),
-        F.rpad(part(10), 6, "0"),
-        offset,
-    )
     spaced = collapse_text(F.translate(c, "/", "-"))
     month_name = F.lower(F.substring(F.regexp_extract(c, _NAMED_MONTH, 1), 1, 3))
     month = (F.position(month_name, F.lit("".join(m[:3] for m in MONTHS))) + 2) / 3
@@ -236,7 +260,8 @@ def parse_date(c: Column, kind: str = "string") -> Column:
     return (
         F.when(~c.rlike(_DATE_HINT), None)
         .when(c.rlike(_DASHED) | c.rlike(_SLASHED), spaced.try_cast("timestamp"))
-        .when(c.rlike(_ISO), iso.try_cast("timestamp"))
+        .when(c.rlike(_ISO), _iso_time(c))
+        .when(c.rlike(_ISO_WEEK), _iso_time(_calendar_text(c)))
         .when(
             c.rlike(_YEAR_LAST),
             F.coalesce(

@@ -59,6 +59,27 @@ def test_is_missing(spark):
     check(spark, MISSING, C.is_missing)
 
 
+def test_week_dates_and_wide_offsets(spark):
+    from datetime import datetime, timezone
+
+    texts = [
+        "2026-W01", "2026-W01-1", "2026W017", "2020-W53-7", "2021-W53-1", "2026-W00-1", "2026-W54", "2026-W01-8",
+        "2026-W10-3T04:05:06", "2026W103T040506+0530", "2026-01-02T03:04:05+23:59", "2026-01-02T03:04:05-19:00",
+        "2026-01-02T03:04:05+24:00", "2026-01-02T03:04:05-05:30", "2026-01-02T03:04:05Z", "2026-01-02T03:04:05+19",
+    ]
+
+    def expected(text):
+        try:
+            when = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return when if when.tzinfo is None else when.astimezone(timezone.utc).replace(tzinfo=None)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", C.parse_date(F.col("s")).alias("t").cast("string")).collect()
+    got = {r["s"]: r["t"] for r in rows}
+    assert got == {t: str(e) if (e := expected(t)) else None for t in texts}
+
+
 def test_strict_numbers_refuse_dates_and_names(spark):
     cases = [("2026/01/02", None), ("Brand#12", None), ("$1,234.5", 1234.5), ("(50%)", -0.5), ("-3", -3.0)]
     check(spark, cases, lambda c: C.parse_number(c, strict=True))
