@@ -90,18 +90,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     python_tasks(spark)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, places = _index_vectors(), Places()
-        total = np.zeros((VOCABULARY, DIMENSIONS))
+        places = Places()
+        # How often each word stands near each other one: letters with letters, shapes with shapes (64 MB).
+        near = np.zeros((2, _HALF * _HALF), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for at in places_of(text, places).T:
-                    # Which word stands near which, as a sparse table of this text: each pair once with its count.
-                    for gap in range(1, REACH + 1):
-                        if len(at) > gap:
-                            pair, times = np.unique(at[:-gap] * VOCABULARY + at[gap:], return_counts=True)
-                            left, right = pair // VOCABULARY, pair % VOCABULARY
-                            np.add.at(total, left, index[right] * times[:, None])
-                            np.add.at(total, right, index[left] * times[:, None])
+            found = [places_of(text, places) for text in batch.column(0).to_pylist()]
+            text_no = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            for gap in range(1, REACH + 1):
+                same = text_no[:-gap] == text_no[gap:]
+                for kind in (0, 1):
+                    own = at[:, kind] - kind * _HALF
+                    np.add.at(near[kind], own[:-gap][same] * _HALF + own[gap:][same], 1)
+        index = _index_vectors().astype(np.float64).reshape(2, _HALF, DIMENSIONS)
+        total = np.concatenate([(n + n.T) @ i for n, i in zip(near.reshape(2, _HALF, _HALF), index, strict=True)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     def add(_, rows):

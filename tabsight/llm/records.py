@@ -82,7 +82,7 @@ def write_records(
 
     # The text writer puts out the bytes of a value and a line feed: any store that Spark writes to will do.
     framed = rows.mapInArrow(run, "record binary").select(F.expr("substring(record, 1, length(record) - 1)").cast("string"))
-    framed.write.option("lineSep", "\n").text(path)
+    framed.write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
