@@ -72,7 +72,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -89,7 +89,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = keep(_star(_star(now, True), False), name)
+        now = keep(_star(_star(now, True), False).distinct(), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

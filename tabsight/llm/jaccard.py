@@ -262,11 +262,16 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int = 90, n: int = 3)
     centre = rare.groupBy("e").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v <> last").select("e", "v")
     ties = rare.join(centre, "e").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
     cluster = components(ties, "jaccard-ties").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    # Blocks along the size. Ranks run over one cluster's numbers only; rows with equal sizes are told apart by rep.
-    order = W.partitionBy("cluster").orderBy("size", "rep")
-    filled = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    block = F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS) + F.floor(filled / BLOCK_ELEMENTS)
-    ranked = whole.select("rep", "size").join(cluster, "rep").withColumn("block", block.cast("long"))
+    # Blocks along the size. The window goes over the distinct sizes of a cluster; rows of one size get places by hash.
+    members = whole.select("rep", "size").join(cluster, "rep")
+    sizes = members.groupBy("cluster", "size").agg(F.count(F.lit(1)).alias("n"))
+    smaller = W.partitionBy("cluster").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "cluster", "size", "n", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * F.col("size")).over(smaller), F.lit(0)).alias("filled")
+    )
+    at = F.pmod(F.xxhash64("rep"), F.col("n"))
+    block = F.floor((F.col("rows") + at) / BLOCK_ROWS) + F.floor((F.col("filled") + at * F.col("size")) / BLOCK_ELEMENTS)
+    ranked = members.join(sizes, ["cluster", "size"]).select("rep", "size", "cluster", block.cast("long").alias("block"))
     ranked = keep(ranked, "jaccard-blocks")
     blocks = ranked.groupBy("cluster", "block").agg(F.min("size").alias("small"), F.max("size").alias("big"), F.count(F.lit(1)).alias("n"))
     other = blocks.select("cluster", F.col("block").alias("block2"), F.col("small").alias("small2"), F.col("n").alias("n2"))
