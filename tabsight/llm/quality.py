@@ -54,16 +54,19 @@ def shape(token: str) -> str:
 
 
 class Places(dict):
-    """Tokens to their places in the vocabulary: of the letters, of the shape, of the shape when repeated."""
+    """Tokens to their places in the vocabulary: of the letters, of the shape, of the shape when repeated, 16 bits each,
+    and the upper 15 bits of the token's own hash (places use lower ones) to tell repetitions."""
 
-    def __missing__(self, token: str) -> tuple[int, int, int]:
+    def __missing__(self, token: str) -> int:
         own = shape(token)
-        found = (
+        places = (
             zlib.crc32("".join(_LETTERS.findall(token.lower())).encode("utf-8", "surrogatepass")) % _HALF,
             _HALF + zlib.crc32(own.encode("utf-8", "surrogatepass")) % _HALF,
             _HALF + zlib.crc32(f"{own} again".encode("utf-8", "surrogatepass")) % _HALF,
+            zlib.crc32(token.encode("utf-8", "surrogatepass")) >> 17,
         )
-        if len(self) > 200_000:
+        found = sum(place << 16 * k for k, place in enumerate(places))
+        if len(self) > 300_000:
             self.clear()
         if len(token) <= 64:
             self[token] = found
@@ -75,9 +78,10 @@ def places_of(text: str | None, places: Places) -> np.ndarray:
     tokens = text.split() if text else []
     if not tokens:
         return np.zeros((0, 2), np.int64)
-    found = np.array([places[t] for t in tokens], np.int64)
-    again = np.array([False, *[a == b for a, b in zip(tokens, tokens[1:])]])
-    return np.stack([found[:, 0], np.where(again, found[:, 2], found[:, 1])], 1)
+    found = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+    again = np.concatenate(([False], found[1:] == found[:-1]))
+    shapes = np.where(again, found >> 32, found >> 16) & 0xFFFF
+    return np.stack([found & 0xFFFF, shapes], 1)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -125,8 +129,9 @@ def pooled(text: str | None, vectors: np.ndarray, index: np.ndarray, places: Pla
         return np.zeros(5 * DIMENSIONS + 1, np.float32)
     parts = []
     for own in at.T:
-        seen, times = np.unique(own, return_counts=True)
-        share = (times / len(own)).astype(np.float32)
+        counts = np.bincount(own, minlength=VOCABULARY)
+        seen = np.flatnonzero(counts)
+        share = (counts[seen] / len(own)).astype(np.float32)
         parts += [share @ vectors[seen], share @ index[seen]]
     # How far the shapes spread around their mean, and the length.
     parts += [np.sqrt(share @ (vectors[seen] - parts[2]) ** 2), [np.log1p(len(own)) / 10]]
