@@ -4,7 +4,8 @@ Candidates are dealt into shards of bounded size, queries into blocks of bounded
 every shard: a stated query set against all rows, in blocks. In a task the shard becomes a tree of balls; a query opens
 nodes by the upper bound of the inner product in a ball (centre product plus radius times the query's length) and stops
 once no bound reaches its kth score. The first wave meets one shard; the kth scores found there are shared with all
-other shards, which start from them and return only candidates that can still be among the first k.
+other shards, which start from them and return only candidates that can still be among the first k. Results are counted by vec_id:
+repeated rows are dropped before the search, and several vectors of one vec_id are one result, with its best score.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ class BallTree:
         build(0, len(rows))
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.rows, self.ids = rows[self.order], ids[self.order]
+        self.repeated = len(np.unique(ids)) < len(ids)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """No row of a node scores more; scores are whole numbers, so bounds are rounded down (with a little slack)."""
@@ -85,8 +87,9 @@ class BallTree:
         return np.floor((real @ self.centres.T + length[:, None] * self.radii) * (1 + 1e-9) + 1e-3)
 
     def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, least: int = NO_SCORE) -> list[tuple[int, int]]:
-        """Up to k (score, -id) of the best rows other than the query's own, none below ``least``."""
+        """(score, -id) of up to k best ids other than the query's own, each with its best row, none below ``least``."""
         best: list[tuple[int, int]] = []
+        score_of: dict[int, int] = {}  # of the ids in best
         kth = least
         open_nodes = [(-bounds[0], 0)]
         while open_nodes:
@@ -103,14 +106,26 @@ class BallTree:
             ids = self.ids[part]
             fits = (scores >= kth) & (ids != own_id)
             scores, ids = scores[fits], ids[fits]
+            if self.repeated:
+                order = np.lexsort((ids, -scores))
+                first = order[np.unique(ids[order], return_index=True)[1]]
+                scores, ids = scores[first], ids[first]
             if len(scores) > k:
                 first = np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[first], ids[first]
             for item in zip(scores.tolist(), (-ids).tolist(), strict=True):
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
+                if item[1] in score_of:
+                    old = (score_of[item[1]], item[1])
+                    if item <= old:
+                        continue
+                    best.remove(old)
+                    heapq.heapify(best)
+                elif len(best) == k:
+                    if item < best[0]:
+                        continue
+                    del score_of[heapq.heappop(best)[1]]
+                heapq.heappush(best, item)
+                score_of[item[1]] = item[0]
             if len(best) == k:
                 kth = max(kth, best[0][0])
         return best
@@ -143,10 +158,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both sides: ``vec_id``, ``dim``, ``vector`` as from ``quantized``. Rows meet only rows of their own length. A query
     with fewer than k candidates gets all of them; repeated ids are answered once each and are never their own answer.
     """
-    rows = keep(vectors, "search-rows")
+    rows = keep(vectors.dropDuplicates(["vec_id", "dim", "vector"]), "search-rows")
     asked = keep(queries.dropDuplicates(["vec_id", "dim", "vector"]), "search-queries")
     shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
-    held = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    held = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
 
     def wave(asked: DataFrame, first: int, last: int) -> DataFrame:
@@ -157,12 +172,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         )
         return left.unionByName(right).groupBy("dim", "block", "shard").applyInPandas(_search(k), _FOUND)
 
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def first(found: DataFrame) -> DataFrame:
+        unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return unique.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     found = keep(wave(asked.withColumn("least", F.lit(NO_SCORE)), 0, 0), "search-first")
     if shards > 1:
-        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-        known = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left").fillna(NO_SCORE, "least")
+        kth = first(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        known = asked.join(kth, "vec_id", "left").fillna(NO_SCORE, "least")
         found = found.unionByName(wave(known, 1, shards - 1))
-    # At most k rows of each shard for a query.
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return unique.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # At most k rows of each shard for a vector of a query.
+    return first(found).select("query_id", "rank", "vec_id", "score")

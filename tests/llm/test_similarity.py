@@ -139,3 +139,21 @@ def test_fewer_than_k(spark):
     held = top_k.quantized(vectors(spark, [(0, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [0.5, 0.5], 0)]))
     rows = [tuple(r) for r in top_k.top_k(held, held.where("vec_id = 0")).orderBy("rank").collect()]
     assert rows == [(0, 1, 1, 64 * 64 * 5), (0, 2, 2, 64 * 32 * 3)]
+
+
+def test_top_k_counts_distinct_ids(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 60)
+    monkeypatch.setattr(top_k, "LEAF_ROWS", 4)
+    rows = clustered(6)
+    own = {i: [v] for i, v, _ in rows}
+    for i in (0, 1, 2, 10):  # other vectors of the same ids: candidates and queries
+        own[i].append(rows[i + 20][1])
+    table = [(i, v, 0) for i, group in own.items() for v in group] * 25
+    held = top_k.quantized(vectors(spark, table))
+    got = {}
+    for r in top_k.top_k(held, held.where("vec_id % 5 = 0"), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [np.floor(np.array(v, np.float64) * 64).astype(np.int64) for v in group] for i, group in own.items()}
+    for q in [i for i in whole if i % 5 == 0]:
+        best = sorted((-max(int(a @ b) for a in whole[i] for b in whole[q]), i) for i in whole if i != q)[:7]
+        assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
