@@ -117,6 +117,26 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert near_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Near, not equal vectors: a group far larger than the window, beside others, and some on its edge."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CLUSTER_ROWS", 100, raising=False)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(32)
+    hot = centre + rng.standard_normal((600, 32)) * 0.2 * np.linalg.norm(centre) / np.sqrt(32)
+    data = np.concatenate([hot, rng.standard_normal((900, 32))]).astype(np.float32)
+    unit = data.astype(np.float64) / np.linalg.norm(data.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    union = Union()
+    for a, b in zip(*np.nonzero(near), strict=True):
+        union.join(int(a), int(b))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(data)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_dedup.near_duplicates(vectors(spark, rows), window=16).collect()}
+    assert near[:600, :600].sum() > 0.5 * 600 * 600
+    assert got == {i: (int(near[i].sum()), union.find(i)) for i in range(len(data))}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(top_k, "SHARD_ROWS", 40)
     monkeypatch.setattr(top_k, "QUERY_ROWS", 3)
