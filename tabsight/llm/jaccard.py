@@ -94,28 +94,32 @@ def _shared(size, percent: int):
     return _short(size, percent)
 
 
-_SETS = "doc_id long, size long, sig1 long, sig2 long, elements array<long>"
+_SETS = "doc_id long, text_hash long, size long, sig1 long, sig2 long, elements array<long>"
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _sets(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
-    """``doc_id``, ``size``, two numbers over the whole set, and its elements: the long prefix, or all."""
+    """``doc_id``, ``text_hash``, ``size``, two numbers over the whole set, and its elements: the long prefix, or all."""
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = shingles(text, n)
                 size = len(found)
                 part = found if whole or not size else found[: _short(size, percent) + _shared(size, percent) - 1]
                 one, two = _mix(found).sum(dtype=np.uint64), _mix(found ^ _BASE).sum(dtype=np.uint64)
-                rows.append((doc_id, size, int(one.view(np.int64)), int(two.view(np.int64)), part.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                rows.append((doc_id, text_hash, size, int(one.view(np.int64)), int(two.view(np.int64)), part.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             names = [c.split()[0] for c in _SETS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
     return rows.mapInArrow(run, _SETS)
 
 
@@ -228,8 +232,10 @@ def _compare(percent: int):
     return run
 
 
-def class_links(docs: DataFrame, sets: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
-    """(``u``, ``v``): links between class representatives (smallest doc_id) that join all linked ones.
+def class_links(docs: DataFrame, sets: DataFrame, percent: int = 90, n: int = 3, rep: str = "doc_id") -> DataFrame:
+    """(``u``, ``v``): links between class representatives that join all linked ones.
+
+    ``rep``: the column that stands for a class; its smallest doc_id, or ``sig1``, which keeps texts of one doc_id apart.
 
     ``sets``: what ``_sets`` gives for the rows that have a set and a doc_id, written to a table.
     """
@@ -250,7 +256,7 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int = 90, n: int = 3)
     ids = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
     texts = texts.join(ids.select("doc_id"), "doc_id", "left_semi")
     whole = _sets(texts, n, percent, True).join(ids, ["doc_id", "sig1"], "left_semi").dropDuplicates(["doc_id", "sig1"])
-    whole = keep(whole.select(F.col("doc_id").alias("rep"), "size", "elements"), "jaccard-whole")
+    whole = keep(whole.select(F.col(rep).alias("rep"), "size", "elements"), "jaccard-whole")
     # 2. The short prefix again, now of whole sets in the order of rarity: what no other class has comes first and ties
     # nothing. Each element ties the classes that have it in their short prefix to the smallest of them.
     every = whole.select("rep", "size", F.explode("elements").alias("e"))
@@ -308,6 +314,21 @@ def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFr
 
 
 def keep_one(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, repeated rows once; rows without doc_id stay."""
-    found = jaccard_components(docs, percent, n).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One row of ``docs`` for each group of linked texts: that of the smallest doc_id, then of the smallest text hash.
+
+    Texts are linked as such: rows that share a doc_id and hold different texts are apart. Texts without words link with
+    nothing; of each doc_id and text one row stays. Rows without doc_id all stay.
+    """
+    sets = keep(_sets(docs, n, percent, False), "jaccard-sets").where("doc_id is not null")
+    named = sets.where("size > 0")
+    linked = components(class_links(docs, named, percent, n, "sig1"), "jaccard-components")
+    linked = linked.select(F.col("node").alias("sig1"), "component")
+    rows = named.groupBy("sig1", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(linked, "sig1", "left")
+    named = rows.groupBy(F.coalesce("component", "sig1")).agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first")).select("first.*")
+    alone = sets.where("size = 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    stays = keep(named.unionByName(alone), "jaccard-stays").toDF("_doc_id", "_text_hash", "_n")
+    own = docs.where("doc_id is not null").withColumns({"_doc_id": F.col("doc_id").cast("long"), "_text_hash": _text_hash()})
+    key = ["_doc_id", "_text_hash"]
+    once = own.join(stays.where("_n = 1"), key, "left_semi")
+    repeated = own.join(stays.where("_n > 1"), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(repeated).select(docs.columns).unionByName(docs.where("doc_id is null"))

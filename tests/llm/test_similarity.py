@@ -79,6 +79,13 @@ def test_jaccard_odd_rows(odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in ODD if i != 6) and kept.columns == odd.columns
 
 
+def test_keep_one_keeps_one_row_of_each_group(documents):
+    text, clean = " ".join(f"w{i}" for i in range(60)), " ".join(f"clean{i}" for i in range(60))
+    rows = [(5, text), (5, text), (5, text), (8, f"{text} more"), (8, clean), (9, "one of its own here"), (9, "one of its own here"), (10, None), (10, None), (10, ""), (None, clean)]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(documents(rows)).collect()), key=str)
+    assert got == sorted([(5, text), (8, clean), (9, "one of its own here"), (10, None), (10, ""), (None, clean)], key=str)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
 
