@@ -1,7 +1,48 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL expresses on whole tables."""
 
 from __future__ import annotations
 
+def _vector_codes(rounds: int = 6) -> str:
+    """Assignments and codebooks of every round as chained tables of single numbers."""
+    steps = ["""
+        kept AS (
+            SELECT vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) % 8 = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS MATERIALIZED (
+            SELECT vec_id, (i - 1) // (len(embedding) // 8) AS part, (i - 1) % (len(embedding) // 8) AS place,
+                   floor(4096 * embedding[i]::DOUBLE)::BIGINT AS x
+            FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+        ), firsts AS (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16
+        ), c0 AS MATERIALIZED (
+            SELECT part, entry, place, x AS c FROM x JOIN firsts USING (vec_id)
+        )"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, part, entry, apart FROM (
+                SELECT vec_id, x.part, entry, sum((x - c) * (x - c))::BIGINT AS apart
+                FROM x JOIN c{r} c ON c.part = x.part AND c.place = x.place GROUP BY ALL
+            ) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY apart, entry) = 1
+        )""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+            SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, part) GROUP BY ALL
+        ), c{r + 1} AS MATERIALIZED (
+            SELECT part, entry, place, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+            FROM c{r} LEFT JOIN m{r} USING (part, entry, place)
+        )""")
+    return f"""
+        WITH {", ".join(steps)}, coded AS (
+            SELECT vec_id, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(apart)::BIGINT AS error
+            FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM c{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)
+    """
+
+
 ORACLE: dict[str, str] = {
     "op4_mixing": """
         WITH docs AS (
@@ -25,4 +66,5 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, source, copy, md5(concat_ws(':', '0', 'order', doc_id, md5(text), copy)) AS shuffle_key, md5(text) AS text_md5
         FROM copies
     """,
+    "op11_vector_codes": _vector_codes(),
 }

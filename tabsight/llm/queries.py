@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import jaccard, license_scan, mixing, near_dedup, packing, quality, records, secret_scan, top_k, toxicity
+from tabsight.llm import jaccard, license_scan, mixing, near_dedup, packing, quality, records, secret_scan, top_k, toxicity, vector_codes
 from tabsight.llm.common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
