@@ -67,4 +67,37 @@ ORACLE: dict[str, str] = {
         FROM copies
     """,
     "op11_vector_codes": _vector_codes(),
+    "op12_source_divergence": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), words AS MATERIALIZED (
+            SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs
+        ), kept AS MATERIALIZED (
+            SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+        ), langs AS (
+            SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang
+        ), cells AS MATERIALIZED (
+            SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), groups AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN cells USING (lang, source) GROUP BY ALL
+        ), shares AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.v)::HUGEINT AS p,
+                   1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v)::HUGEINT AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN cells c USING (lang, source, term)
+        ), valued AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM valued QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
