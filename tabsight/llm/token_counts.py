@@ -335,11 +335,14 @@ class TokenCounter:
         self._count(waiting, totals)
 
     def _cut(self, text: str) -> int:
-        """The last place within a block where a piece begins; of a longer piece, its end."""
+        """The last place within a block where a piece begins after a character that is no blank; else a later one."""
         size = self.block
         while size < len(text):
             codes = np.frombuffer(text[: size + 2].encode("utf-32-le"), np.uint32)
-            found = np.flatnonzero(self.splits.begins(codes)[1:size]) + 1  # the two characters after it are known
+            begins = self.splits.begins(codes)[1:size]  # the character after each of these is known
+            blank = np.isin(character_kinds()[codes[: size - 1]], [_KINDS.index("space"), _KINDS.index("blank")])
+            # Blanks before a cut would be split as those at the end of a text are.
+            found = np.flatnonzero(begins & ~blank) + 1
             if len(found):
                 return int(found[-1])
             size *= 2
