@@ -2,10 +2,12 @@
 
 Voters are binary: word lists (some written down here, some drawn from labelled training rows) and patterns. Their votes
 over the whole corpus are counted by vote pattern, at most 2**16 of them. The label model is a mixture of a toxic and a
-clean class, fitted by expectation maximization on these counts, with the training labels as fixed members: it gives
-each voter's rate in either class (its accuracy). Correlations of voters within a class are measured on the posterior,
-and correlated voters share their weight. Posterior labels of a bounded sample then train a sparse linear classifier on
-the presence of words and word beginnings, which scores every whole text.
+clean class, fitted by expectation maximization on these counts, with the training labels as fixed members. It gives
+each voter's rate in either class (its accuracy) and the correlations of voters: within a class, every voter depends on
+the one it goes with most (the spanning tree of the largest mutual information), so that votes that repeat each other
+count once. Posterior labels of a bounded, hash-chosen sample of all texts, labelled or not, train a sparse linear
+classifier on the presence of words and word beginnings, which scores every whole text; known labels anchor the
+posteriors of their own texts and no others.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,13 @@ VOTERS = (*LEXICONS, *(f"drawn{k}" for k in range(DRAWN_LISTS)), *PATTERNS)
 assert len(VOTERS) <= 16
 ADDRESS = frozenset("you your he she they such du tu ihr usted".split())
 
-#: Bounds of the fit: labelled rows of each class (distinct texts) that lists are drawn from and that train the
-#: classifier, and its features.
-LABELLED_ROWS, FEATURES = 2_500, 4096
-#: How far a known label is trusted against the votes.
-LABEL_ACCURACY = 0.98
+#: Bounds of the fit: labelled rows of each class (distinct texts) that anchor the model and that lists are drawn from;
+#: further texts, whatever their labels, that train the classifier by their posteriors alone; its features; and the
+#: longest text, in characters, that is fitted on (every text is voted on and scored, whatever its length).
+LABELLED_ROWS, SAMPLED_ROWS, FEATURES, FITTED_CHARS = 2_000, 3_000, 4096, 50_000
+#: How far a known label is trusted against the votes, and the weight of a text with a sure posterior beside one with a
+#: known label.
+LABEL_ACCURACY, SAMPLE_TRUST = 0.98, 0.3
 #: Word beginnings that count as features beside whole words: languages bend their insults.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -114,15 +119,22 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of each class outside the held-out fifth, chosen by the hash of their text."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, sampled: int) -> list[tuple[str, int | None]]:
+    """At most ``rows`` labelled texts of each class outside the held-out fifth, and ``sampled`` other ones with None.
+
+    Texts are chosen by their hash, each once. Only ids and hashes are joined and shuffled; the texts of the chosen ids,
+    none longer than ``FITTED_CHARS``, are then fetched by a broadcast of so many ids at most.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    fold = own.join(known.where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"))
-    once = fold.groupBy("h").agg(F.min(F.struct("doc_id", "y")).alias("r")).select("h", "r.*")
-    picked = once.where("y = 1").orderBy("h").limit(rows).unionByName(once.where("y = 0").orderBy("h").limit(rows))
-    # Twice ``rows`` ids at most.
-    found = own.join(F.broadcast(picked), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id", "h"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", text.alias("text"))
+    hashed = own.where(F.length("text") <= FITTED_CHARS).select("doc_id", F.xxhash64("text").alias("h"))
+    once = hashed.join(known, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "y")).alias("r")).select("h", "r.*")
+    others = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("h", "doc_id", F.lit(None).cast("int").alias("y"))
+    picked = (part.orderBy("h").limit(n) for part, n in ((once.where("y = 1"), rows), (once.where("y = 0"), rows), (others, sampled)))
+    ids = reduce(DataFrame.unionByName, picked)
+    ids = ids.groupBy("h").agg(F.min(F.struct(F.col("y").isNull().alias("free"), "doc_id", "y")).alias("r")).select("h", "r.doc_id", "r.y")
+    found = own.join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id", "h"])
     return [(r["text"], r["y"]) for r in found.select("text", "y", "h").orderBy("h").toLocalIterator()]
 
 
@@ -153,45 +165,77 @@ def draw_lists(sets: list[frozenset[str]], y: np.ndarray) -> list[list[str]]:
 
 
 class LabelModel:
-    """P(toxic | votes) from the counts of vote patterns; some patterns carry known labels."""
+    """P(toxic | votes) from the counts of vote patterns; some patterns carry known labels.
+
+    Within a class a voter's rate depends on the vote of its parent in a tree over the voters, the same for both.
+    """
 
-    def __init__(self, masks: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 50):
+    def __init__(self, masks: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 60):
         """``known``: rows of (clean, toxic) labelled counts for each pattern."""
-        self.bits = (masks[:, None] >> np.arange(len(VOTERS))) & 1
+        self.bits = ((masks[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
         free = np.maximum(counts - known.sum(1), 0)
-        total = known.sum(0) + 1.0
-        self.prior = float(total[1] / total.sum())
-        self.rate = [(known[:, y] @ self.bits + 0.5 * (0.2 if y == 0 else 1)) / (known[:, y].sum() + 1.0) for y in (0, 1)]
-        self.share = np.ones(len(VOTERS))
+        self.parent = np.full(len(VOTERS), -1)
+        # A toxic text is taken to move few voters before anything is known.
+        self._learn([known[:, y] + (masks == 0) * 0.5 for y in (0, 1)])
         for step in range(rounds):
             p = self.posterior(self.bits)
             mass = [known[:, 0] + free * (1 - p), known[:, 1] + free * p]
-            before = np.concatenate(self.rate)
-            self.rate = [np.clip((m @ self.bits + 0.05) / (m.sum() + 0.1), 1e-6, 1 - 1e-6) for m in mass]
-            self.prior = float(np.clip(mass[1].sum() / max(1.0, mass[0].sum() + mass[1].sum()), 1e-4, 1 - 1e-4))
-            if step % 10 == 0:
-                self._correlate(mass)
-            if np.abs(np.concatenate(self.rate) - before).max() < 1e-7:
+            if step % 15 == 5:
+                self.parent = self._tree(mass)
+            before = self.rate
+            self._learn(mass)
+            if step > 20 and np.abs(self.rate - before).max() < 1e-7:
                 break
 
-    def _correlate(self, mass: list[np.ndarray]) -> None:
-        """Correlation of each two voters within a class; a voter's weight is shared with those it goes with."""
-        self.correlation = np.zeros((len(VOTERS), len(VOTERS)))
-        for m, rate in zip(mass, self.rate, strict=True):
-            both = (self.bits * m[:, None]).T @ self.bits / max(m.sum(), 1.0)
-            spread = np.sqrt(rate * (1 - rate))
-            self.correlation = np.maximum(self.correlation, (both - np.outer(rate, rate)) / np.maximum(np.outer(spread, spread), 1e-9))
-        self.correlation = np.clip(self.correlation, 0, 1)
-        np.fill_diagonal(self.correlation, 1)
-        self.share = 1 / np.where(self.correlation > 0.1, self.correlation, 0).sum(1)
+    def _learn(self, mass: list[np.ndarray]) -> None:
+        """``rate[y, a, k]``: how often voter k votes in class y when its parent's vote is a."""
+        self.rate = np.empty((2, 2, len(VOTERS)))
+        total = np.array([m.sum() for m in mass]) + 1.0
+        self.prior = float(np.clip(total[1] / total.sum(), 1e-4, 1 - 1e-4))
+        for y, m in enumerate(mass):
+            alone = (m @ self.bits + 0.05) / (m.sum() + 0.1)
+            both = (self.bits * m[:, None]).T @ self.bits
+            for k, parent in enumerate(self.parent):
+                if parent < 0:
+                    self.rate[y, :, k] = alone[k]
+                    continue
+                voted = both[parent, parent], both[parent, k]
+                not_voted = m.sum() - voted[0], both[k, k] - voted[1]
+                for a, (n, hits) in enumerate((not_voted, voted)):
+                    self.rate[y, a, k] = (max(hits, 0) + 2 * alone[k]) / (max(n, 0) + 2)
+        self.rate = np.clip(self.rate, 1e-6, 1 - 1e-6)
+
+    def _tree(self, mass: list[np.ndarray]) -> np.ndarray:
+        """The parent of each voter (-1 for the first) in the spanning tree of the largest mutual information."""
+        shared = np.zeros((len(VOTERS), len(VOTERS)))
+        for m in mass:
+            n = max(m.sum(), 1e-9)
+            ones = (self.bits * m[:, None]).T @ self.bits / n
+            alone = np.clip(np.diag(ones), 1e-9, 1 - 1e-9)
+            for a in (0, 1):
+                for b in (0, 1):
+                    one, other = (np.abs(alone - 1 + bit) for bit in (a, b))  # P(vote is a), P(vote is b)
+                    joint = ones if a and b else alone[:, None] - ones if a else alone[None, :] - ones if b else 1 - alone[:, None] - alone[None, :] + ones
+                    joint = np.clip(joint, 1e-12, 1)
+                    shared += n * joint * np.log(joint / np.outer(one, other))
+        parent, reached = np.full(len(VOTERS), -1), [0]
+        while len(reached) < len(VOTERS):
+            rest = [k for k in range(len(VOTERS)) if k not in reached]
+            link = shared[np.ix_(reached, rest)]
+            a, b = np.unravel_index(link.argmax(), link.shape)
+            parent[rest[b]] = reached[a]
+            reached.append(rest[b])
+        return parent
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
-        clean, toxic = (np.clip(r, 1e-6, 1 - 1e-6) for r in self.rate)
-        odds = bits @ (self.share * np.log(toxic / clean)) + (1 - bits) @ (self.share * np.log((1 - toxic) / (1 - clean)))
-        return 1 / (1 + np.exp(-np.clip(odds + np.log(self.prior / (1 - self.prior)), -50, 50)))
+        voted = np.where(self.parent >= 0, bits[:, self.parent], 0).astype(int)
+        rate = self.rate[:, voted, np.arange(len(VOTERS))]
+        clean, toxic = (np.log(np.where(bits > 0, r, 1 - r)).sum(axis=1) for r in rate)
+        odds = toxic - clean + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit_linear(sets: list[frozenset[str]], y: np.ndarray, features: int = FEATURES, rounds: int = 300, l1: float = 3e-4) -> tuple[float, dict[str, float]]:
+def fit_linear(sets: list[frozenset[str]], y: np.ndarray, trust: np.ndarray | None = None, features: int = FEATURES, rounds: int = 300, l1: float = 3e-4) -> tuple[float, dict[str, float]]:
     """Logistic regression with an L1 penalty on the presence of words and beginnings (proximal gradient with
     momentum); labels may be soft."""
     n1, n0 = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
@@ -207,7 +251,9 @@ def fit_linear(sets: list[frozenset[str]], y: np.ndarray, features: int = FEATUR
     row = np.repeat(np.arange(len(sets)), [len(c) for c in cells])
     column = np.fromiter((k for c in cells for k in c), int, len(row))
     # Both classes weigh the same in the fit.
-    weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).sum(), 1), 0.5 / max((y < 0.5).sum(), 1))
+    trust = np.ones(len(y)) if trust is None else trust
+    mass = [max(trust[(y >= 0.5) == toxic].sum(), 1e-9) for toxic in (False, True)]
+    weight = 0.5 * trust / np.where(y >= 0.5, mass[1], mass[0])
 
     def forward(w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(row, w[column], len(sets)) + b
@@ -248,27 +294,37 @@ def _vote_counts(docs: DataFrame, drawn: list[list[str]]) -> dict[int, int]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     """Intercept and weights; with no labelled rows the written lists alone vote."""
-    examples = training_rows(docs, labels, "toxic", LABELLED_ROWS)
-    y = np.array([label for _, label in examples], float)
-    sets = [frozenset(map(sys.intern, words_of(text))) for text, _ in examples]
-    drawn = draw_lists(sets, y)
+    examples = training_rows(docs, labels, "toxic", LABELLED_ROWS, SAMPLED_ROWS)
+    return fit_posteriors([text for text, _ in examples], [y for _, y in examples], lambda drawn: _vote_counts(docs, drawn))
+
+
+def fit_posteriors(texts: list[str], labels: list[int | None], vote_counts: Callable[[list[list[str]]], dict[int, int]]) -> tuple[float, dict[str, float]]:
+    """Intercept and weights from texts, the labels of some and the corpus's counts of vote patterns (by drawn lists)."""
+    sets = [frozenset(map(sys.intern, words_of(text))) for text in texts]
+    labelled = [k for k, y in enumerate(labels) if y is not None]
+    y = np.array([labels[k] for k in labelled], float)
+    drawn = draw_lists([sets[k] for k in labelled], y)
     votes = Votes(drawn)
-    seen = [votes(text) for text, _ in examples]
-    counts = _vote_counts(docs, drawn)
+    seen = [votes(text) for text in texts]
+    counts = vote_counts(drawn)
     masks = np.array(sorted({*counts, *seen, 0}), np.int64)
-    known = Counter(zip(seen, y.tolist(), strict=True))
-    table = np.array([[known[m, 0.0], known[m, 1.0]] for m in masks.tolist()], float)
+    known = Counter((seen[k], labels[k]) for k in labelled)
+    table = np.array([[known[m, 0], known[m, 1]] for m in masks.tolist()], float)
     if not known:  # two votes or more are taken for toxic as a start
         own = np.array([m.bit_count() for m in masks.tolist()])
         table = np.stack([own == 0, own > 1], 1) * 10.0
     model = LabelModel(masks, np.array([counts.get(m, 0) for m in masks.tolist()], float), table)
-    if not sets:  # nothing to train on: the written words stand for toxic texts, an empty text for a clean one
+    if not labelled:  # the written words stand for toxic texts, an empty text for a clean one, beside the sample
         words = sorted(frozenset().union(*_LISTS.values()))
-        return fit_linear([frozenset([w]) for w in words for _ in range(3)] + [frozenset()] * 3, np.append(np.ones(3 * len(words)), np.zeros(3)))
+        sets += [frozenset([w]) for w in words for _ in range(3)] + [frozenset()] * 3
     voted = dict(zip(masks.tolist(), np.clip(model.posterior(model.bits), 1e-9, 1 - 1e-9), strict=True))
     odds = np.array([np.log(voted[m] / (1 - voted[m])) for m in seen])
-    odds += np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * y - 1)
-    return fit_linear(sets, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    odds[labelled] += np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * y - 1)
+    odds = np.append(odds, [30.0 if words else -30.0 for words in sets[len(odds) :]])
+    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    trust = SAMPLE_TRUST * np.abs(2 * p - 1)
+    trust[labelled] = 1.0
+    return fit_linear(sets, p, trust)
 
 
 def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: str = "score") -> DataFrame:
@@ -294,7 +350,8 @@ def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: st
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row.
 
-    Labels are learned from rows whose crc32(doc_id) mod 5 is not 0, at most ``LABELLED_ROWS`` distinct texts of each class.
+    Labels are learned from rows whose crc32(doc_id) mod 5 is not 0, at most ``LABELLED_ROWS`` distinct texts of each
+    class; posteriors of at most ``SAMPLED_ROWS`` further texts of those rows train the classifier with them.
     A null doc_id is never trained on and counts as not held out. Repeated rows get equal scores; empty in, empty out.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
