@@ -84,7 +84,10 @@ class BallTree:
         """No row of a node scores more; scores are whole numbers, so bounds are rounded down (with a little slack)."""
         real = queries.astype(np.float64)
         length = np.sqrt((real * real).sum(axis=1))
-        return np.floor((real @ self.centres.T + length[:, None] * self.radii) * (1 + 1e-9) + 1e-3)
+        bounds = real @ self.centres.T + length[:, None] * self.radii
+        # What rounding may have lost grows with the parts of the sum, which can cancel each other.
+        parts = length[:, None] * (np.sqrt((self.centres * self.centres).sum(axis=1)) + self.radii)
+        return np.floor(bounds + parts * 1e-9 + 1e-3)
 
     def search(self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, least: int = NO_SCORE) -> list[tuple[int, int]]:
         """(score, -id) of up to k best ids other than the query's own, each with its best row, none below ``least``."""

@@ -184,3 +184,20 @@ def test_top_k_counts_distinct_ids(spark, monkeypatch):
     for q in [i for i in whole if i % 5 == 0]:
         best = sorted((-max(int(a @ b) for a in whole[i] for b in whole[q]), i) for i in whole if i != q)[:7]
         assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
+
+
+def test_ball_tree_with_negative_and_large_scores():
+    rows = np.full((10, 1), -1000, np.int64)
+    rows[[4, 7, 8, 9]] = -2000
+    tree = top_k.BallTree(rows, np.arange(10), leaf=1)
+    query = np.array([5000], np.int64)
+    assert tree.search(query, -1, tree.bounds(query[None])[0], 1) == [(-5_000_000, 0)]
+    rng = np.random.default_rng(9)
+    for scale in (1, 1e3, 1e7):
+        rows = np.floor(rng.normal(-3, 1, (300, 6)) * scale).astype(np.int64)
+        rows[50:100] = rows[:50]
+        ids = np.arange(300)
+        tree = top_k.BallTree(rows, ids, leaf=4)
+        for query in np.floor(rng.normal(3, 1, (20, 6)) * scale).astype(np.int64):
+            best = sorted(((s, -i) for s, i in zip((rows @ query).tolist(), ids.tolist())), reverse=True)[:5]
+            assert sorted(tree.search(query, -1, tree.bounds(query[None])[0], 5), reverse=True) == best
