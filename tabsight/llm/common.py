@@ -32,6 +32,23 @@ def python_tasks(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that no column of the frame has: the wanted ones, lengthened where they are taken."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str):
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. A scratch folder stands in only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import keep
+from tabsight.llm.common import keep, own_names, quoted
 
 #: Hex digits of a digest that make a uniform number; 13 of them (52 bits) are exact in a double.
 _DIGITS = 13
 #: Rates of up to so many sources are broadcast (some 10 MB); more are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
+#: Copies that one row is exploded into by one task; rows of sources with more are dealt out in blocks of copies first.
+BLOCK_COPIES = 1_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -67,23 +69,31 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """Every column of ``docs`` with ``copy`` (from 0) and ``shuffle_key``, in the order of the key.
 
-    Needs ``doc_id``, ``text``, ``source``. A document drawn 0 times is left out, as the method has it. Rows equal in
-    doc_id and text draw the same number. Columns named ``copy`` or ``shuffle_key`` are replaced. An empty table gives
-    an empty one.
+    Needs ``doc_id``, ``text``, ``source``, of which each may be null. A document drawn 0 times is left out, as the method
+    has it. Rows equal in doc_id and text draw the same number. Columns named ``copy`` or ``shuffle_key`` are replaced; all
+    others pass through, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     plain = docs.drop("copy", "shuffle_key")
-    known = keep(rates(plain, weights).select(F.col("source").alias("_source"), "rate"), "rates")
-    if known.count() <= BROADCAST_SOURCES:
+    source, rate, count, block = own_names(plain, "mix_source", "mix_rate", "mix_count", "mix_block")
+    known = keep(rates(plain, weights).select(F.col("source").alias(source), F.col("rate").alias(rate)), "rates")
+    sources, most = known.agg(F.count(F.lit(1)), F.coalesce(F.max(rate), F.lit(0.0))).first()
+    if sources <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    rows = plain.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(known, "_source")
+    rows = plain.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).join(known, source)
     words = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    count = F.when(F.col("rate") > 0, poisson_count(F.col("rate"), F.lit(seed), F.col("doc_id"), words)).otherwise(0)
-    counted = rows.withColumn("_count", count).where("_count > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words, F.col("copy").cast("string")))
-    keyed = copies.withColumn("shuffle_key", key).select(*plain.columns, "copy", "shuffle_key")
+    drawn = F.when(F.col(rate) > 0, poisson_count(F.col(rate), F.lit(seed), F.col("doc_id"), words)).otherwise(0)
+    counted = rows.withColumn(count, drawn).where(F.col(count) > 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    # Copies come in blocks, so that no array holds all of a row; many of them are dealt out before they are made.
+    blocks = F.sequence(F.lit(0), F.floor((F.col(count) - 1) / BLOCK_COPIES).cast("int"))
+    dealt = counted.withColumn(block, F.explode(blocks))
+    if most > BLOCK_COPIES:
+        dealt = dealt.repartition(parts, F.col(block), words)
+    first = F.col(block) * BLOCK_COPIES
+    copies = dealt.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK_COPIES, F.col(count)) - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words, F.col("copy").cast("string")))
+    keyed = copies.withColumn("shuffle_key", key).select(*map(quoted, plain.columns), "copy", "shuffle_key")
     # Keys are uniform by construction: equal ranges of their first digits need no sampling pass over the copies.
     place = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * parts / F.lit(16**8)).cast("int")
     return keyed.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "copy")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.llm.common import own_names, quoted
+
 # The base patterns and the least lengths of their matches.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -29,31 +31,63 @@ ALLOW = (
     r"|^[0-9+/_=-]+$|^[A-Za-z+/_=-]+$|^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]*$|^(sha|md)[0-9]+[-_=].*$|(?i)example|placeholder"
 )
 KINDS = ("assign", "access", "hex", *CLASSES)
+#: Elements of an array that are run through at once.
+BLOCK = 256
 _SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>"
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK``; an empty one gives none."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+    none = F.filter(F.array(values), lambda v: F.lit(False))
+    return F.when(F.size(values) > 0, F.transform(numbers, lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(none)
+
+
+def running(values: Column, join) -> Column:
+    """``join`` of all values up to each one, for an array of longs.
+
+    Running results are made in blocks, whose last ones are run through in turn: an array that grows by one value is
+    copied for each, so only short ones are grown.
+    """
+
+    def scan(own: Column) -> Column:
+        empty = F.array().cast("array<bigint>")
+        return F.aggregate(own, empty, lambda out, x: F.concat(out, F.array(F.when(F.size(out) > 0, join(F.element_at(out, -1), x)).otherwise(x))))
+
+    def whole(parts: Column) -> Column:
+        before = lambda last: F.concat(F.array(F.lit(None).cast("bigint")), last)
+        bases = before(scan(F.transform(parts, lambda part: F.element_at(part, -1))))
+        return _let(bases, lambda b: F.flatten(F.transform(parts, lambda part, k: F.transform(part, lambda x: F.when(k > 0, join(F.get(b, k), x)).otherwise(x)))))
+
+    return _let(values, lambda own: _let(F.transform(_blocks(own), scan), whole))
+
+
 def _matches(text: Column, pattern: str, keep) -> Column:
     """(start, end, match) of every leftmost, non-overlapping match that ``keep`` accepts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match")))
-        return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
+    def spans(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("long")), lambda a, b: a + b)
+        placed = F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match")))
+        return F.filter(placed, lambda s: keep(s["match"]))
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    spans = F.aggregate(pairs, start, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: keep(s["match"])))
+    pairs = _let(found, lambda own: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(own)).alias("gap"), own.alias("match")))
+    return F.when(text.rlike(pattern), _let(pairs, spans))
 
 
 def window_entropy(text: Column, width: int = WINDOW) -> Column:
     """The highest Shannon entropy (bits) of any window of ``width`` characters; of the whole, if it is shorter."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    letters = F.array_distinct(chars)
+    return _let(chars, lambda own: _let(F.array_distinct(own), lambda letters: _entropy(own, letters, width)))
+
+
+def _entropy(chars: Column, letters: Column, width: int) -> Column:
     zero = F.lit(0.0)
 
     def term(n: Column) -> Column:
@@ -97,33 +131,48 @@ def _labelled(spans: Column, kind: str) -> Column:
     return F.coalesce(made, F.array().cast(_SPAN))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """Add ``secrets``: spans (start, kind_no, kind, end) by start, then kind.
+def find_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
+    """Add the spans (start, kind_no, kind, end) by start, then kind, as the column ``name``.
 
-    Needs ``text``; a null text is an empty one and has none. Every base match stays; an entropy span is added only
-    where no base span and no entropy span of an earlier class overlaps it. Other columns pass through.
+    Needs ``text``; a null or empty text has none. Every base match stays; an entropy span is added only where no base
+    span and no entropy span of an earlier class overlaps it. Repeated rows are scanned alike, an empty table gives an
+    empty one. All other columns pass through, whatever their names; one that has the very name is replaced. Work grows
+    with the length of a text and the number of its matches, not with their square.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = _matches(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= ASSIGN_MIN)
     access = _matches(text, ACCESS, lambda m: F.length(m) >= ACCESS_MIN)
     # Only runs that are long enough are taken, from their first character: the same spans as runs filtered by length.
     long_hex = f"(?<![0-9a-f])[0-9a-f]{{{HEX_MIN},}}"
-    found = docs.select(
-        "*",
-        F.concat(
-            _labelled(assign, "assign"), _labelled(access, "access"), _labelled(_matches(text, long_hex, lambda m: F.lit(True)), "hex")
-        ).alias("_base"),
-        *[_labelled(_matches(text, p, lambda m, b=bits: _random(m, b)), kind).alias(f"_{kind}") for kind, (p, bits) in CLASSES.items()],
+    base = F.concat(
+        _labelled(assign, "assign"), _labelled(access, "access"), _labelled(_matches(text, long_hex, lambda m: F.lit(True)), "hex")
     )
-    taken = F.col("_base")
+    random = [_labelled(_matches(text, p, lambda m, b=bits: _random(m, b)), kind) for kind, (p, bits) in CLASSES.items()]
+    # One column of our own holds all that is found.
+    (own,) = own_names(docs, "found")
+    held = docs.select("*", F.struct(base.alias("base"), *[spans.alias(kind) for kind, spans in zip(CLASSES, random, strict=True)]).alias(own))
+    taken = F.col(f"{own}.base")
     for kind in CLASSES:
-        taken = F.concat(taken, _apart(F.col(f"_{kind}"), taken))
-    return found.withColumn("secrets", F.array_sort(taken)).drop("_base", *[f"_{k}" for k in CLASSES])
+        taken = _let(taken, lambda t: F.concat(t, _apart(F.col(f"{own}.{kind}"), t)))
+    rest = [quoted(c) for c in docs.columns if c.lower() != name.lower()]
+    return held.select(*rest, F.array_sort(taken).alias(name))
 
 
 def _apart(spans: Column, taken: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    """The spans that overlap none of the others: by their neighbours in the order of begins."""
+    placed = lambda own, free: F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(free).alias("free"), s["end"].alias("end"), s.alias("span")))
+    last = F.lit((1 << 62)).cast("long")
+
+    def apart(both: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        reached = running(F.transform(both, lambda s: F.when(s["free"] == 0, s["end"]).otherwise(zero)), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(both, lambda s: F.when(s["free"] == 0, s["start"]).otherwise(last))), F.least))
+        known = F.arrays_zip(both.alias("s"), reached.alias("reached"), ahead.alias("ahead"))
+        kept = F.filter(known, lambda k: (k["s"]["free"] == 1) & (k["reached"] <= k["s"]["start"]) & (k["ahead"] >= k["s"]["end"]))
+        return F.transform(kept, lambda k: k["s"]["span"])
+
+    either = F.array_sort(F.concat(placed(taken, 0), placed(spans, 1)))
+    return F.when((F.size(spans) > 0) & (F.size(taken) > 0), _let(either, apart)).otherwise(spans)
 
 
 def _count(spans: Column, kind: str) -> Column:
@@ -135,7 +184,10 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, counts of the base kinds, the digest of the base spans, and all spans as text; one row a document."""
+    """``doc_id``, counts of the base kinds, the digest of the base spans, and all spans as text; one row a document.
+
+    Only ``doc_id`` and ``text`` are read, so further columns cannot clash; a null text is an empty one.
+    """
     found = find_secrets(docs.select("doc_id", "text"))
     spans = F.col("secrets")
     counts = [_count(spans, kind) for kind in KINDS[:3]]
@@ -143,23 +195,38 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each span (in the order of begins) as a mark; overlapping ones become one.
+
+    A long text is cut into the stretches of some spans each, which are then cut up alone.
+    """
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def cut(whole: Column, begin: Column, end: Column) -> Column:
+        return F.substring(whole, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    def pieces(reached: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        steps = F.transform(spans, lambda s, k: F.struct(F.when(k > 0, F.get(reached, k - 1)).otherwise(zero).alias("at"), s["start"].alias("start"), F.get(reached, k).alias("to")))
+
+        def stretch(own: Column) -> Column:
+            base = F.get(own, 0)["at"]
+            part = cut(text, base, F.element_at(own, -1)["to"])
+            joined = lambda p: F.array_join(F.transform(own, lambda s: F.when(s["start"] >= s["at"], F.concat(cut(p, s["at"] - base, s["start"] - base), F.lit(mark))).otherwise("")), "")
+            return _let(part, joined)
+
+        cleaned = F.array_join(F.transform(_blocks(steps), stretch), "")
+        return F.concat(cleaned, cut(text, F.element_at(reached, -1), F.length(text).cast("long")))
+
+    return _let(ends, pieces)
+
+
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replace every span by a mark; overlapping spans become one. Returns the columns of ``docs``; texts without
-    secrets, null ones included, stay as they are, and ``n_chars``, where there is one, follows the text."""
-    text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        apart = span["start"] >= state["at"]
-        out = F.when(apart, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    rest = F.aggregate(
-        F.col("secrets"), start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    )
-    cleaned = F.when(F.size("secrets") > 0, rest).otherwise(text)
-    found = find_secrets(docs).withColumn("_clean", cleaned)
-    columns = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    changed = F.size("secrets") > 0
-    return found.select(*[F.when(changed, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in docs.columns])
+    """Replace every span by a mark; overlapping spans become one. Returns the columns of ``docs``, whatever their names;
+    texts without secrets, null ones included, stay as they are, and ``n_chars``, where there is one, follows the text."""
+    spans, clean = own_names(docs, "spans", "clean")
+    changed = F.size(spans) > 0
+    found = find_secrets(docs, spans)
+    found = found.withColumn(clean, F.when(changed, _let(F.col(spans), lambda own: _redacted(F.col("text"), own, mark))).otherwise(F.col("text")))
+    columns = {"text": F.col(clean)} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*[F.when(changed, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else quoted(c) for c in docs.columns])
