@@ -77,10 +77,13 @@ _DATE_HINT = rf"^[{_WS}]*+(?:\d{{4}}|\d{{1,2}}/|(?i:{_MONTH_NAME})[{_WS}])"
 # Groups: 1 year, 2-5 month and day (dashed or basic), 6 hour, 8 minute, 9 second, 10 fraction, 11 offset.
 _ISO = _whole(
     r"(?!0000)(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
-    r"(?:[^Z](\d{2})(?:(:?)(\d{2})(?:\7(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?|Z)?"
+    r"(?:[^Z](\d{2})(?:(:?)(\d{2})(?:\7(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?|Z)?"
+)
+# Groups: 1 year, 2-5 week and day (dashed or basic), 6 a time that follows the date as in an ISO text.
+_ISO_WEEK = _whole(
+    r"(?!0000)(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)"
+    r"((?:[^Z\d-]\d{2}(?:(:?)\d{2}(?:\7\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?|Z)?)"
 )
-# Groups: 1 year, 2-5 week and day (dashed or basic), 6 what follows the date.
-_ISO_WEEK = _whole(r"(?!0000)(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)((?:[^Z\d-].*|Z)?)")
 _DASHED = _whole(rf"(?!0000)\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[{_WS}]+\d{{1,2}}:\d{{1,2}}(?::\d{{1,2}})?)?")
 _SLASHED = _whole(rf"(?!0000)\d{{4}}/\d{{1,2}}/\d{{1,2}}(?:[{_WS}]+\d{{1,2}}:\d{{1,2}}:\d{{1,2}})?")
 _YEAR_LAST = _whole(r"(\d{1,2})/(\d{1,2})/((?!0000)\d{4})")
@@ -197,41 +200,28 @@ def parse_number(c: Column, kind: str = "string", strict: bool = False) -> Colum
 
 
 def _iso_time(c: Column) -> Column:
-    """The UTC time of an ISO text; offsets of up to a day, which a cast would refuse beyond 18 hours."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(c, _ISO, group)
+    """The UTC time of an ISO text; offsets of up to a day, which a cast would refuse beyond 18 hours.
 
-    def clock(group: int) -> Column:
-        return F.lpad(part(group), 2, "0")
-
-    text = F.concat(
-        F.concat_ws("-", part(1), F.concat(part(2), part(4)), F.concat(part(3), part(5))),
-        F.lit(" "),
-        F.concat_ws(":", clock(6), clock(8), clock(9)),
-        F.lit("."),
-        F.rpad(part(10), 6, "0"),
-    )
-    local = text.try_cast("timestamp")
-    offset = F.replace(part(11), F.lit(":"), F.lit(""))
-    hours, minutes = F.substring(offset, 2, 2).try_cast("int"), F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
-    east = F.make_dt_interval(F.lit(0), hours, minutes)
-    moved = F.when((hours <= 23) & (minutes <= 59), F.when(offset.startswith("-"), local + east).otherwise(local - east))
-    return F.when(offset.isin("", "Z"), local).otherwise(moved)
+    One rewriting gives the local time its canonical form: generated code grows with every pattern that is named.
+    """
+    spread = F.regexp_replace(c, _ISO, "$1-$2$4-$3$5 $6:$8:$9.$10")
+    text = F.regexp_replace(F.regexp_replace(spread, r"(?<= \d\d)::\.$", ":00"), r"[ :.]+$", "")
+    # The offset as the number of its digits, hhmm: in minutes that is 40 less for every hour.
+    digits = F.rpad(F.translate(F.regexp_extract(c, _ISO, 11), ":Z", ""), 5, "0").try_cast("int")
+    minutes = digits - F.lit(40) * F.call_function("div", digits, F.lit(100)).cast("int")
+    return text.try_cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
 
 
-def _calendar_text(c: Column) -> Column:
+def _week_text(c: Column) -> Column:
     """An ISO week date as the ISO date of its day (Monday, where none is named); NULL for a week the year hasn't."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(c, _ISO_WEEK, group)
-
-    week = F.concat(part(2), part(4)).try_cast("int")
-    day = F.coalesce(F.concat(part(3), part(5)).try_cast("int"), F.lit(1))
-    fourth = F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(4))
-    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
-    there = (week >= 1) & (F.year(F.date_add(monday, 3)) == F.year(fourth))
-    return F.when(there, F.concat(F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"), part(6)))
+    named = F.regexp_replace(c, _ISO_WEEK, "$1$2$4$3$5")
+    fourth = F.concat(F.substring(named, 1, 4), F.lit("-01-04")).try_cast("date")  # is in the first week
+    days = F.substring(named, 5, 2).try_cast("int") * 7 + F.rpad(F.substring(named, 7, 1), 1, "1").try_cast("int") - 8
+    date = F.date_add(F.trunc(fourth, "week"), days)
+    # A week that the year hasn't is one of the year before or after, and no day lies beyond the year 9999.
+    there = F.extract(F.lit("YEAROFWEEK"), date) * 100 + F.weekofyear(date)
+    shown = F.concat(F.substring(date.cast("string"), 1, 10), F.regexp_extract(c, _ISO_WEEK, 6))
+    return F.when((there == F.substring(named, 1, 6).try_cast("int")) & (date <= F.lit("9999-12-31").cast("date")), shown)
 
 
 def parse_date(c: Column, kind: str = "string") -> Column:
@@ -260,8 +250,7 @@ def parse_date(c: Column, kind: str = "string") -> Column:
     return (
         F.when(~c.rlike(_DATE_HINT), None)
         .when(c.rlike(_DASHED) | c.rlike(_SLASHED), spaced.try_cast("timestamp"))
-        .when(c.rlike(_ISO), _iso_time(c))
-        .when(c.rlike(_ISO_WEEK), _iso_time(_calendar_text(c)))
+        .when(c.rlike(_ISO) | c.rlike(_ISO_WEEK), _iso_time(F.when(c.rlike(_ISO_WEEK), _week_text(c)).otherwise(c)))
         .when(
             c.rlike(_YEAR_LAST),
             F.coalesce(
