@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from tabsight.config import FIRST_ROW, ROW
 from tabsight.functions.cells import col
 
-_POSITION_BITS = 33
-_POSITION_MASK = (1 << _POSITION_BITS) - 1
+POSITION_BITS = 33
+_POSITION_MASK = (1 << POSITION_BITS) - 1
 #: Offsets of so many splits are kept as a local relation (some 10 MB).
 LOCAL_SPLITS = 50_000
 
@@ -84,7 +84,6 @@ def _split_offsets(placed: DataFrame) -> DataFrame:
     table is made once: as a local relation while it is small, which plans as
     a broadcast, as a written table in the shared folder beyond that.
     """
-    spark = placed.sparkSession
     splits = placed.groupBy("_path", "_block").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     inside = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     before = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
@@ -92,12 +91,19 @@ def _split_offsets(placed: DataFrame) -> DataFrame:
     starts = files.select("_path", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + FIRST_ROW).alias("_start"))
     rows = splits.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside"))
     offsets = rows.join(starts, "_path").select("_path", "_block", "_first", (F.col("_start") + F.col("_inside")).alias("_offset"))
-    few = offsets.limit(LOCAL_SPLITS + 1).toArrow()
+    return split_table(offsets)
+
+
+def split_table(splits: DataFrame) -> DataFrame:
+    """A frame of one row a split, made once: a local relation that is broadcast while it is small, a written table in the
+    shared folder beyond that."""
+    spark = splits.sparkSession
+    few = splits.limit(LOCAL_SPLITS + 1).toArrow()
     if few.num_rows <= LOCAL_SPLITS:
-        return F.broadcast(spark.createDataFrame(few, offsets.schema))
+        return F.broadcast(spark.createDataFrame(few, splits.schema))
     path = f"{shared_folder(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
-    offsets.write.parquet(path)
-    return spark.read.schema(offsets.schema).parquet(path)
+    splits.write.parquet(path)
+    return spark.read.schema(splits.schema).parquet(path)
 
 
 def row_position(mid: str, first: str, offset: str):
@@ -112,7 +118,7 @@ def _number_sorted(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 def _number_parts(df: DataFrame, staged: DataFrame) -> DataFrame:
     """Number the rows of a frame that was cut with its positions (``_mid``), part by part."""
-    part = F.shiftright("_mid", _POSITION_BITS)
+    part = F.shiftright("_mid", POSITION_BITS)
     sizes = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition of the staged frame.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)

@@ -1,4 +1,7 @@
+import csv
+import io
 import os
+import random
 
 import pytest
 
@@ -183,3 +186,74 @@ def test_run_reports_failure(spark, write, tmp_path):
     assert not result.success and "Unsupported file type" in result.errors[0]
     assert result.timings[0][2] == "error"
     assert spark.read.json(result.output_paths["run_summary"]).first()["success"] is False
+
+
+def plain_records(text, delimiter=","):
+    """(record number, cells) of a well-formed text, blank ones left out, empty cells as None."""
+    for number, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1):
+        if any(cell.strip() for cell in row):
+            yield number, tuple(cell or None for cell in row)
+
+
+def quoted_file(seed, rows, end="\n"):
+    """Quoted cells with line ends, delimiters and doubled quotes, stray quotes within plain cells, blank and short records."""
+    rng = random.Random(seed)
+    pieces = ["x", "y z", ",", '""', end, end + end, "5,5", "ä", "'", '""a,""' + end]
+    lines = ['id,"no' + end + 'te",size']
+    for i in range(rows):
+        kind = rng.random()
+        note = '"' + "".join(rng.choice(pieces) for _ in range(rng.randrange(9))) + '"' if kind < 0.6 else rng.choice(['5" pipe', "plain", "", "it's"])
+        lines.append(rng.choice(["", "  ", f"{i},{note}", f"{i},{note},1,more"]) if rng.random() < 0.15 else f'{i},{note},{rng.randrange(99)}')
+    return end.join(lines) + end
+
+
+@pytest.mark.parametrize(("seed", "end", "size"), [(1, "\n", 150), (2, "\r\n", 400), (3, "\n", 37), (4, "\n", 10**6), (5, "\r", 10**6)])
+def test_quoted_records_across_splits(spark, write, tmp_path, seed, end, size):
+    texts = [quoted_file(10 * seed + k, 120, end) for k in range(3)]
+    for k, text in enumerate(texts):
+        write(f"q{seed}/f{k}.csv", text)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        scan = scan_csv(spark, str(tmp_path / f"q{seed}"))
+        assert {r["multi_line"] for r in scan.audit.collect()} == {True}
+        got = cells(scan)
+        assert [r["_row"] for r in scan.rows.select("_row").orderBy("_row").collect()] == list(range(2, len(got) + 2))
+        bad = sorted((r["dataset"][-6:], r["line_number"], r["actual_fields"]) for r in scan.malformed.collect())
+        if size < 1000:
+            assert scan.rows.rdd.getNumPartitions() > 3
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    want, wrong = [], []
+    for k, text in enumerate(texts):
+        records = list(plain_records(text))
+        assert records[0][1] == ("id", f"no{end}te", "size")
+        want += [(row + (None, None))[:3] for _, row in records[1:]]
+        wrong += [(f"f{k}.csv", number, len(row)) for number, row in records[1:] if len(row) != 3]
+    assert got == want and bad == wrong
+
+
+def test_one_cell_over_many_splits_and_an_open_one(spark, write):
+    long = "\n".join(f"line {i}, with a comma" for i in range(200))
+    text = f'a,b\n1,"{long}"\n2,x\n3,"never closed\n4,y\n5,z'
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = cells(scan_csv(spark, write("long.csv", text)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert got[:2] == [("1", long), ("2", "x")] and got[2][0] == "3" and "never closed\n4,y\n5,z" in got[2][1] and len(got) == 3
+
+
+def test_a_stray_quote_keeps_lines_apart(spark, write):
+    scan = scan_csv(spark, write("stray.csv", 'id,what\n1,5" pipe\n2,an "odd" one\n3,x"\n'))
+    assert scan.audit.first()["multi_line"] is False
+    assert cells(scan) == [("1", '5" pipe'), ("2", 'an "odd" one'), ("3", 'x"')]
+
+
+def test_the_audit_reads_the_text_once(spark, write):
+    audit = audit_files(spark, write("one.csv", 'a,b\n1,"x\ny"\n'))
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
