@@ -14,7 +14,7 @@ from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW,
 from tabsight.functions import cells as C
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics
 from tabsight.sources.local import local_frame
-from tabsight.sources.staging import data_columns, ensure_rows
+from tabsight.sources.staging import data_columns, ensure_rows, first_rows
 
 PROFILE_SCHEMA = (
     "column string, position int, detected_type string, confidence double, non_missing_count long, "
@@ -221,9 +221,8 @@ def profile(
     Runs its jobs right away: what comes back is a local frame of one row per
     column, since every later stage chooses its plan by these types.
     """
-    df = ensure_rows(df)
-    columns = columns or data_columns(df)
-    head = head_rows(df, sample_rows)
+    head = first_rows(df, sample_rows) if sample_rows > 0 else ensure_rows(df)
+    columns = columns or data_columns(head)
     # The first rows nearly always hold five values of every column already.
     near = head_rows(head, min(_LIKELY_ROWS, sample_rows) if sample_rows > 0 else _LIKELY_ROWS)
 

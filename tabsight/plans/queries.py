@@ -77,8 +77,7 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 def profile_query(name: str, sample_rows: int = 0) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        numbered = number_rows(table(spark, sf_dir, name))
-        found = profile(numbered, sample_rows=sample_rows).drop("position", "sample_values", "top_values")
+        found = profile(table(spark, sf_dir, name), sample_rows=sample_rows).drop("position", "sample_values", "top_values")
         return rounded(
             found, 4, "confidence", "numeric_min", "numeric_max", "numeric_mean", "numeric_median", "numeric_stddev"
         )

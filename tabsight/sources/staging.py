@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,32 @@ def number_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return located.select(*[col(c) for c in df.columns], row_position("_mid", "_first", "_offset").alias(ROW))
 
 
+def first_rows(df: DataFrame, rows: int) -> DataFrame:
+    """The first ``rows`` rows with their numbers; of a file scan only the files that hold them are counted and read.
+
+    Files are taken in path order, eight times as many at each step, until they hold enough rows.
+    """
+    head = F.col(ROW) < rows + FIRST_ROW
+    if ROW in df.columns:
+        return df.filter(head)
+    path = F.col("_metadata.file_path")
+    try:
+        one = df.select(path.alias("p")).first()
+    except AnalysisException:
+        return ensure_rows(df).filter(head)
+    # The listing and the rows may write the same path in two ways; a way that they share is looked for.
+    local = lambda f: f.replace(":///", ":/", 1)
+    ways = (list(map(way, df.inputFiles())) for way in (str, local, unquote, lambda f: unquote(local(f))))
+    files = sorted(next((found for found in ways if one and one["p"] in found), []))
+    taken = 1
+    while taken < len(files):
+        part = df.filter(path.isin(files[:taken]))
+        if part.limit(rows).count() >= rows:
+            return number_rows(part).filter(head)
+        taken *= 8
+    return number_rows(df).filter(head)
+
+
 def _split_offsets(placed: DataFrame) -> DataFrame:
     """The first position and the row offset of every file split, with no limit to their number.
 

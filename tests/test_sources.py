@@ -8,7 +8,7 @@ import pytest
 from tabsight.config import Config, FilterSpec
 from tabsight.plans.run import run
 from tabsight.sources.csv import SourceError, audit_files, column_names, scan_csv
-from tabsight.sources.staging import number_rows
+from tabsight.sources.staging import first_rows, number_rows
 
 
 @pytest.fixture
@@ -257,3 +257,21 @@ def test_the_audit_reads_the_text_once(spark, write):
     audit = audit_files(spark, write("one.csv", 'a,b\n1,"x\ny"\n'))
     plan = audit._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1
+
+
+def test_first_rows_read_only_their_files(spark, tmp_path):
+    path = tmp_path / "my parts"
+    for k in range(20):
+        spark.range(k * 50, k * 50 + 50).repartition(1).write.parquet(str(path / f"p{k:02d}"))
+    schema = spark.read.parquet(str(path / "p00")).schema
+    paths = [str(p) for p in sorted(path.glob("p*/*.parquet"))]
+    df = spark.read.schema(schema).parquet(*paths)
+    # Files that a head does not need may be unreadable.
+    for late in paths[8:]:
+        os.chmod(late, 0o644)
+        with open(late, "wb") as file:
+            file.write(b"no parquet")
+    head = first_rows(df, 120)
+    assert sorted(tuple(r) for r in head.collect()) == [(i, i + 2) for i in range(120)]
+    assert first_rows(spark.range(30).selectExpr("id * 2 AS x"), 5).count() == 5
+    assert first_rows(df.limit(0).select("id"), 5).count() == 0
