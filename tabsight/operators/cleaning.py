@@ -150,9 +150,12 @@ def clean(
     config: Config = Config(),
     small_group: int = SMALL_GROUP,
     bucket_rows: int = BUCKET_ROWS,
+    partition_by: list[str] | None = None,
 ) -> Cleaned:
     """Standardize, fill and drop; rows, change log and counters come back lazily.
 
+    ``partition_by`` names raw columns: forward and back fills then stay within rows of equal values there.
+
     Cells of a dropped row left of the column that drops it are still cleaned
     and logged, cells right of it are not: a cell is *live* unless a drop
     column at its left is missing.
@@ -192,7 +195,7 @@ def clean(
         elif strategies[c] == "back_fill":
             below[f"_f{i}"] = F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.col(f"_v{i}").alias("v")))
     if above or below:
-        prepared = fill_columns(prepared, above, below, bucket_rows)
+        prepared = fill_columns(prepared, above, below, bucket_rows, partition_by)
 
     cleaned, changes, counters = {}, [], {"filled": [], "numeric": [], "categorical": []}
     for i, c in enumerate(names):

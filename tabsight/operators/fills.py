@@ -24,8 +24,9 @@ def fill_columns(
     above: dict[str, Column] | None = None,
     below: dict[str, Column] | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    partition_by: list[str] | None = None,
 ) -> DataFrame:
-    """Add columns that carry a value over rows.
+    """Add columns that carry a value over rows; with ``partition_by``, over the rows of equal keys only.
 
     ``above`` maps a new column to an expression whose last non-NULL value in
     the rows *before* the current one is taken; ``below`` to one whose first
@@ -35,6 +36,8 @@ def fill_columns(
     """
     above, below = above or {}, below or {}
     names = [*above, *below]
+    if partition_by:
+        return _fill_by_key(df, above, below, bucket_rows, partition_by)
     staged = df.withColumn("_bucket", F.floor(F.col(ROW) / bucket_rows))
     staged = staged.withColumns({f"_src_{n}": e for n, e in {**above, **below}.items()})
 
@@ -71,3 +74,37 @@ def fill_columns(
         *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns],
         *[F.coalesce(f"_near_{n}", f"_in_{n}").alias(n) for n in names],
     )
+
+
+def _fill_by_key(df: DataFrame, above: dict[str, Column], below: dict[str, Column], bucket_rows: int, keys: list[str]) -> DataFrame:
+    """Fills within keys (nulls are a key of their own).
+
+    A key of up to ``bucket_rows`` rows is one window. Larger ones, of which there are as many as buckets in the table at
+    the most, are cut by row number into segments (key, bucket), which are spread like other keys; what enters a
+    segment comes from a running scan over the edges of that key's segments.
+    """
+    names = [*above, *below]
+    staged = df.withColumn("_key", F.struct(*[F.col("`" + k.replace("`", "``") + "`").alias(f"k{i}") for i, k in enumerate(keys)]))
+    staged = staged.withColumns({f"_src_{n}": e for n, e in {**above, **below}.items()})
+    large = staged.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bucket_rows).select("_key", F.lit(True).alias("_large"))
+    bucket = F.when(F.col("_large"), F.floor(F.col(ROW) / bucket_rows)).otherwise(F.lit(0).cast("long"))
+    staged = staged.join(large, "_key", "left").withColumn("_bucket", bucket)
+
+    def edge(name: str) -> Column:
+        source = F.col(f"_src_{name}")
+        order = F.when(source.isNotNull(), F.col(ROW))
+        return (F.max_by if name in above else F.min_by)(source, order).alias(f"_in_{name}")
+
+    past = (W.unboundedPreceding, -1)
+    of_key = W.partitionBy("_key")
+    earlier, later = of_key.orderBy("_bucket").rowsBetween(*past), of_key.orderBy(F.desc("_bucket")).rowsBetween(*past)
+    edges = staged.filter("_large").groupBy("_key", "_bucket").agg(*[edge(n) for n in names])
+    entering = [F.last(f"_in_{n}", ignorenulls=True).over(earlier if n in above else later).alias(f"_in_{n}") for n in names]
+    carried = edges.select("_key", "_bucket", *entering)
+    segment = W.partitionBy("_key", "_bucket")
+    before, onward = segment.orderBy(ROW).rowsBetween(*past), segment.orderBy(F.desc(ROW)).rowsBetween(W.unboundedPreceding, 0)
+    local = {f"_near_{n}": F.last(f"_src_{n}", ignorenulls=True).over(before if n in above else onward) for n in names}
+    filled = staged.withColumns(local).join(carried, ["_key", "_bucket"], "left")
+    return filled.select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], *[F.coalesce(f"_near_{n}", f"_in_{n}").alias(n) for n in names]
+    )

@@ -209,6 +209,31 @@ def change_log_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("operation", "column").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+  WITH d AS (
+    SELECT event_id, user_id % 20 = 0 AS hot, CASE WHEN user_id % 20 = 0 THEN NULL ELSE user_id END AS u,
+           CASE WHEN event_id % 7 = 0 THEN 'gap' WHEN event_id % 13 = 0 THEN 'broken' ELSE 'value' END AS kind, value,
+           CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events)
+  SELECT event_id, u AS user_id,
+         round(CASE kind WHEN 'value' THEN value WHEN 'gap' THEN
+           last_value(CASE WHEN kind <> 'gap' THEN {'v': CASE WHEN kind = 'value' THEN value END} END IGNORE NULLS)
+             OVER (PARTITION BY u ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).v END, 6) AS value,
+         coalesce(event_type, first_value(event_type IGNORE NULLS) OVER (PARTITION BY u ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS event_type
+  FROM d""")
+def forward_fill_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills that stay within a user; a twentieth of the users is one missing user, a key that is cut into segments."""
+    k = F.col("event_id")
+    df = events(spark, sf_dir).select(
+        ROW, "event_id", F.when(F.col("user_id") % 20 != 0, F.col("user_id")).alias("user_id"),
+        F.when(k % 7 == 0, "N/A").when(k % 13 == 0, "broken").otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(k % 5 != 0, F.col("event_type")).alias("event_type"),
+    )
+    config = Config(missing_value_overrides={"value": "forward_fill", "event_type": "back_fill"})
+    types = {"value": "numeric", "event_type": "categorical"}
+    rows = cleaning.clean(df, types, config, bucket_rows=1_000, partition_by=["user_id"]).rows
+    return rounded(rows.select("event_id", "user_id", "value", "event_type"), 6, "value")
+
+
 # Findings and insights -----------------------------------------------------------------------------
 
 

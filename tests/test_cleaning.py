@@ -1,9 +1,12 @@
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabsight.config import Config
 from tabsight.operators.cleaning import clean
+from tabsight.operators.fills import fill_columns
 from tabsight.operators.profile import column_types, profile
 
 
@@ -105,3 +108,23 @@ def test_typed_values_that_do_not_change_are_not_logged(spark):
     assert types == {"flag": "boolean", "x": "numeric"}
     log = clean(df, types).change_log.collect()
     assert [(r["row_number"], r["operation"], r["after"]) for r in log] == [(3, "fill_missing", "2.5")]
+
+
+@pytest.mark.parametrize("bucket_rows", [10, 64, 10_000])
+def test_fills_within_keys(spark, bucket_rows):
+    """One key with nine tenths of the rows, a null key, and keys of a few rows; small buckets cut the large key."""
+    rng = random.Random(7)
+    rows = [(i + 2, rng.choice(["hot"] * 18 + [None, f"k{i % 9}"]), rng.choice([None, None, None, i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "_row long, key string, v int").repartition(5)
+    source = F.col("v")
+    got = fill_columns(df, {"up": source}, {"down": source}, bucket_rows, ["key"])
+    seen, want = {}, {}
+    for row, key, v in rows:
+        want[row] = [seen.get(key), None]
+        seen[key] = v if v is not None else seen.get(key)
+    seen = {}
+    for row, key, v in reversed(rows):
+        seen[key] = v if v is not None else seen.get(key)
+        want[row][1] = seen[key]
+    assert {r["_row"]: [r["up"], r["down"]] for r in got.collect()} == want
+    assert got.columns == ["_row", "key", "v", "up", "down"]
