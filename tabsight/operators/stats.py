@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ SUMMARY_SCHEMA = (
 CORRELATION_SCHEMA = "column_a string, column_b string, correlation double, pair_count long"
 
 _BLOCK = 16
+#: Columns of a block of product matrices, blocks that one sum meets, and pairs of one aggregate.
+_MATRIX, _MET_BLOCKS, _AGAIN = 128, 64, 100
 
 
 def numeric_exprs(df: DataFrame, columns: list[str], strict_numbers: bool = False) -> dict[str, Column]:
@@ -31,36 +34,22 @@ def numeric_exprs(df: DataFrame, columns: list[str], strict_numbers: bool = Fals
 
 
 def column_stats(df: DataFrame, exprs: dict[str, Column]) -> list[dict]:
-    """Count, mean, deviation and range per column from one wide aggregate.
+    """Count, mean, deviation and range per column from one scan.
 
-    The aggregate has no keys, so a partition ships one row; very wide tables
-    are cut into blocks that each read only their own columns.
+    One aggregate without keys, so a partition ships one row; the columns of wide tables are unpivoted first, so that the
+    generated code does not grow with them.
     """
-    names = list(exprs)
-    stats = []
-    for start in range(0, len(names), 4 * _BLOCK):
-        block = names[start : start + 4 * _BLOCK]
-        wide = df.select(*[exprs[c].alias(f"_x{i}") for i, c in enumerate(block)])
-        aggregates = ["count(1) AS rows"]
-        for i in range(len(block)):
-            aggregates += [
-                f"count(_x{i}) AS n{i}", f"avg(_x{i}) AS mean{i}", f"stddev_samp(_x{i}) AS sd{i}",
-                f"min(_x{i}) AS low{i}", f"max(_x{i}) AS high{i}",
-            ]
-        row = wide.selectExpr(*aggregates).first()
-        for i, c in enumerate(block):
-            stats.append(
-                {
-                    "column": c,
-                    "rows": row["rows"],
-                    "n": row[f"n{i}"],
-                    "mean": row[f"mean{i}"],
-                    "sd": row[f"sd{i}"],
-                    "low": row[f"low{i}"],
-                    "high": row[f"high{i}"],
-                }
-            )
-    return stats
+    slots = {f"_x{i}": c for i, c in enumerate(exprs)}
+    wide = df.select(*[e.alias(slot) for slot, e in zip(slots, exprs.values())])
+    facts = {"n": "count({0})", "mean": "avg({0})", "sd": "stddev_samp({0})", "low": "min({0})", "high": "max({0})"}
+    if len(slots) <= 4 * _BLOCK:
+        aggregates = [f"{sql.format(slot)} AS {name}{slot}" for slot in slots for name, sql in facts.items()]
+        row = wide.selectExpr("count(1) AS rows", *aggregates).first()
+        return [{"column": c, "rows": row["rows"], **{name: row[f"{name}{slot}"] for name in facts}} for slot, c in slots.items()]
+    long = wide.unpivot([], list(slots), "slot", "x").groupBy("slot")
+    found = {r["slot"]: r for r in long.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(sql.format("x")).alias(name) for name, sql in facts.items()]).collect()}
+    empty = {"rows": 0, "n": 0, "mean": None, "sd": None, "low": None, "high": None}
+    return [{"column": c, **(found[slot].asDict() if slot in found else empty)} for slot, c in slots.items()]
 
 
 def summary(
@@ -92,31 +81,27 @@ def correlations(df: DataFrame, types: dict[str, str], columns: list[str] | None
 
     One pass finds means and constants, a second sums products of centered
     values: one sum per pair where neither column has gaps, more where the
-    complete pairs differ from the columns. Pairs go in square blocks so that
-    wide tables neither exceed one aggregate nor read unneeded columns.
+    complete pairs differ from the columns. Tables of more columns than one
+    aggregate holds sum matrices of products instead, still in one pass.
     """
     exprs = numeric_exprs(df, columns or columns_of(types, NUMERIC))
     stats = {s["column"]: s for s in column_stats(df, exprs)} if len(exprs) > 1 else {}
     names = [c for c in exprs if stats and stats[c]["n"] >= 2 and stats[c]["low"] != stats[c]["high"]]
-    blocks = [names[i : i + _BLOCK] for i in range(0, len(names), _BLOCK)]
-    rows = []
-    for i, left in enumerate(blocks):
-        for right in blocks[i:]:
-            rows += _pair_block(df, exprs, stats, left, right)
+    if len(names) <= _BLOCK:
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        rows = _summed_pairs(df, exprs, stats, pairs)
+    else:
+        rows = _wide_pairs(df, exprs, stats, names)
     position = {c: i for i, c in enumerate(exprs)}
     rows.sort(key=lambda r: (-abs(r[2]), position[r[0]], position[r[1]]))
     return local_frame(df.sparkSession, rows, CORRELATION_SCHEMA)
 
 
-def _pair_block(df, exprs, stats, left: list[str], right: list[str]) -> list[tuple]:
-    pairs = (
-        [(a, b) for i, a in enumerate(left) for b in left[i + 1 :]]
-        if left == right
-        else [(a, b) for a in left for b in right]
-    )
+def _summed_pairs(df, exprs, stats, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """Correlations of some pairs from one aggregate."""
     if not pairs:
         return []
-    used = list(dict.fromkeys([*left, *right]))
+    used = list(dict.fromkeys(c for pair in pairs for c in pair))
     slot = {c: f"_x{i}" for i, c in enumerate(used)}
     centered = df.select(*[(exprs[c] - F.lit(stats[c]["mean"])).alias(slot[c]) for c in used])
     aggregates = []
@@ -153,6 +138,83 @@ def _pair_block(df, exprs, stats, left: list[str], right: list[str]) -> list[tup
     return results
 
 
+def _adder():
+    """Sums blocks of equal keys. Built by value for the workers."""
+
+    def add(rows):
+        import numpy as np
+
+        return rows.iloc[:1].assign(part=[np.sum([np.frombuffer(p) for p in rows["part"]], axis=0).tobytes()])
+
+    return add
+
+
+def _products(size: int):
+    """Rows of centered columns to partial sums of every task, in blocks of columns. Built by value for the workers.
+
+    A block (i, j) stacks four matrices over its columns a and b: sums of x_a x_b, of x_a and of x_a^2 where b is there,
+    and how often both are.
+    """
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            there = there.astype(np.float64)
+            part = np.stack([x.T @ x, x.T @ there, (x * x).T @ there, there.T @ there])
+            total = part if total is None else total + part
+        if total is None:
+            return
+        starts = range(0, total.shape[1], size)
+        cells = [(i, j, np.ascontiguousarray(total[:, a : a + size, b : b + size]).tobytes()) for i, a in enumerate(starts) for j, b in enumerate(starts)]
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*cells), (pa.int32(), pa.int32(), pa.binary()))]
+        for k in range(len(cells)):  # one block a batch
+            yield pa.RecordBatch.from_arrays([c.slice(k, 1) for c in columns], names=["i", "j", "part"])
+
+    return fold
+
+
+def _wide_pairs(df, exprs, stats, names: list[str]) -> list[tuple]:
+    """Correlations of all pairs of many columns from one scan.
+
+    Tasks write blocks of matrices, which are summed by block and by tens of tasks, so that no sum meets many of them.
+    What reaches the driver is four numbers a pair. Pairs of which one side hardly varies where the other is there are
+    summed anew, exactly, by one aggregate a hundred pairs.
+    """
+    centered = df.select(*[(exprs[c] - F.lit(stats[c]["mean"])).alias(f"_x{k}") for k, c in enumerate(names)])
+    tasks = max(1, df.rdd.getNumPartitions())
+    parts = centered.mapInArrow(_products(_MATRIX), "i int, j int, part binary").withColumn("g", F.spark_partition_id())
+    while tasks > 1:
+        tasks = -(-tasks // _MET_BLOCKS)
+        parts = parts.withColumn("g", F.pmod("g", F.lit(tasks))).groupBy("i", "j", "g").applyInPandas(_adder(), parts.schema)
+    p = len(names)
+    sums = np.zeros((4, p, p))
+    for r in parts.toLocalIterator():
+        a, b = r["i"] * _MATRIX, r["j"] * _MATRIX
+        shape = (4, min(_MATRIX, p - a), min(_MATRIX, p - b))
+        sums[:, a : a + _MATRIX, b : b + _MATRIX] += np.frombuffer(r["part"]).reshape(shape)
+    products, ones, squares, n = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - ones * ones / n
+        value = (products - ones * ones.T / n) / (np.sqrt(spread) * np.sqrt(spread.T))
+        # Rounding could make a constant vary, or the other way round.
+        unsure = (n >= 2) & ~((spread > 1e-9 * squares) & (spread.T > 1e-9 * squares.T))
+    rows, again = [], []
+    for i, j in zip(*np.triu_indices(p, 1)):
+        if unsure[i, j]:
+            again.append((names[i], names[j]))
+        elif n[i, j] >= 2 and not np.isnan(value[i, j]):
+            rows.append((names[i], names[j], float(value[i, j]), int(n[i, j])))
+    for k in range(0, len(again), _AGAIN):
+        rows += _summed_pairs(df, exprs, stats, again[k : k + _AGAIN])
+    return rows
+
+
 def _gapless(s: dict) -> bool:
     return s["n"] == s["rows"]
 

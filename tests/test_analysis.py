@@ -179,3 +179,28 @@ def test_insights_for_several_datasets_at_once(numbered):
     assert two["risks"][0] == "The dataset contains 1 duplicate record(s)." and len(two["risks"]) == 3
     assert len(two["recommended_actions"]) == 5
     assert none["key_drivers"] == [] and len(none["risks"]) == 1
+
+
+def test_correlations_of_many_columns_equal_the_pairs(spark, monkeypatch):
+    """90 columns with gaps, constants and a column that is constant where another one is there."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(160, 90)) * 10.0 ** rng.integers(-3, 6, 90) + 10.0 ** rng.integers(0, 6, 90)
+    x[:, 3] = x[:, 4] * -2
+    x[:, 7] = 5.0
+    x[:80, 8], x[80:, 9] = 1e6, np.nan
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"n {k}" for k in range(90)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(7)
+    types = dict.fromkeys(names, "numeric")
+    monkeypatch.setattr(stats, "_MATRIX", 32)
+    monkeypatch.setattr(stats, "_MET_BLOCKS", 3)
+    wide = {(r["column_a"], r["column_b"]): (r["correlation"], r["pair_count"]) for r in stats.correlations(df, types).collect()}
+    monkeypatch.setattr(stats, "_BLOCK", 100)
+    some = names[:12]
+    pairs = {(r["column_a"], r["column_b"]): (r["correlation"], r["pair_count"]) for r in stats.correlations(df, types, some).collect()}
+    assert {k: v[1] for k, v in wide.items() if k[0] in some and k[1] in some} == {k: v[1] for k, v in pairs.items()}
+    assert all(wide[k][0] == pytest.approx(v[0], abs=1e-9) for k, v in pairs.items())
+    assert ("n 8", "n 9") not in wide and wide["n 3", "n 4"][0] == pytest.approx(-1)
+    both = ~np.isnan(x[:, 40]) & ~np.isnan(x[:, 77])
+    assert wide["n 40", "n 77"] == (pytest.approx(np.corrcoef(x[both, 40], x[both, 77])[0, 1], abs=1e-9), both.sum())
