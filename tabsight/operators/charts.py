@@ -15,6 +15,7 @@ from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 HISTOGRAM_SCHEMA = "bin int, start double, end double, count long"
+GRID_SCHEMA = "bin_a int, bin_b int, a_start double, a_end double, b_start double, b_end double, count long"
 CHART_SCHEMA = (
     "position int, kind string, title string, columns array<string>, description string, note string"
 )
@@ -65,11 +66,45 @@ def trend_series(df: DataFrame, date_column: str, value_column: str, bucket: str
     return points.orderBy("day", ROW).select("day", "value")
 
 
-def scatter_points(df: DataFrame, column_a: str, column_b: str) -> DataFrame:
-    """(_row, a, b) of complete numeric pairs."""
+def scatter_points(df: DataFrame, column_a: str, column_b: str, max_points: int | None = None) -> DataFrame:
+    """(_row, a, b) of complete numeric pairs.
+
+    With ``max_points`` only those rows whose digest of the row number comes first: a random sample that is the same on
+    every run, taken in each task before it is merged.
+    """
     df = ensure_rows(df)
     exprs = numeric_exprs(df, [column_a, column_b])
-    return df.select(ROW, exprs[column_a].alias("a"), exprs[column_b].alias("b")).dropna()
+    points = df.select(ROW, exprs[column_a].alias("a"), exprs[column_b].alias("b")).dropna()
+    if max_points is None:
+        return points
+    return points.withColumn("_order", F.md5(F.col(ROW).cast("string"))).orderBy("_order", ROW).limit(max_points).drop("_order")
+
+
+def scatter_grid(df: DataFrame, column_a: str, column_b: str, bins: int = 20) -> DataFrame:
+    """(bin_a, bin_b, a_start, a_end, b_start, b_end, count): all complete numeric pairs, counted in equal cells.
+
+    Cells without a pair are left out; the largest values belong to the last cells, and a column of one value has one.
+    """
+    spark = df.sparkSession
+    exprs = numeric_exprs(df, [column_a, column_b])
+    pairs = df.select(exprs[column_a].alias("a"), exprs[column_b].alias("b")).dropna()
+    edges = {s["column"]: s for s in column_stats(pairs, {"a": F.col("a"), "b": F.col("b")})}
+    if not edges["a"]["n"]:
+        return local_frame(spark, [], GRID_SCHEMA)
+
+    def cell(name: str):
+        low, high = edges[name]["low"], edges[name]["high"]
+        width = (high / bins - low / bins) or 1.0
+        place = F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(width)), F.lit(bins - 1 if low < high else 0))
+        return place.cast("int").alias(f"bin_{name}"), low, width
+
+    (place_a, low_a, width_a), (place_b, low_b, width_b) = cell("a"), cell("b")
+    counts = pairs.groupBy(place_a, place_b).agg(F.count(F.lit(1)).alias("count"))  # bins * bins rows at most
+    bounds = []
+    for name, low, width in (("a", low_a, width_a), ("b", low_b, width_b)):
+        at = F.col(f"bin_{name}")
+        bounds += [(F.lit(low) + at * width).alias(f"{name}_start"), (F.lit(low) + (at + 1) * width).alias(f"{name}_end")]
+    return counts.select("bin_a", "bin_b", *bounds, "count")
 
 
 def skewed(summary: DataFrame) -> DataFrame:

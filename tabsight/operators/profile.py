@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT
+from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT, fields
 from tabsight.functions import cells as C
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics
 from tabsight.sources.local import local_frame
@@ -188,22 +188,34 @@ def _samples(df: DataFrame, columns: list[str]) -> dict[int, list]:
     return found
 
 
-def detect_type(facts: dict) -> tuple[str, float, int]:
-    """(type, confidence, invalid cells) from the facts of one column; the first rule that fits wins."""
-    m, u = facts["m"], facts["distinct_count"]
-    if m == 0:
-        return TEXT, 0.0, 0
-    flags, numbers, dates = (facts[n] / m for n in ("n_bool", "n_num", "n_date"))
-    if flags >= 0.9:
-        return BOOLEAN, flags, m - facts["n_bool"]
-    if numbers >= 0.8 and facts["n_num"] >= 3:
-        return NUMERIC, numbers, m - facts["n_num"]
-    if dates >= 0.8 and facts["n_date"] >= 3:
-        return DATE, dates, m - facts["n_date"]
-    few = u <= max(20, int(m * 0.3))
-    if few or (u <= max(50, int(m * 0.5)) and facts["avg_length"] <= 40):
-        return CATEGORICAL, max(0.5, min(1.0, 1.0 - u / m + 0.5)), 0
-    return TEXT, max(flags, numbers, dates), 0
+# The share of a column's cells that have to read as a type, how many at least, and the count of those cells.
+TYPE_SHARES = ((BOOLEAN, 0.9, 0, "n_bool"), (NUMERIC, 0.8, 3, "n_num"), (DATE, 0.8, 3, "n_date"))
+# A column is categorical with so many distinct values, or that share of its cells, if its texts are no longer.
+FEW_VALUES = ((20, 0.3, None), (50, 0.5, 40))
+
+
+def with_types(facts: DataFrame) -> DataFrame:
+    """Add ``detected_type``, ``confidence`` and ``invalid_count`` to facts of one row a column.
+
+    Needs ``m`` (cells that hold something), ``distinct_count``, ``avg_length`` and the counts that ``TYPE_SHARES`` names;
+    other columns pass through, so one frame may hold the columns of any number of tables.
+    """
+    m, distinct = F.col("m"), F.col("distinct_count")
+    shares = {kind: F.col(count) / F.greatest(m, F.lit(1)) for kind, _, _, count in TYPE_SHARES}
+    # Candidates from the last to the first, each over those after it.
+    chosen = F.struct(F.lit(TEXT).alias("detected_type"), F.greatest(*shares.values()).alias("confidence"), F.lit(0).cast("long").alias("invalid_count"))
+    limits = [(distinct <= F.greatest(F.lit(n), F.floor(m * share))) & (F.lit(True) if length is None else F.col("avg_length") <= length) for n, share, length in FEW_VALUES]
+    spread = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.lit(1.0) - distinct / F.greatest(m, F.lit(1)) + 0.5))
+    few = F.struct(F.lit(CATEGORICAL).alias("detected_type"), spread.alias("confidence"), F.lit(0).cast("long").alias("invalid_count"))
+    chosen = F.when(reduce(lambda a, b: a | b, limits), few).otherwise(chosen)
+    for kind, share, least, count in reversed(TYPE_SHARES):
+        fitting = F.struct(F.lit(kind).alias("detected_type"), shares[kind].alias("confidence"), (m - F.col(count)).alias("invalid_count"))
+        chosen = F.when((shares[kind] >= share) & (F.col(count) >= least), fitting).otherwise(chosen)
+    nothing = F.struct(F.lit(TEXT).alias("detected_type"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("invalid_count"))
+    return facts.withColumn("_type", F.when(m == 0, nothing).otherwise(chosen)).select("*", "_type.*").drop("_type")
+
+
+_RULE_SCHEMA = "position int, m long, distinct_count long, avg_length double, n_bool long, n_num long, n_date long"
 
 
 def profile(
@@ -239,7 +251,10 @@ def profile(
     for i, r in found.items():
         r |= values.get(i, {"distinct_count": 0, "top": []})
         r["samples"] = samples.get(i, [])
-        r["detected_type"], r["confidence"], r["invalid_count"] = detect_type(r)
+    names = [name for name, _ in fields(_RULE_SCHEMA)]
+    facts = local_frame(df.sparkSession, [(i, *(r[n] for n in names[1:])) for i, r in found.items()], _RULE_SCHEMA)
+    for r in with_types(facts).collect():
+        found[r["position"]] |= {n: r[n] for n in ("detected_type", "confidence", "invalid_count")}
 
     numeric = [i for i, r in found.items() if r["detected_type"] == NUMERIC]
     sparse = [i for i, r in found.items() if len(r["samples"]) < min(_SAMPLES, r["m"])]
@@ -316,3 +331,39 @@ def column_types(profile_df: DataFrame) -> dict[str, str]:
 
 def columns_of(types: dict[str, str], *wanted: str) -> list[str]:
     return [c for c, t in types.items() if t in wanted]
+
+
+#: Size of a sketch as a power of 2: with 2**16 registers estimates err by some 0.4 % (one standard deviation).
+SKETCH_BITS = 16
+SKETCH_SCHEMA = "column string, position int, sketch binary, cells long"
+
+
+def distinct_sketches(df: DataFrame, columns: list[str] | None = None, bits: int = SKETCH_BITS) -> DataFrame:
+    """``column``, ``position``, ``sketch``, ``cells``: mergeable sketches of the distinct folded values, and how many
+    values there are.
+
+    For tables whose exact distinct count costs too much, and for those that grow: the sketches of new files are merged
+    with those kept of the old ones (``merge_sketches``), and give the estimate of the whole. A task keeps one sketch a
+    column; no value is shuffled.
+    """
+    columns = columns or data_columns(df)
+    by_kind = C.kinds(df, columns)
+    slots = {f"_c{i}": c for i, c in enumerate(columns)}
+    as_text = {"floating": lambda c: c.cast("double").cast("string"), "string": lambda c: F.when(~C.is_missing(c), C.fold_value(c))}
+    values = [as_text.get(by_kind[c], lambda x, kind=by_kind[c]: C.text_of(x, kind))(C.col(c)).alias(slot) for slot, c in slots.items()]
+    long = df.select(*values).unpivot([], list(slots), "slot", "value")
+    found = long.groupBy("slot").agg(F.hll_sketch_agg("value", bits).alias("sketch"), F.count("value").alias("cells"))
+    names = F.create_map(*[F.lit(x) for pair in slots.items() for x in pair])
+    return found.select(names[F.col("slot")].alias("column"), _position(), "sketch", "cells")
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    """Sketches of several parts of a table as those of the whole."""
+    parts = reduce(DataFrame.unionByName, sketches)
+    return parts.groupBy("column", "position").agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("cells").alias("cells"))
+
+
+def distinct_estimates(sketches: DataFrame) -> DataFrame:
+    """``column``, ``position``, ``distinct_estimate``; never more than there are values."""
+    estimate = F.least(F.hll_sketch_estimate("sketch"), F.col("cells"))
+    return sketches.select("column", "position", estimate.alias("distinct_estimate"))

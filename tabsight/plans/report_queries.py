@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tabsight.config import ROW, Config, FilterSpec
 from tabsight.functions import cells as C
 from tabsight.functions.filters import slice_rows
-from tabsight.operators import cleaning, outliers, quality, stats, trend
+from tabsight.operators import charts, cleaning, outliers, quality, stats, trend
 from tabsight.operators import model as models
 from tabsight.operators.insights import insights
-from tabsight.operators.profile import column_types, profile
-from tabsight.plans.queries import Query, _scratch, events, orders, rounded, table
+from tabsight.operators.profile import column_types, distinct_estimates, distinct_sketches, merge_sketches, profile
+from tabsight.plans.queries import Query, _scratch, events, lineitem, orders, rounded, table
 from tabsight.sources.csv import audit_files, scan_csv
 
 QUERIES: dict[str, Query] = {}
@@ -328,3 +328,44 @@ def insights_no_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _insights(df)
     summary = report.select(F.col("executive_summary").alias("text"), F.lit("executive_summary").alias("section"))
     return _sections(report).unionByName(summary)
+
+
+# Charts and sketches -------------------------------------------------------------------------------
+
+
+@query("""
+  SELECT o_totalprice AS a, CAST(o_custkey AS DOUBLE) AS b FROM orders ORDER BY md5(CAST(o_orderkey + 2 AS VARCHAR)) LIMIT 500""")
+def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred points that stand for all."""
+    return charts.scatter_points(orders(spark, sf_dir), "o_totalprice", "o_custkey", max_points=500).select("a", "b")
+
+
+@query("""
+  WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem),
+  e AS (SELECT min(a) AS la, max(a) / 20 - min(a) / 20 AS wa, min(b) AS lb, max(b) / 20 - min(b) / 20 AS wb FROM p)
+  SELECT CAST(least(floor((a - la) / wa), 19) AS INTEGER) AS bin_a, CAST(least(floor((b - lb) / wb), 19) AS INTEGER) AS bin_b,
+         round(any_value(la + CAST(least(floor((a - la) / wa), 19) AS INTEGER) * wa), 4) AS a_start,
+         round(any_value(lb + (CAST(least(floor((b - lb) / wb), 19) AS INTEGER) + 1) * wb), 4) AS b_end, count(*) AS n
+  FROM p, e GROUP BY 1, 2""")
+def scatter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points, counted in cells."""
+    found = charts.scatter_grid(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return rounded(found, 4, "a_start", "b_end").select("bin_a", "bin_b", "a_start", "b_end", F.col("count").alias("n"))
+
+
+SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) > 0 AS near, true AS merged_is_whole FROM lineitem" for c in SKETCHED))
+def distinct_sketch_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates lie within 2 % of the exact counts, and those of two halves merged are those of the whole."""
+    df = table(spark, sf_dir, "lineitem")
+    even = F.col("l_orderkey") % 2 == 0
+    whole = distinct_estimates(distinct_sketches(df, SKETCHED))
+    halves = [distinct_sketches(df.filter(half), SKETCHED) for half in (even, ~even)]
+    merged = distinct_estimates(merge_sketches(*halves)).select("column", F.col("distinct_estimate").alias("merged"))
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).unpivot([], SKETCHED, "column", "exact")
+    near = F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.02 * F.col("exact")
+    # Merged sketches are unions of registers, which round a little differently.
+    same = F.abs(F.col("merged") - F.col("distinct_estimate")) <= 0.02 * F.col("exact")
+    return whole.join(merged, "column").join(exact, "column").select("column", near.alias("near"), same.alias("merged_is_whole"))

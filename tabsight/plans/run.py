@@ -170,7 +170,13 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
             rows, state["types"], tables["summary"], tables["trends"], tables["correlations"], config.chart_limit
         )
         tables["chart_plan"] = plan
-        makers = {"histogram": histogram, "bar": value_counts, "line": trend_series, "scatter": scatter_points}
+        points = config.chart_points
+        makers = {
+            "histogram": histogram,
+            "bar": value_counts,
+            "line": lambda *of: trend_series(*of, bucket="day" if points else None),
+            "scatter": lambda *of: scatter_points(*of, max_points=points or None),
+        }
         for r in plan.collect():
             tables[f"chart_{r['position']}_{r['kind']}"] = makers[r["kind"]](rows, *r["columns"])
 
