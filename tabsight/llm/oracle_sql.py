@@ -100,4 +100,49 @@ ORACLE: dict[str, str] = {
                (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
         FROM valued QUALIFY part = 'pair' OR rank <= 200
     """,
+    "op5_ball_tree": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS whole FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), found AS (
+            SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.whole, c.whole))::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.whole) = len(q.whole) WHERE q.vec_id % 20 = 0 GROUP BY ALL
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM found QUALIFY rank <= 20
+    """,
+    "op6_sorted_passes": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT DISTINCT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.w, r.root FROM reach r JOIN links l ON l.u = r.node
+        ), parts AS (
+            SELECT node, min(root) AS component_id FROM reach GROUP BY node
+        )
+        SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN parts ON node = vec_id
+    """,
+    "op10_ngram_jaccard": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS MATERIALIZED (
+            SELECT u, w FROM (SELECT a.doc_id AS u, b.doc_id AS w, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)
+            JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = w WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.w, r.root FROM reach r JOIN links l ON l.u = r.node
+        ), parts AS (
+            SELECT node, min(root) AS component_id FROM reach GROUP BY node
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN parts ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    """,
 }
