@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, NUMERIC, ROW, STRATEGIES, TEXT, Config
 from tabsight.functions import cells as C
 from tabsight.operators.fills import BUCKET_ROWS, fill_columns
 from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics, upper_middle
+from tabsight.sources.local import local_frame
 from tabsight.sources.staging import ensure_rows
 
 CHANGE_SCHEMA = (
@@ -39,6 +40,34 @@ class Cleaned:
     report: DataFrame
     strategies: dict[str, str]
     replacements: dict[str, Any]
+    prepared: DataFrame
+    parts: dict[str, Any]
+
+    def written(self, path: str) -> Cleaned:
+        """The same results from one scan: rows, changes and marks are written to ``path`` once, where rows and log are
+        read by column, and the counters are taken on the way.
+
+        Counters are those of the tasks whose output was committed, so a task that ran twice counts once.
+        """
+        observation, parts = Observation(), self.parts
+        kept, changes = _free_names(self.rows, "kept", "changes")
+        observed = self.prepared.observe(observation, *parts["measures"])
+        staged = observed.select(*parts["columns"], parts["kept"].alias(kept), F.array_compact(F.array(*parts["changes"])).alias(changes))
+        staged.write.mode("overwrite").parquet(path)
+        whole = self.rows.sparkSession.read.schema(staged.schema).parquet(path)
+        rows = whole.filter(F.col(kept)).drop(kept, changes)
+        log = whole.select(F.col(ROW).alias("row_number"), F.explode(changes).alias("_change")).select("row_number", "_change.*")
+        found, names = observation.get, self.report.columns
+        report = self.report  # a table without rows may leave nothing to observe
+        if set(names) <= set(found):
+            report = local_frame(rows.sparkSession, [tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+        return replace(self, rows=rows, change_log=log, report=report)
+
+
+def _free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has."""
+    longest = "_" * max(len(c) for c in df.columns)
+    return [f"{longest}{name}" for name in wanted]
 
 
 def default_strategy(detected_type: str) -> str:
@@ -228,9 +257,8 @@ def clean(
                 counters["categorical"].append(changed)
 
     kept = ~blocked
-    rows = prepared.filter(kept).select(
-        ROW, *[cleaned[c].alias(c) if c in cleaned else C.col(c) for c in df.columns if c != ROW]
-    )
+    columns = [F.col(ROW), *[cleaned[c].alias(c) if c in cleaned else C.col(c) for c in df.columns if c != ROW]]
+    rows = prepared.filter(kept).select(*columns)
     log = prepared.select(
         F.col(ROW).alias("row_number"), F.explode(F.array_compact(F.array(*changes))).alias("_change")
     ).select("row_number", "_change.*")
@@ -239,16 +267,16 @@ def clean(
         cells = reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in flags], F.lit(0))
         return F.coalesce(F.sum(cells), F.lit(0)).cast("long")
 
-    report = prepared.agg(
+    measures = [
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if(kept).alias("rows_out"),
         F.count_if(blocked).alias("dropped_rows"),
         tally(counters["filled"]).alias("filled_cells"),
         tally(counters["numeric"]).alias("standardized_numeric_cells"),
         tally(counters["categorical"]).alias("normalized_categorical_cells"),
-    )
-    shown = {c: v for c, v in filler.items()}
-    return Cleaned(rows, log, report, strategies, shown)
+    ]
+    parts = {"columns": columns, "kept": kept, "changes": changes, "measures": measures}
+    return Cleaned(rows, log, prepared.agg(*measures), strategies, dict(filler), prepared, parts)
 
 
 def _change(when: Column, column: str, operation: str, before: Column, after: Column, reason: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -22,7 +23,7 @@ from tabsight.operators.trend import anomaly_findings, fit_trends, trend_anomali
 from tabsight.sources.csv import SourceError, scan_csv
 from tabsight.sources.local import hold, local_frame
 from tabsight.sources.reports import write_reports, write_table
-from tabsight.sources.staging import data_columns, ensure_rows, prepare_session
+from tabsight.sources.staging import data_columns, ensure_rows, prepare_session, shared_folder
 
 TIMING_SCHEMA = "stage string, duration_seconds double, status string, message string"
 
@@ -148,6 +149,9 @@ def run(spark: SparkSession, source, config: Config = Config(), source_name: str
 
     def tidy() -> None:
         cleaned = clean(state["rows"], state["types"], config)
+        if config.output_directory:
+            # Cells are parsed once; rows, log and counters come from what that wrote.
+            cleaned = cleaned.written(f"{shared_folder(spark).rstrip('/')}/cleaning-{uuid.uuid4().hex}")
         state["cleaned"] = tables["cleaned"] = job.keep("cleaned", cleaned.rows)
         tables["change_log"] = cleaned.change_log
         tables["cleaning"] = hold(cleaned.report)

@@ -128,3 +128,22 @@ def test_fills_within_keys(spark, bucket_rows):
         want[row][1] = seen[key]
     assert {r["_row"]: [r["up"], r["down"]] for r in got.collect()} == want
     assert got.columns == ["_row", "key", "v", "up", "down"]
+
+
+@pytest.mark.parametrize("strategies", [{"amount": "mean", "region": "mode"}, {"amount": "forward_fill", "region": "drop_row"}])
+def test_one_scan_gives_rows_log_and_counters(numbered, tmp_path, strategies):
+    rows = [(str(i) if i % 4 else "n/a", ["North ", "SOUTH", None][i % 3], f"x{i}") for i in range(200)]
+    df = numbered("amount region kept", rows, partitions=5)
+    lazy = clean(df, {"amount": "numeric", "region": "categorical"}, Config(missing_value_overrides=strategies))
+    once = lazy.written(str(tmp_path / "cleaned"))
+    for name in ("rows", "change_log", "report"):
+        a, b = getattr(lazy, name), getattr(once, name)
+        assert a.columns == b.columns
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    plan = once.report._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "LocalTableScan" in plan
+
+
+def test_one_scan_of_no_rows(numbered, tmp_path):
+    once = clean(numbered("amount", []), {"amount": "numeric"}, Config()).written(str(tmp_path / "none"))
+    assert once.rows.count() == 0 and once.report.first()["rows_in"] == 0
