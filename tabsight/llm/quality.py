@@ -1,30 +1,41 @@
 """Quality scores: random-indexing word vectors pooled per text, a two-layer network, calibrated probabilities.
 
-Every token has an index vector: a few +1 and -1 at places that a hash names. A word vector is the sum of the index
-vectors of the tokens around it, over all texts of the corpus; words share ``VOCABULARY`` hashed places, so the table has
-one size whatever the corpus. A token gives two words: its letters in lower case, and its shape (case, digits, signs,
-and whether it repeats the token before). A text is the mean of its normalized word vectors, the mean of its index
-vectors, of words and of shapes, and the spread of its shapes. A network with one hidden layer (numpy) is trained on labelled
-rows; a temperature fitted on rows it has not seen makes its probabilities honest.
+Every token gives two words: its letters in lower case, and its shape (case, digits, signs, and whether it repeats the
+token before). Every word has an index vector of its own: a few +1 and -1 at places that its hash names. The word vector
+of a word is the sum of the index vectors of the words around it, over all texts of the corpus; the ``LETTER_WORDS`` and
+``SHAPE_WORDS`` most frequent words have one, rarer words count by their index vectors, as neighbours and in texts. A
+text is the mean of its normalized word vectors and of its index vectors, of both kinds, and the spread of its shapes. A
+network with one hidden layer (numpy) is trained on labelled rows; a temperature fitted on rows it has not seen makes
+its probabilities honest.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import keep, python_tasks
 from tabsight.llm.toxicity import held_out
 
-VOCABULARY, DIMENSIONS, ENTRIES, REACH = 4096, 64, 4, 2
-#: Words of letters and shapes have a half of the vocabulary each.
-_HALF = VOCABULARY // 2
+LETTER_WORDS, SHAPE_WORDS, DIMENSIONS, ENTRIES, REACH = 12_288, 4_096, 64, 4, 2
+#: Longer tokens are words like others, but the table of frequent words does not name them.
+LONGEST_WORD = 64
+#: Different (kind, word) that a counting task holds, and tokens that a worker knows, before they start anew.
+HELD_WORDS, HELD_TOKENS = 400_000, 700_000
+#: Characters of texts, and tokens, whose arrays are made at once.
+RUN_CHARS, RUN_TOKENS = 1 << 20, 1 << 17
+#: Parts of the table of word vectors that are summed apart, and rows that meet in one sum.
+SLICES, MET_ROWS = 16, 64
 #: Labelled rows that train the network, at most; every fifth of them only sets the temperature.
 TRAIN_ROWS = 20_000
 HIDDEN, ROUNDS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
@@ -32,122 +43,231 @@ HIDDEN, ROUNDS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _REPEATS = re.compile(r"(.)\1+")
+_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s]?)")
 
 
-def _index_vectors() -> np.ndarray:
-    """The index vector of every place of the vocabulary: ``ENTRIES`` numbers +1 or -1, from a fixed seed."""
-    random = np.random.default_rng(20240611)
-    table = np.zeros((VOCABULARY, DIMENSIONS), np.float32)
-    for row in table:
-        row[random.choice(DIMENSIONS, ENTRIES, replace=False)] = random.choice([-1, 1], ENTRIES)
-    return table
+def _kind(run: str) -> str:
+    return "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "B" if run[1:].islower() or len(run) == 1 else "M"
 
 
-def _kind(letters: re.Match) -> str:
-    run = letters[0]
-    return "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "B" if run[1:].islower() or len(run) == 1 else "M"
+def words_of_token(token: str) -> tuple[str, str]:
+    """The letters of a token in lower case, and its shape: case, digits and signs, with runs cut to two."""
+    if token.isalpha() and len(token) < LONGEST_WORD:
+        return token.lower(), _kind(token)
+    plain = _PLAIN.fullmatch(token)
+    if plain:
+        return plain[1].lower(), _kind(plain[1]) + plain[2]
+    shape = _DIGITS.sub("9", _LETTERS.sub(lambda m: _kind(m[0]), token))
+    return "".join(_LETTERS.findall(token.lower())), _REPEATS.sub(r"\1\1", shape)
 
 
-def shape(token: str) -> str:
-    """Case, digits and signs of a token, with runs cut to two."""
-    return _REPEATS.sub(r"\1\1", _DIGITS.sub("9", _LETTERS.sub(_kind, token)))
+def _hash(word: str) -> int:
+    """31 bits that name the places and signs of a word's index vector."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
 
 
-class Places(dict):
-    """Tokens to their places in the vocabulary: of the letters, of the shape, of the shape when repeated, 16 bits each,
-    and the upper 15 bits of the token's own hash (places use lower ones) to tell repetitions."""
+def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, ``ENTRIES``) places and signs of the index vectors of hashed words."""
+    shifts = np.arange(ENTRIES)
+    hashes = hashes.astype(np.int32)[:, None]
+    signs = 1.0 - 2.0 * ((hashes >> (6 * ENTRIES + shifts).astype(np.int32)) & 1)
+    return ((hashes >> (6 * shifts).astype(np.int32)) & (DIMENSIONS - 1)).astype(np.int64), signs
 
-    def __missing__(self, token: str) -> int:
-        own = shape(token)
-        places = (
-            zlib.crc32("".join(_LETTERS.findall(token.lower())).encode("utf-8", "surrogatepass")) % _HALF,
-            _HALF + zlib.crc32(own.encode("utf-8", "surrogatepass")) % _HALF,
-            _HALF + zlib.crc32(f"{own} again".encode("utf-8", "surrogatepass")) % _HALF,
-            zlib.crc32(token.encode("utf-8", "surrogatepass")) >> 17,
-        )
-        found = sum(place << 16 * k for k, place in enumerate(places))
-        if len(self) > 300_000:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = found
-        return found
 
+class Tokens(dict):
+    """Tokens to numbers of ``rows``, each of six: the numbers of the token's letters, shape and repeated shape among the frequent words
+    (-1 for rarer ones), then their hashes."""
 
-def places_of(text: str | None, places: Places) -> np.ndarray:
-    """(tokens, 2) places of a whole text."""
-    tokens = text.split() if text else []
-    if not tokens:
-        return np.zeros((0, 2), np.int64)
-    found = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
-    again = np.concatenate(([False], found[1:] == found[:-1]))
-    shapes = np.where(again, found >> 32, found >> 16) & 0xFFFF
-    return np.stack([found & 0xFFFF, shapes], 1)
+    def __init__(self, words: tuple[list[str], list[str]]):
+        super().__init__()
+        self.known = [{w: k for k, w in enumerate(own)} for own in words]
+        self.shapes: dict[str, tuple[int, int, int, int]] = {}
+        self.rows = array("q")
 
+    def __missing__(self, token: str) -> int:
+        letters, shape = words_of_token(token)
+        numbers = self.shapes.get(shape)
+        if numbers is None:
+            again = f"{shape} again"
+            numbers = (self.known[1].get(shape, -1), self.known[1].get(again, -1), _hash(shape), _hash(again))
+            if len(self.shapes) < HELD_TOKENS:
+                self.shapes[shape] = numbers
+        self.rows.extend((self.known[0].get(letters, -1), numbers[0], numbers[1], _hash(letters), numbers[2], numbers[3]))
+        self[token] = row = len(self)
+        return row
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The text and (numbers of letters and shape, then their hashes) of every token of some texts."""
+        split = [text.split() if text else [] for text in texts]
+        lengths = [len(own) for own in split]
+        if len(self) > HELD_TOKENS:
+            self.clear()
+            self.rows = array("q")
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        found = np.array(self.rows, np.int64).reshape(-1, 6)[at] if len(at) else np.zeros((0, 6), np.int64)
+        again = np.zeros(len(at), bool)
+        again[1:] = (at[1:] == at[:-1]) & (owner[1:] == owner[:-1])
+        read = found[:, [0, 1, 3, 4]]
+        read[again] = found[again][:, [0, 2, 3, 5]]
+        return owner, read
+
+
+_HELD: dict[int, Tokens] = {}
+
+
+def tokens_of(words: tuple[list[str], list[str]]) -> Tokens:
+    """What a worker knows of the tokens serves its later tasks, as long as the frequent words are the same."""
+    key = zlib.crc32("\n".join("\t".join(own) for own in words).encode("utf-8", "surrogatepass"))
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Tokens(words)
+    return _HELD[key]
+
+
+def _some_texts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """A batch in runs of about ``RUN_CHARS`` characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text or "") > RUN_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "")
+    if run:
+        yield run
+
+
+def frequent_words(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """The most frequent letter words and shapes of all texts; ties by the word. So many words reach the driver."""
+    python_tasks(docs.sparkSession)
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vocabulary's context vectors over all texts, normalized.
+    def rows_of(tokens: Counter) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        for token, n in tokens.items():
+            letters, shape = words_of_token(token)
+            held[0][letters] += n
+            held[1][shape] += n
+        for kind, own in enumerate(held):
+            names = pa.array(list(own), pa.string())
+            rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), names, pa.array(list(own.values()), pa.int64())], names=["kind", "word", "n"])
+            length = pc.utf8_length(names)
+            yield rows.filter(pc.and_(pc.greater(length, 0), pc.less_equal(length, LONGEST_WORD)))
 
-    A task adds up its own rows into one table of fixed size (1 MB); tables are summed in two steps, so none meets more
-    than a few hundred at once, and one table reaches the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    tokens.update(text.split())
+            if len(tokens) >= HELD_WORDS:
+                yield from rows_of(tokens)
+                tokens.clear()
+        yield from rows_of(tokens)
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, word string, n long")
+    counted = keep(counted.groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
+    best = [counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(n) for kind, n in ((0, LETTER_WORDS), (1, SHAPE_WORDS // 2))]
+    letters, shapes = ([r["word"] for r in own.select("word").collect()] for own in best)
+    return letters, [*shapes, *(f"{s} again" for s in shapes)]
+
+
+def add_contexts(total: np.ndarray, owner: np.ndarray, at: np.ndarray, own: tuple[int, int], first: int, letters: int) -> None:
+    """Add the index vectors of the neighbours of the tokens ``own`` (places counted from ``first``) to their words."""
+    if len(at) <= REACH:
+        own_gaps = range(1, len(at))
+    else:
+        own_gaps = range(1, REACH + 1)
+    places = np.arange(first, first + len(at))
+    centre_here = (places >= own[0]) & (places < own[1])
+    nowhere = len(total)  # cells of pairs that do not count
+    for kind, offset in ((0, 0), (1, letters)):
+        entries, signs = index_entries(at[:, 2 + kind])
+        row = np.where(centre_here & (at[:, kind] >= 0), (at[:, kind] + offset) * DIMENSIONS, nowhere)
+        for gap in own_gaps:
+            same = owner[:-gap] == owner[gap:]
+            for centre, near in ((slice(None, -gap), slice(gap, None)), (slice(gap, None), slice(None, -gap))):
+                cells = np.where(same, row[centre], nowhere)[:, None] + entries[near]
+                total += np.bincount(cells.ravel(), signs[near].ravel(), nowhere + DIMENSIONS)[:nowhere]
+
+
+def word_vectors(docs: DataFrame, words: tuple[list[str], list[str]]) -> list[np.ndarray]:
+    """The normalized vectors of the frequent letter words and shapes, from all texts.
+
+    A task adds up its own texts into one table of fixed size (4 MB) and writes it in slices; slices are summed by tens,
+    so that no sum meets more than ``MET_ROWS`` of them, and one table reaches the driver.
     """
     spark = docs.sparkSession
     python_tasks(spark)
+    sizes = [len(own) for own in words]
+    cells = sum(sizes) * DIMENSIONS
+    step = -(-cells // SLICES) or 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        # How often each word stands near each other one: letters with letters, shapes with shapes (64 MB).
-        near = np.zeros((2, _HALF * _HALF), np.int64)
+        tokens, total = tokens_of(words), np.zeros(cells)  # whole numbers, exact in doubles
         for batch in batches:
-            found = [places_of(text, places) for text in batch.column(0).to_pylist()]
-            text_no = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            for gap in range(1, REACH + 1):
-                same = text_no[:-gap] == text_no[gap:]
-                for kind in (0, 1):
-                    own = at[:, kind] - kind * _HALF
-                    np.add.at(near[kind], own[:-gap][same] * _HALF + own[gap:][same], 1)
-        index = _index_vectors().astype(np.float64).reshape(2, _HALF, DIMENSIONS)
-        total = np.concatenate([(n + n.T) @ i for n, i in zip(near.reshape(2, _HALF, _HALF), index, strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            for texts in _some_texts(batch.column(0).to_pylist()):
+                owner, at = tokens.read(texts)
+                for begin in range(0, len(at), RUN_TOKENS):
+                    here = slice(max(0, begin - REACH), begin + RUN_TOKENS + REACH)
+                    add_contexts(total, owner[here], at[here], (begin, begin + RUN_TOKENS), here.start, sizes[0])
+        slices = [total[k * step : (k + 1) * step].astype(np.int64).tobytes() for k in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["slice", "part"])
 
     def add(_, rows):
-        return rows.iloc[:1].assign(part=[np.sum([np.frombuffer(p) for p in rows["part"]], axis=0).tobytes()])
+        return rows.iloc[:1].assign(part=[np.sum([np.frombuffer(p, np.int64) for p in rows["part"]], axis=0).tobytes()])
 
-    parts = keep(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gather, "part binary"), "contexts")
-    while (count := parts.count()) > 1:
-        groups = max(1, count // 64)
+    parts = keep(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gather, "slice int, part binary"), "contexts")
+    while (count := parts.count()) > SLICES:
+        groups = max(1, -(-count // SLICES // MET_ROWS))
         grouped = parts.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        parts = keep(grouped.groupBy("group").applyInPandas(add, "part binary, group long").select("part"), "contexts")
-    table = np.frombuffer(parts.first()["part"]).reshape(VOCABULARY, DIMENSIONS) if count else np.zeros((VOCABULARY, DIMENSIONS))
-    return (table / np.maximum(np.sqrt((table * table).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
-
-
-def pooled(text: str | None, vectors: np.ndarray, index: np.ndarray, places: Places) -> np.ndarray:
-    """The vector of a text; zeros if it has no token."""
-    at = places_of(text, places)
-    if not len(at):
-        return np.zeros(5 * DIMENSIONS + 1, np.float32)
+        parts = keep(grouped.groupBy("slice", "group").applyInPandas(add, "slice int, part binary, group long").select("slice", "part"), "contexts")
+    made = b"".join(r["part"] for r in parts.orderBy("slice").collect())
+    table = np.frombuffer(made, np.int64).astype(float).reshape(-1, DIMENSIONS) if made else np.zeros((sum(sizes), DIMENSIONS))
+    table = (table / np.maximum(np.sqrt((table * table).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+    return [table[: sizes[0]], table[sizes[0] :]]
+
+
+def pooled(texts: list[str | None], vectors: list[np.ndarray], tokens: Tokens) -> np.ndarray:
+    """The vectors of some texts; zeros for a text without a token."""
+    owner, read = tokens.read(texts)
+    lengths = np.bincount(owner, minlength=len(texts))
+    scale = 1 / np.maximum(lengths, 1)
     parts = []
-    for own in at.T:
-        counts = np.bincount(own, minlength=VOCABULARY)
-        seen = np.flatnonzero(counts)
-        share = (counts[seen] / len(own)).astype(np.float32)
-        parts += [share @ vectors[seen], share @ index[seen]]
+    for kind in (0, 1):
+        known = read[:, kind] >= 0
+        size = max(len(vectors[kind]), 1)
+        pairs, counts = np.unique(owner[known] * size + read[known, kind], return_counts=True)
+        of_text, word = np.divmod(pairs, size)
+        share = (counts * scale[of_text]).astype(np.float32)[:, None]
+        sums = np.zeros((2, len(texts), DIMENSIONS), np.float32)
+        if len(pairs):
+            begins = np.flatnonzero(np.append(True, of_text[1:] != of_text[:-1]))
+            own = vectors[kind][word]
+            sums[0, of_text[begins]] = np.add.reduceat(share * own, begins)
+            if kind:
+                sums[1, of_text[begins]] = np.add.reduceat(share * own * own, begins)
+        index = np.zeros(len(texts) * DIMENSIONS)
+        for begin in range(0, len(read), RUN_TOKENS):
+            here = slice(begin, begin + RUN_TOKENS)
+            entries, signs = index_entries(read[here, 2 + kind])
+            index += np.bincount((owner[here, None] * DIMENSIONS + entries).ravel(), signs.ravel(), len(index))
+        parts += [sums[0], index.reshape(-1, DIMENSIONS) * scale[:, None]]
     # How far the shapes spread around their mean, and the length.
-    parts += [np.sqrt(share @ (vectors[seen] - parts[2]) ** 2), [np.log1p(len(own)) / 10]]
-    return np.concatenate(parts).astype(np.float32)
+    seen = np.bincount(owner[known], minlength=len(texts))[:, None] * scale[:, None]
+    spread = sums[1] - 2 * sums[0] ** 2 + sums[0] ** 2 * seen
+    parts += [np.sqrt(np.maximum(spread, 0)), np.log1p(lengths)[:, None] / 10]
+    return np.concatenate(parts, axis=1).astype(np.float32)
 
 
-def _texts_to_vectors(docs: DataFrame, vectors: np.ndarray, extra: list[str]) -> DataFrame:
+def _texts_to_vectors(docs: DataFrame, words: tuple[list[str], list[str]], vectors: list[np.ndarray], extra: list[str]) -> DataFrame:
     python_tasks(docs.sparkSession)
     schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "pooled array<float>"])
-    table = vectors.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, places = _index_vectors(), Places()
-        known = np.frombuffer(table, np.float32).reshape(VOCABULARY, DIMENSIONS)
+        tokens = tokens_of(words)
         for batch in batches:
-            rows = [pooled(t, known, index, places) for t in batch.column("text").to_pylist()]
+            rows = [row for texts in _some_texts(batch.column("text").to_pylist()) for row in pooled(texts, vectors, tokens)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(rows, pa.list_(pa.float32()))], names=[*extra, "pooled"])
 
     return docs.select(*extra, "text").mapInArrow(run, schema)
@@ -209,10 +329,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     never trained on and counts as not held out. Without labels every score is 0.5. Empty in, empty out.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = word_vectors(own)
+    words = frequent_words(own)
+    vectors = word_vectors(own, words)
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     chosen = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    train = _texts_to_vectors(own.join(F.broadcast(chosen), "doc_id"), vectors, ["doc_id", "y"])
+    train = _texts_to_vectors(own.join(F.broadcast(chosen), "doc_id"), words, vectors, ["doc_id", "y"])
     rows = train.orderBy(F.xxhash64("doc_id"), "doc_id").select("y", "pooled").toArrow()
     if rows.num_rows:
         inputs = rows.column("pooled").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
@@ -220,14 +341,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     else:
         network = None
     python_tasks(docs.sparkSession)
-    table = vectors.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, places = _index_vectors(), Places()
-        seen = np.frombuffer(table, np.float32).reshape(VOCABULARY, DIMENSIONS)
+        tokens = tokens_of(words)
         for batch in batches:
-            texts = [pooled(t, seen, index, places) for t in batch.column("text").to_pylist()]
-            scores = network.probability(np.stack(texts)) if texts and network else np.full(len(texts), 0.5)
+            scores = np.full(batch.num_rows, 0.5)
+            if network and batch.num_rows:
+                scores = np.concatenate([network.probability(pooled(texts, vectors, tokens)) for texts in _some_texts(batch.column("text").to_pylist())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = own.mapInArrow(run, "doc_id long, score double")
