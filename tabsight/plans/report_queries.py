@@ -12,6 +12,7 @@ from tabsight.operators import charts, cleaning, outliers, quality, stats, trend
 from tabsight.operators import model as models
 from tabsight.operators.insights import insights
 from tabsight.operators.profile import column_types, distinct_estimates, distinct_sketches, merge_sketches, profile
+from tabsight.operators.profile_many import profile_datasets
 from tabsight.plans.queries import Query, _scratch, events, lineitem, orders, rounded, table
 from tabsight.sources.csv import audit_files, scan_csv
 
@@ -369,3 +370,27 @@ def distinct_sketch_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Merged sketches are unions of registers, which round a little differently.
     same = F.abs(F.col("merged") - F.col("distinct_estimate")) <= 0.02 * F.col("exact")
     return whole.join(merged, "column").join(exact, "column").select("column", near.alias("near"), same.alias("merged_is_whole"))
+
+
+_MANY = [("c_custkey", "numeric"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical")]
+
+
+def _many_sql(column: str, kind: str) -> str:
+    m, u = f"count({column})", f"count(DISTINCT {column})"
+    facts = ("min", "max", "avg", "median", "stddev_samp")
+    numbers = [f"round({f}({column}), 4)" if kind == "numeric" else "CAST(NULL AS DOUBLE)" for f in facts]
+    confidence = "1.0" if kind == "numeric" else f"round(greatest(0.5, least(1.0, 1.5 - {u} / {m}::DOUBLE)), 4)"
+    named = ", ".join(f"{sql} AS numeric_{name}" for sql, name in zip(numbers, ("min", "max", "mean", "median", "stddev")))
+    return (
+        f"SELECT CAST(c_nationkey AS VARCHAR) AS dataset, '{column}' AS \"column\", '{kind}' AS detected_type, {confidence} AS confidence, "
+        f"{m} AS non_missing_count, {u} AS distinct_count, {named} FROM customer GROUP BY c_nationkey"
+    )
+
+
+@query(" UNION ALL ".join(_many_sql(*column) for column in _MANY))
+def profile_many_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of every nation as a table of its own, profiled together."""
+    found = profile_datasets(table(spark, sf_dir, "customer"), "c_nationkey", [c for c, _ in _MANY])
+    numbers = ["numeric_min", "numeric_max", "numeric_mean", "numeric_median", "numeric_stddev"]
+    found = rounded(found, 4, "confidence", *numbers)
+    return found.select("dataset", "column", "detected_type", "confidence", "non_missing_count", "distinct_count", *numbers)

@@ -1,7 +1,10 @@
+from pyspark.sql import functions as F
+import random
 import pytest
 
 from tabsight.operators.outliers import outliers
 from tabsight.operators.profile import column_types, profile
+from tabsight.operators.profile_many import profile_datasets
 from tabsight.operators.quality import duplicate_rows, findings, missing_cells, quality
 from tabsight.operators.order_stats import MEDIAN, floor_index, linear, order_statistics, upper_middle
 
@@ -128,3 +131,34 @@ def test_order_statistics_with_hot_values_and_tiny_groups(spark):
         n = len(ordered)
         assert direct[(g,)]["q3"] == ordered[int((n - 1) * 0.75)] and direct[(g,)]["upper"] == ordered[n // 2]
         assert direct[(g,)]["median"] == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+
+
+def test_many_tables_have_the_profiles_of_each(spark):
+    """Tables of one schema, one with most rows: each one's profile is that of the table alone, in as many jobs as for two."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1200):
+        table = "hot" if rng.random() < 0.6 else rng.choice([None, *(f"t{k}" for k in range(12))])
+        rows.append((i + 2, table, rng.choice(["1", "2.5", "x", None, "n/a", str(i)]), rng.choice(["A ", "a", "b", None]), rng.choice([1.5, None, float(i)]), f"long text {'y' * 70} {i % 9}", f"2026-01-{i % 28 + 1:02d}"))
+    df = spark.createDataFrame(rows, "_row long, name string, num string, cat string, size double, note string, day string").repartition(5)
+
+    def jobs(frame):
+        group = f"profile-{id(frame)}"
+        spark.sparkContext.setJobGroup(group, "")
+        out = profile_datasets(frame, "name", small_group=50).collect()
+        spark.sparkContext.setJobGroup("others", "")
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found, many = jobs(df)
+    _, two = jobs(df.filter("name IN ('hot', 't1')"))
+    assert many <= two + 4
+    for table in ("hot", "t3", ""):
+        own = df.filter(F.coalesce("name", F.lit("")) == table).drop("name")
+        alone = {r["column"]: r.asDict(recursive=True) for r in profile(own).collect()}
+        for r in found:
+            if r["dataset"] == table:
+                got, want = r.asDict(recursive=True), alone[r["column"]]
+                assert got.pop("dataset") == table
+                assert got.keys() == want.keys()
+                for key, value in want.items():
+                    assert got[key] == (pytest.approx(value) if isinstance(value, float) else value), (table, r["column"], key)
