@@ -1,12 +1,17 @@
+import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tabsight.llm import quality, toxicity
+from tabsight.llm import quality, secret_scan, toxicity
 
 from .conftest import ODD
+from .test_similarity import Union, shingle_set
+from .test_text_scans import base_spans, entropy
 
 INSULTS = ["loser", "idiot", "scum", "grumokel"]
 
@@ -107,3 +112,113 @@ def test_pipeline_stages(spark, documents, tmp_path):
     assert set(seen[3]) <= set(seen[2])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(seen[3])
+
+
+# --- the pipeline against plain Python ------------------------------------------------------------------------------
+
+
+def plain_toxicity(rows, intercept, weights):
+    def score(text):
+        found = {f for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for f in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]}
+        return intercept + sum(weights.get(f, 0.0) for f in sorted(found))
+
+    return [r for r in rows if score(r[1]) < 0]
+
+
+def plain_keep_one(rows):
+    """Of each group of linked texts the row of the smallest doc_id; of equal rows without words one."""
+    sets, union = [shingle_set(text, 5) for _, text, _ in rows], Union()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                union.join(i, j)
+    groups = {}
+    for i, (row, own) in enumerate(zip(rows, sets)):
+        groups.setdefault(union.find(i) if own else row[:2], []).append(row)
+    return [min(own, key=lambda r: r[0]) for own in groups.values()]
+
+
+def plain_redact(text):
+    spans = [(a, b) for a, _, _, b in base_spans(text)]
+    for pattern, least in secret_scan.CLASSES.values():
+        found = []
+        for m in re.finditer(pattern, text):
+            mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not re.search(secret_scan.ALLOW.replace("(?i)example|placeholder", "(?i:example|placeholder)"), m[0])
+            if mixed and entropy(m[0]) >= least and not any(a < m.end() and m.start() < b for a, b in spans):
+                found.append(m.span())
+        spans += found
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def plain_copies(rows):
+    """How often each row is drawn: the Poisson distribution of its source's rate, inverted at its hash."""
+    sizes, md5 = Counter(r[2] for r in rows), lambda text: hashlib.md5(text.encode()).hexdigest()
+    copies = Counter()
+    for i, text, source in rows:
+        rate = 1.0 / len(sizes) * len(rows) / sizes[source]
+        u = int(md5(f"0:{i}:{md5(text or '')}:1")[:13], 16) / 16.0**13
+        k, term = 0, np.exp(-rate)
+        total = term
+        while total <= u:
+            k += 1
+            term *= rate / k
+            total += term
+        copies[i, text] += k
+    return +copies
+
+
+def test_pipeline_equals_plain_python(spark, documents, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    plain, labels = corpus(12, 160)
+    texts = [(i, text, rng.choice(["a", "a", "a", "b", "c"])) for i, text in plain]
+    for k in range(40):  # near and exact copies
+        words = rng.choice(texts)[1].split(" ")
+        if k % 2:
+            words[rng.randrange(len(words))] = f"new{k}"
+        texts.append((1000 + k, " ".join(words), "b"))
+    texts += [(2000, f"{plain[1][1]} token=abcdef123 deadbeefdeadbeefdeadbeef99", "c"), (2001, "", "a"), (2002, None, "c"), (2003, "key Zx8Kq2Vw9Lp4Tn7Rb3Yd6Hm1 " * 3, "a"), (2004, "many words here " * 3000, "c")]
+    documents(texts).drop("score").write.parquet(str(tmp_path / "documents.parquet"))
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    want = plain_toxicity(texts, *toxicity.fit(docs.select("doc_id", "text"), truth))
+    want = [(i, plain_redact(text) if text else text, source) for i, text, source in plain_keep_one(want)]
+    copies = plain_copies(want)
+    assert len(want) < len(texts) - 60 and sum(copies.values()) > 60
+
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in now.collect()) == copies
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = {i: len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1 for i, text in copies}
+    pieces, sequences, starts = corpus_pipeline.run(spark, str(tmp_path)).collect(), {}, {}
+    for r in pieces:
+        assert r["doc_tokens"] == lengths[r["doc_id"]]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        starts.setdefault(r["doc_id"], Counter())[r["start"], r["length"]] += 1
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    for (i, _), n in copies.items():
+        at = 0
+        for (start, length), times in sorted(starts.pop(i).items()):
+            assert start == at and times == n
+            at += length
+        assert at == lengths[i]
+    assert not starts
+
