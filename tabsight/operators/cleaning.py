@@ -22,6 +22,7 @@ CHANGE_SCHEMA = (
 )
 
 _SPARK_TYPE = {NUMERIC: "double", DATE: "timestamp", BOOLEAN: "boolean", CATEGORICAL: "string", TEXT: "string"}
+# Names and reasons of the entries of a change log.
 _REASONS = {
     NUMERIC: ("standardize_numeric", "Normalized numeric text into a numeric value."),
     CATEGORICAL: ("normalize_categorical", "Normalized categorical text for consistent grouping and reporting."),

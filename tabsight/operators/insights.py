@@ -31,6 +31,18 @@ STANDING_ACTIONS = (
 WEAK_MODEL = "Treat the current predictive model as exploratory only; more features or more rows may be needed."
 MORE_HISTORY = "Collect more history before relying on trend or regression output for decisions."
 SOURCE_CHECKS = "Add source-side validation to prevent malformed or duplicate rows from entering the pipeline."
+PAIR = "%s and %s move together with correlation %.2f across %d paired observations."
+TREND = "%s shows a %s trend over %s with R² of %.2f."
+MODEL = "Basic regression on %s explains %.2f of observed variance using %d feature(s)."
+GAPS = "Missing values are concentrated in %s; imputation or source cleanup is likely needed."
+COPIES = "The dataset contains %d duplicate record(s)."
+SPIKES = "Potential outliers were found in %s."
+UNSURE = "Schema confidence is weak for %s, so those columns should be reviewed manually."
+MALFORMED = "%d malformed row(s) were repaired or truncated during ingestion."
+SUMMARY = (
+    "Processed %s row(s) across %d column(s). The quality report found %s missing cell(s), "
+    "%s duplicate record(s), and %s potential outlier(s). Strongest analytical signals include %s."
+)
 STRONG_CORRELATION = 0.7
 LOW_CONFIDENCE = 0.65
 
@@ -78,10 +90,7 @@ def insights(
     rules.append(
         _rule(
             top_pairs, DRIVERS, F.col("_rank"),
-            F.format_string(
-                "%s and %s move together with correlation %.2f across %d paired observations.",
-                "column_a", "column_b", "correlation", "pair_count",
-            ),
+            F.format_string(PAIR, "column_a", "column_b", "correlation", "pair_count"),
         )
     )
     first_trend = _ranked(placed(placed(lines, "date_column", "_pd"), "value_column", "_pv"), "_pd", "_pv")
@@ -89,9 +98,7 @@ def insights(
     rules.append(
         _rule(
             first_trend.filter((F.col("_rank") == 1) & (F.abs("slope") > 0)), DRIVERS, 10,
-            F.format_string(
-                "%s shows a %s trend over %s with R² of %.2f.", F.col("value_column"), direction, F.col("date_column"), F.col("r_squared")
-            ),
+            F.format_string(TREND, F.col("value_column"), direction, F.col("date_column"), F.col("r_squared")),
         )
     )
     r2 = F.try_element_at("metrics", F.lit("r_squared"))
@@ -99,10 +106,7 @@ def insights(
     rules.append(
         _rule(
             fits, DRIVERS, 20,
-            F.format_string(
-                "Basic regression on %s explains %.2f of observed variance using %d feature(s).",
-                F.col("target_column"), F.col("r2"), F.size("feature_columns"),
-            ),
+            F.format_string(MODEL, F.col("target_column"), F.col("r2"), F.size("feature_columns")),
         )
     )
     drivers = reduce(DataFrame.unionByName, rules)
@@ -115,11 +119,11 @@ def insights(
     rows, bad, copies = F.col("row_count"), F.col("malformed_row_count"), F.col("duplicate_row_count")
 
     risks = [
-        _rule(_named(gaps, "Missing values are concentrated in %s; imputation or source cleanup is likely needed."), RISKS, 1, F.col("line")),
-        _rule(totals.filter(copies > 0), RISKS, 2, F.format_string("The dataset contains %d duplicate record(s).", copies)),
-        _rule(_named(spikes, "Potential outliers were found in %s."), RISKS, 3, F.col("line")),
-        _rule(_named(unsure, "Schema confidence is weak for %s, so those columns should be reviewed manually."), RISKS, 4, F.col("line")),
-        _rule(totals.filter(bad > 0), RISKS, 5, F.format_string("%d malformed row(s) were repaired or truncated during ingestion.", bad)),
+        _rule(_named(gaps, GAPS), RISKS, 1, F.col("line")),
+        _rule(totals.filter(copies > 0), RISKS, 2, F.format_string(COPIES, copies)),
+        _rule(_named(spikes, SPIKES), RISKS, 3, F.col("line")),
+        _rule(_named(unsure, UNSURE), RISKS, 4, F.col("line")),
+        _rule(totals.filter(bad > 0), RISKS, 5, F.format_string(MALFORMED, bad)),
         _rule(totals.filter(rows < 10), RISKS, 6, SMALL),
         _rule(totals.filter(F.col("column_count") == 1), RISKS, 7, SINGLE),
     ]
@@ -143,9 +147,7 @@ def insights(
 
     report = totals.join(gathered, "dataset").join(hits, "dataset", "left")
     summary = F.format_string(
-        "Processed %s row(s) across %d column(s). The quality report found %s missing cell(s), "
-        "%s duplicate record(s), and %s potential outlier(s). Strongest analytical signals include %s.",
-        counted(rows), F.col("column_count"), counted(F.col("missing_cell_count")), counted(copies),
+        SUMMARY, counted(rows), F.col("column_count"), counted(F.col("missing_cell_count")), counted(copies),
         counted(F.coalesce("_outliers", F.lit(0))), F.element_at(DRIVERS, 1),
     )
     empty, none = rows == 0, F.array().cast("array<string>")

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from tabsight.config import INFO, WARNING, Config, field_names
 from tabsight.functions import cells as C
-from tabsight.sources.local import local_frame
 from tabsight.sources.staging import data_columns
 
+# Texts of the findings, and the confidence below which a type is doubtful.
+MALFORMED = "Detected %d malformed row(s) during ingestion."
+DUPLICATES = "Detected %d duplicate record(s)."
+MISSING = "Column '%s' contains %d missing value(s) out of %d row(s)."
+INCONSISTENT = "Column '%s' has %d value(s) that do not fit the inferred %s schema."
+UNSURE = "Schema confidence for '%s' is only %.2f."
+OUTLYING = "Detected %d potential outlier(s) in '%s'."
+LOW_CONFIDENCE = 0.65
+
 ISSUE_SCHEMA = (
     "severity string, code string, message string, column string, row_number long, details map<string,string>"
 )
@@ -59,24 +67,18 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def quality(df: DataFrame, malformed: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """One row of counters: rows, columns, malformed, duplicates, missing cells."""
     columns = columns or data_columns(df)
-    bad = (
-        malformed.agg(F.count(F.lit(1)).alias("malformed_row_count"))
-        if malformed is not None
-        else local_frame(df.sparkSession, [(0,)], "malformed_row_count long")
-    )
-    # Three one-row frames side by side.
-    return (
-        missing_cells(df, columns)
-        .join(bad, F.lit(True))
-        .join(duplicate_rows(df, columns), F.lit(True))
-        .select(
-            "row_count",
-            F.lit(len(columns)).cast("long").alias("column_count"),
-            "malformed_row_count",
-            "duplicate_row_count",
-            "missing_cell_count",
-        )
-    )
+    counters = {
+        "row_count": None, "column_count": F.lit(len(columns)).cast("long"), "malformed_row_count": None,
+        "duplicate_row_count": None, "missing_cell_count": None,
+    }
+    parts = [missing_cells(df, columns), duplicate_rows(df, columns)]
+    if malformed is not None:
+        parts.append(malformed.agg(F.count(F.lit(1)).alias("malformed_row_count")))
+    # One row a part, each with its own counters; their union is added up.
+    zero = F.lit(0).cast("long")
+    rows = [part.select(*[F.col(c) if c in part.columns else zero.alias(c) for c in counters]) for part in parts]
+    total = reduce(DataFrame.unionByName, rows)
+    return total.agg(*[(F.max(value) if value is not None else F.sum(c)).alias(c) for c, value in counters.items()])
 
 
 def with_dataset(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -126,12 +128,12 @@ def findings(
     bad, copies = F.col("malformed_row_count"), F.col("duplicate_row_count")
     malformed = totals.filter(bad > 0).select(
         *issue(1, 0, WARNING, "malformed_rows",
-               F.format_string("Detected %d malformed row(s) during ingestion.", bad),
+               F.format_string(MALFORMED, bad),
                details=details(("malformed_rows", bad)))
     )
     duplicates = totals.filter(copies > 0).select(
         *issue(2, 0, WARNING, "duplicate_rows",
-               F.format_string("Detected %d duplicate record(s).", copies),
+               F.format_string(DUPLICATES, copies),
                details=details(("duplicate_rows", copies)))
     )
     columns = profile.join(totals.select("dataset", "row_count"), "dataset")
@@ -141,23 +143,22 @@ def findings(
     severity = F.when(rate < config.quality_issue_threshold, INFO).otherwise(WARNING)
     missing = columns.filter(gaps > 0).select(
         *issue(3, F.col("position"), severity, "missing_values",
-               F.format_string("Column '%s' contains %d missing value(s) out of %d row(s).", name, gaps, rows),
+               F.format_string(MISSING, name, gaps, rows),
                name, details(("missing_count", gaps), ("missing_rate", rate)))
     )
     inconsistent = columns.filter(invalid > 0).select(
         *issue(4, F.col("position"), WARNING, "inconsistent_values",
-               F.format_string("Column '%s' has %d value(s) that do not fit the inferred %s schema.",
-                               name, invalid, F.col("detected_type")),
+               F.format_string(INCONSISTENT, name, invalid, F.col("detected_type")),
                name, details(("invalid_count", invalid), ("detected_type", F.col("detected_type"))))
     )
-    unsure = columns.filter((F.col("confidence") < 0.65) & (F.col("non_missing_count") > 0)).select(
+    unsure = columns.filter((F.col("confidence") < LOW_CONFIDENCE) & (F.col("non_missing_count") > 0)).select(
         *issue(5, F.col("position"), INFO, "low_schema_confidence",
-               F.format_string("Schema confidence for '%s' is only %.2f.", name, F.col("confidence")), name)
+               F.format_string(UNSURE, name, F.col("confidence")), name)
     )
     count = F.col("outlier_count")
     outlying = found.join(profile.select("dataset", "column", "position"), ["dataset", "column"]).select(
         *issue(6, F.col("position"), WARNING, "outliers_detected",
-               F.format_string("Detected %d potential outlier(s) in '%s'.", count, name),
+               F.format_string(OUTLYING, count, name),
                name, details(("outlier_count", count)))
     )
     every = reduce(DataFrame.unionByName, [malformed, duplicates, missing, inconsistent, unsure, outlying])

@@ -15,14 +15,14 @@ def rows_of(result, *columns):
 
 
 def test_missing_fill(numbered):
-    df = numbered("region amount", [("North", "10"), ("north", "20"), (None, None), ("South", "30")])
-    types = {"region": "categorical", "amount": "numeric"}
-    result = clean(df, types, Config(missing_value_overrides={"region": "mode", "amount": "mean"}))
-    assert rows_of(result, "region", "amount")[2] == ("north", 20.0)
+    df = numbered("crop tons", [("Rye", "4"), ("rye", "8.5"), (None, None), ("Oats", "1")])
+    types = {"crop": "categorical", "tons": "numeric"}
+    result = clean(df, types, Config(missing_value_overrides={"crop": "mode", "tons": "mean"}))
+    assert rows_of(result, "crop", "tons")[2] == ("rye", 4.5)
     assert tuple(result.report.first()) == (4, 4, 0, 2, 3, 2)
     log = {(r["row_number"], r["column"]): r for r in result.change_log.collect()}
-    assert log[4, "region"]["operation"] == "fill_missing" and log[4, "amount"]["after"] == "20.0"
-    assert (3, "region") not in log and log[2, "region"]["before"] == "North"
+    assert log[4, "crop"]["operation"] == "fill_missing" and log[4, "tons"]["after"] == "4.5"
+    assert (3, "crop") not in log and log[2, "crop"]["before"] == "Rye"
 
 
 @pytest.mark.parametrize("bucket_rows", [2, 1000])

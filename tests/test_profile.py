@@ -15,16 +15,16 @@ def records(df):
 
 def test_schema_detection(numbered):
     df = numbered(
-        "id city date amount",
-        [("1", "Austin", "2026-01-01", "10.5"), ("2", "Boston", "2026-01-02", "20.0"), ("3", "Austin", "2026-01-03", "30")],
+        "no river seen depth",
+        [("7", "Elbe", "2024-05-30", "3.25"), ("8", "Oder", "2024-06-02", "1"), ("9", "Elbe", "2024-06-01", "8.75"), ("11", "elbe ", "2024-05-31", "2")],
     )
     found = profile(df)
-    assert column_types(found) == {"id": "numeric", "city": "categorical", "date": "date", "amount": "numeric"}
+    assert column_types(found) == {"no": "numeric", "river": "categorical", "seen": "date", "depth": "numeric"}
     rows = records(found)
-    assert rows["amount"]["numeric_median"] == 20.0
-    assert rows["date"]["date_max"] == "2026-01-03T00:00:00"
-    assert [tuple(t) for t in rows["city"]["top_values"]] == [("austin", 2), ("boston", 1)]
-    assert rows["city"]["sample_values"] == ["Austin", "Boston", "Austin"]
+    assert rows["depth"]["numeric_median"] == 2.625
+    assert rows["seen"]["date_max"] == "2024-06-02T00:00:00"
+    assert [tuple(t) for t in rows["river"]["top_values"]] == [("elbe", 3), ("oder", 1)]
+    assert rows["river"]["sample_values"] == ["Elbe", "Oder", "Elbe", "elbe "]
 
 
 def test_type_edges(numbered):
