@@ -130,7 +130,7 @@ def test_divergences_equal_plain_python(spark, monkeypatch, blocks):
     rng = random.Random(5)
     words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)] + ["É", "é", "日本", "ÀB", "x\U0001f600"]
     rows = [(rng.choice(["en", "de", None]), f"s{rng.randrange(8)}", " ".join(rng.choices(words[: rng.randrange(5, 95)], k=rng.randrange(30)))) for _ in range(220)]
-    rows += [("en", None, None), ("en", "blank", " 12 \x00 "), ("xx", "one", "a b"), ("xx", "two", ""), ("en", "s1", "Only-Here only_here ONLY here"), ("de", "long", LONG)]
+    rows += [("en", None, None), ("en", "blank", " 12 \x00 "), ("xx", "one", "a b"), ("xx", "two", ""), ("yy", "alone", "a a b"), ("yy", "alone", "a c"), ("yy", "alone", "A"), ("en", "s1", "Only-Here only_here ONLY here"), ("de", "long", LONG)]
     rows += [("en", "s2", text) for _, text in ODD] + [rows[0]] * 4
     assert got_divergence(spark, rows, ranks=20) == plain_divergence(rows, ranks=20)
 
