@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import components, keep, python_tasks
+from tabsight.llm.common import components, keep, own_names, python_tasks, quoted
 
 #: Classes of one block, and elements of one block at most: what a task holds.
 BLOCK_ROWS, BLOCK_ELEMENTS = 600, 120_000
@@ -317,7 +317,8 @@ def keep_one(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     """One row of ``docs`` for each group of linked texts: that of the smallest doc_id, then of the smallest text hash.
 
     Texts are linked as such: rows that share a doc_id and hold different texts are apart. Texts without words link with
-    nothing; of each doc_id and text one row stays. Rows without doc_id all stay.
+    nothing; of each doc_id and text one row stays. Rows without doc_id all stay. Other columns pass through, whatever
+    their names.
     """
     sets = keep(_sets(docs, n, percent, False), "jaccard-sets").where("doc_id is not null")
     named = sets.where("size > 0")
@@ -326,9 +327,10 @@ def keep_one(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     rows = named.groupBy("sig1", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(linked, "sig1", "left")
     named = rows.groupBy(F.coalesce("component", "sig1")).agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first")).select("first.*")
     alone = sets.where("size = 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    stays = keep(named.unionByName(alone), "jaccard-stays").toDF("_doc_id", "_text_hash", "_n")
-    own = docs.where("doc_id is not null").withColumns({"_doc_id": F.col("doc_id").cast("long"), "_text_hash": _text_hash()})
-    key = ["_doc_id", "_text_hash"]
-    once = own.join(stays.where("_n = 1"), key, "left_semi")
-    repeated = own.join(stays.where("_n > 1"), key, "left_semi").dropDuplicates(key)
-    return once.unionByName(repeated).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ident, hashed, times = own_names(docs, "own_id", "own_hash", "own_times")
+    stays = keep(named.unionByName(alone), "jaccard-stays").toDF(ident, hashed, times)
+    own = docs.where("doc_id is not null").withColumns({ident: F.col("doc_id").cast("long"), hashed: _text_hash()})
+    key = [ident, hashed]
+    once = own.join(stays.where(F.col(times) == 1), key, "left_semi")
+    repeated = own.join(stays.where(F.col(times) > 1), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(repeated).select(*map(quoted, docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsight.llm.common import python_tasks
+from tabsight.llm.common import own_names, python_tasks, quoted
 
 # Word lists of the lexicon voters, public everyday insults by what they aim at.
 LEXICONS = {
@@ -331,7 +332,9 @@ def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: st
     """``docs`` with a column of the classifier's probability for every whole text; null and empty texts get the
     intercept's. The name must not be that of a column there is."""
     python_tasks(docs.sparkSession)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
+    # Tasks get plain names: any sign may stand in the real ones.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +345,9 @@ def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: st
                 found = {f for w in set(words_of(text)) for f in known[w]}
                 z = intercept + sum(weights[f] for f in sorted(found))
                 scores.append(1 / (1 + np.exp(-min(max(z, -50.0), 50.0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*docs.columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -362,8 +365,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     intercept, weights = fit(own, labels)
-    name = max(docs.columns, key=len) + "_score"
-    return score(docs, intercept, weights, name).where(F.col(f"`{name}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = own_names(docs, "toxic_score")
+    return score(docs, intercept, weights, name).where(F.col(name) < threshold).select(*map(quoted, docs.columns))

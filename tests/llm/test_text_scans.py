@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tabsight.llm import license_scan, mixing, secret_scan
+from tabsight.llm import divergence, jaccard, license_scan, mixing, packing, secret_scan, token_counts, toxicity
 
 from .conftest import ODD
 
@@ -151,7 +151,7 @@ def test_templates_are_recognized(documents):
     assert license_scan.scan_licenses(others).where("confirmed").count() == 0
 
 
-CLASH = ["rate", "found", "spans", "clean", "secrets", "_base", "mix_rate", "mix_count", "copy", "a.b", "wei`rd", "base", "n_assign"]
+CLASH = ["rate", "found", "spans", "clean", "secrets", "_base", "mix_rate", "mix_count", "copy", "a.b", "wei`rd", "base", "n_assign", "own_id", "own_hash", "_doc_id", "_text_hash", "size", "sig1", "rep", "score", "n"]
 
 
 def clashing(spark, rows):
@@ -169,6 +169,14 @@ def test_clashing_columns_pass_through(spark):
         rows = out.select(*quote(extra)).distinct().collect()
         assert [tuple(r) for r in rows] == [tuple(CLASH.index(c) for c in extra)]
     assert secret_scan.redact_secrets(docs).columns == docs.columns
+    once = jaccard.keep_one(docs)
+    assert once.columns == docs.columns and once.count() == len({r[0] for r in SECRETS})
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    for found in (jaccard.jaccard_components(docs), token_counts.token_counts(docs), packing.pack_documents(docs)):
+        assert found.count() > 0
+    # One group is its whole language: nothing differs.
+    assert divergence.divergences(docs.withColumn("lang", F.lit("x"))).collect() == []
 
 
 def test_running_results(spark):
