@@ -105,7 +105,8 @@ class Tokens(dict):
             self.rows = array("q")
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
         owner = np.repeat(np.arange(len(texts)), lengths)
-        found = np.array(self.rows, np.int64).reshape(-1, 6)[at] if len(at) else np.zeros((0, 6), np.int64)
+        # The view must be gone before the rows grow again.
+        found = np.frombuffer(self.rows, np.int64).reshape(-1, 6)[at] if len(at) else np.zeros((0, 6), np.int64)
         again = np.zeros(len(at), bool)
         again[1:] = (at[1:] == at[:-1]) & (owner[1:] == owner[:-1])
         read = found[:, [0, 1, 3, 4]]
@@ -184,11 +185,14 @@ def add_contexts(total: np.ndarray, owner: np.ndarray, at: np.ndarray, own: tupl
     for kind, offset in ((0, 0), (1, letters)):
         entries, signs = index_entries(at[:, 2 + kind])
         row = np.where(centre_here & (at[:, kind] >= 0), (at[:, kind] + offset) * DIMENSIONS, nowhere)
+        cells, values = [], []
         for gap in own_gaps:
             same = owner[:-gap] == owner[gap:]
             for centre, near in ((slice(None, -gap), slice(gap, None)), (slice(gap, None), slice(None, -gap))):
-                cells = np.where(same, row[centre], nowhere)[:, None] + entries[near]
-                total += np.bincount(cells.ravel(), signs[near].ravel(), nowhere + DIMENSIONS)[:nowhere]
+                cells.append((np.where(same, row[centre], nowhere)[:, None] + entries[near]).ravel())
+                values.append(signs[near].ravel())
+        if cells:
+            total += np.bincount(np.concatenate(cells), np.concatenate(values), nowhere + DIMENSIONS)[:nowhere]
 
 
 def word_vectors(docs: DataFrame, words: tuple[list[str], list[str]]) -> list[np.ndarray]:
