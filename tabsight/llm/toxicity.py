@@ -13,9 +13,8 @@ posteriors of their own texts and no others.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -66,6 +65,48 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
+class _Corpus:
+    """Texts as arrays of word numbers and the features of each word: some MB of the driver where sets of words and
+    dictionaries of features take hundreds.
+
+    Features are numbered: the words first, then the beginnings, which are runs of the sorted words.
+    """
+
+    def __init__(self, texts: Iterable[list[str]]):
+        place: dict[str, int] = {}
+        self.texts = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32) for words in texts]
+        self.words = list(place)
+        del place
+        self.own = np.full((len(self.words), 1 + len(BEGINNINGS)), -1, np.int32)
+        self.own[:, 0] = np.arange(len(self.words))
+        order = sorted(range(len(self.words)), key=self.words.__getitem__)
+        first: list[tuple[int, int]] = []
+        for column, k in enumerate(BEGINNINGS, 1):
+            last = None
+            for i in order:
+                if len(self.words[i]) > k:
+                    if (beginning := self.words[i][:k]) != last:
+                        last = beginning
+                        first.append((i, k))
+                    self.own[i, column] = len(self.words) + len(first) - 1
+        self.first = np.array(first, np.int32).reshape(-1, 2)
+        self.size = len(self.words) + len(first)
+
+    def name(self, feature: int) -> str:
+        if feature < len(self.words):
+            return self.words[feature]
+        word, k = self.first[feature - len(self.words)]
+        return self.words[word][:k] + "*"
+
+    def words_at(self, text: int) -> list[str]:
+        return [self.words[i] for i in self.texts[text]]
+
+    def features_at(self, text: int) -> np.ndarray:
+        """The features of a text, each once, ascending."""
+        found = np.unique(self.own[np.unique(self.texts[text])])
+        return found[np.searchsorted(found, 0) :]
+
+
 class _Known(dict):
     """A value for each word, made when first asked for; bounded."""
 
@@ -102,7 +143,9 @@ class Votes:
         self.known = _Known(own_bits)
 
     def __call__(self, text: str | None) -> int:
-        words = words_of(text)
+        return self.of(words_of(text))
+
+    def of(self, words: list[str]) -> int:
         found = [self.known[w] for w in words]
         mask = 0
         for bits in set(found):
@@ -120,7 +163,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, sampled: int) -> list[tuple[str, int | None]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, sampled: int) -> Iterator[tuple[str, int | None]]:
     """At most ``rows`` labelled texts of each class outside the held-out fifth, and ``sampled`` other ones with None.
 
     Texts are chosen by their hash, each once. Only ids and hashes are joined and shuffled; the texts of the chosen ids,
@@ -136,28 +179,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, sam
     ids = reduce(DataFrame.unionByName, picked)
     ids = ids.groupBy("h").agg(F.min(F.struct(F.col("y").isNull().alias("free"), "doc_id", "y")).alias("r")).select("h", "r.doc_id", "r.y")
     found = own.join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id", "h"])
-    return [(r["text"], r["y"]) for r in found.select("text", "y", "h").orderBy("h").toLocalIterator()]
+    return ((r["text"], r["y"]) for r in found.select("text", "y", "h").orderBy("h").toLocalIterator())
 
 
-def _counts(sets: list[frozenset[str]], y: np.ndarray) -> dict[str, tuple[float, float]]:
-    """For each feature, the (clean, toxic) texts that have it; those of fewer than three texts are left out."""
-    both = (Counter(), Counter())
-    for words, t in zip(sets, y.tolist(), strict=True):
-        own = {f for w in words for f in features_of(w)}
-        if t < 1:
-            both[0].update(dict.fromkeys(own, 1 - t))
-        if t > 0:
-            both[1].update(dict.fromkeys(own, t))
-    return {f: (both[0][f], both[1][f]) for f in both[0].keys() | both[1].keys() if both[0][f] + both[1][f] >= 3}
+def _counts(texts: _Corpus, rows: Iterable[int], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that at least three of the rows have, and the clean and the toxic texts that have each."""
+    clean, toxic = np.zeros(texts.size), np.zeros(texts.size)
+    for row, t in zip(rows, y.tolist(), strict=True):
+        own = texts.features_at(row)
+        clean[own] += 1 - t
+        toxic[own] += t
+    kept = np.flatnonzero(clean + toxic >= 3)
+    return kept, clean[kept], toxic[kept]
 
 
-def draw_lists(sets: list[frozenset[str]], y: np.ndarray) -> list[list[str]]:
+def draw_lists(texts: _Corpus, rows: list[int], y: np.ndarray) -> list[list[str]]:
     """Words and beginnings that mark the toxic class in training rows, dealt into lists by rank."""
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     worth, times = {}, {}
-    for feature, (clean, toxic) in _counts(sets, y).items():
+    for number, clean, toxic in zip(*_counts(texts, rows, y), strict=True):
         p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
         if toxic >= 5 and p1 > 20 * p0:
+            feature = texts.name(number)
             worth[feature], times[feature] = toxic * np.log(p1 / p0), toxic
     best = sorted(worth, key=lambda f: (-worth[f], f))[: DRAWN_LISTS * DRAWN_WORDS]
     # Only those nearly as frequent as the best: words of a few copied texts are left to no list.
@@ -236,28 +279,32 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit_linear(sets: list[frozenset[str]], y: np.ndarray, trust: np.ndarray | None = None, features: int = FEATURES, rounds: int = 300, l1: float = 3e-4) -> tuple[float, dict[str, float]]:
+def fit_linear(texts: _Corpus, y: np.ndarray, trust: np.ndarray | None = None, features: int = FEATURES, rounds: int = 300, l1: float = 3e-4) -> tuple[float, dict[str, float]]:
     """Logistic regression with an L1 penalty on the presence of words and beginnings (proximal gradient with
     momentum); labels may be soft."""
     n1, n0 = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)
 
-    def telling(clean: float, toxic: float) -> float:
-        share = min(max((clean + toxic) / (n0 + n1), 1e-6), 1 - 1e-6)
-        return abs(toxic / n1 - clean / n0) / np.sqrt(share * (1 - share))
-
-    worth = {f: telling(*c) for f, c in _counts(sets, y).items()}
-    names = sorted(worth, key=lambda f: (-worth[f], f))[:features]
-    place = {f: k for k, f in enumerate(names)}
-    cells = [sorted({place[f] for w in words for f in features_of(w) if f in place}) for words in sets]
-    row = np.repeat(np.arange(len(sets)), [len(c) for c in cells])
-    column = np.fromiter((k for c in cells for k in c), int, len(row))
+    found, clean, toxic = _counts(texts, range(len(y)), y)
+    share = np.clip((clean + toxic) / (n0 + n1), 1e-6, 1 - 1e-6)
+    worth = np.abs(toxic / n1 - clean / n0) / np.sqrt(share * (1 - share))
+    if len(found) > features:  # ties at the end of the list go by name
+        last = np.partition(worth, -features)[-features]
+        found, worth = found[worth >= last], worth[worth >= last]
+    named = sorted((-w, texts.name(f), f) for w, f in zip(worth.tolist(), found.tolist(), strict=True))[:features]
+    names = [name for _, name, _ in named]
+    place = np.full(texts.size, -1, np.int32)
+    place[[f for _, _, f in named]] = np.arange(len(names))
+    cells = [np.sort(at[at >= 0]) for at in (place[texts.features_at(k)] for k in range(len(y)))]
+    row = np.repeat(np.arange(len(y)), [len(c) for c in cells])
+    column = np.concatenate([*cells, np.zeros(0, np.int32)]).astype(int)
+    del cells, place, found, clean, toxic, share, worth, named
     # Both classes weigh the same in the fit.
     trust = np.ones(len(y)) if trust is None else trust
     mass = [max(trust[(y >= 0.5) == toxic].sum(), 1e-9) for toxic in (False, True)]
     weight = 0.5 * trust / np.where(y >= 0.5, mass[1], mass[0])
 
     def forward(w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, w[column], len(sets)) + b
+        return np.bincount(row, w[column], len(y)) + b
 
     # The step is one over the slope's own bound, a quarter of the largest eigenvalue of the weighted cells.
     v, size = np.ones(len(names) + 1), 1.0
@@ -296,17 +343,30 @@ def _vote_counts(docs: DataFrame, drawn: list[list[str]]) -> dict[int, int]:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     """Intercept and weights; with no labelled rows the written lists alone vote."""
     examples = training_rows(docs, labels, "toxic", LABELLED_ROWS, SAMPLED_ROWS)
-    return fit_posteriors([text for text, _ in examples], [y for _, y in examples], lambda drawn: _vote_counts(docs, drawn))
+    return fit_posteriors(examples, lambda drawn: _vote_counts(docs, drawn))
+
+
+def fit_posteriors(examples: Iterable[tuple[str, int | None]], vote_counts: Callable[[list[list[str]]], dict[int, int]]) -> tuple[float, dict[str, float]]:
+    """Intercept and weights from texts, the labels of some (None: no label) and the corpus's counts of vote patterns
+    (by drawn lists). Texts may come one by one; none is kept."""
+    labels: list[int | None] = []
 
+    def words() -> Iterator[list[str]]:
+        for text, label in examples:
+            labels.append(label)
+            yield words_of(text)
+        if all(label is None for label in labels):
+            # The written words stand for toxic texts, an empty text for a clean one, beside the sample.
+            yield from ([w] for w in sorted(frozenset().union(*_LISTS.values())) for _ in range(3))
+            yield from ([] for _ in range(3))
 
-def fit_posteriors(texts: list[str], labels: list[int | None], vote_counts: Callable[[list[list[str]]], dict[int, int]]) -> tuple[float, dict[str, float]]:
-    """Intercept and weights from texts, the labels of some and the corpus's counts of vote patterns (by drawn lists)."""
-    sets = [frozenset(map(sys.intern, words_of(text))) for text in texts]
+    texts = _Corpus(words())
     labelled = [k for k, y in enumerate(labels) if y is not None]
     y = np.array([labels[k] for k in labelled], float)
-    drawn = draw_lists([sets[k] for k in labelled], y)
+    drawn = draw_lists(texts, labelled, y)
     votes = Votes(drawn)
-    seen = [votes(text) for text in texts]
+    seen = [votes.of(texts.words_at(k)) for k in range(len(labels))]
+    del votes
     counts = vote_counts(drawn)
     masks = np.array(sorted({*counts, *seen, 0}), np.int64)
     known = Counter((seen[k], labels[k]) for k in labelled)
@@ -315,17 +375,14 @@ def fit_posteriors(texts: list[str], labels: list[int | None], vote_counts: Call
         own = np.array([m.bit_count() for m in masks.tolist()])
         table = np.stack([own == 0, own > 1], 1) * 10.0
     model = LabelModel(masks, np.array([counts.get(m, 0) for m in masks.tolist()], float), table)
-    if not labelled:  # the written words stand for toxic texts, an empty text for a clean one, beside the sample
-        words = sorted(frozenset().union(*_LISTS.values()))
-        sets += [frozenset([w]) for w in words for _ in range(3)] + [frozenset()] * 3
     voted = dict(zip(masks.tolist(), np.clip(model.posterior(model.bits), 1e-9, 1 - 1e-9), strict=True))
     odds = np.array([np.log(voted[m] / (1 - voted[m])) for m in seen])
     odds[labelled] += np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * y - 1)
-    odds = np.append(odds, [30.0 if words else -30.0 for words in sets[len(odds) :]])
+    odds = np.append(odds, [30.0 if len(words) else -30.0 for words in texts.texts[len(odds) :]])
     p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     trust = SAMPLE_TRUST * np.abs(2 * p - 1)
     trust[labelled] = 1.0
-    return fit_linear(sets, p, trust)
+    return fit_linear(texts, p, trust)
 
 
 def score(docs: DataFrame, intercept: float, weights: dict[str, float], name: str = "score") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -52,6 +53,22 @@ def test_toxicity_held_out(labelled):
     assert judge(toxicity.toxicity(docs, labels), {i: t for i, _, t in truth}, 0.5) >= 0.95
 
 
+def test_toxicity_fit_holds_little_on_the_driver(spark, documents):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=9)) for _ in range(6_000)]
+    docs = documents([(i, " ".join(rng.choices(words, k=300) + INSULTS[: i % 2 * 3])) for i in range(500)]).select("doc_id", "text").cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
+    texts = sum(len(r["text"]) for r in docs.collect())
+    tracemalloc.start()
+    try:
+        _, weights = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert weights["loser"] > 0 and peak < 4 * texts
+
+
 def test_quality_held_out(labelled):
     docs, labels, truth = labelled
     assert judge(quality.quality(docs, labels), {i: q for i, q, _ in truth}, 0.3) >= 0.95
