@@ -60,6 +60,10 @@ def _whole(pattern: str) -> str:
     return rf"^[{_WS}]*+{pattern}[{_WS}]*+$"
 
 
+_LETTERS = r"\p{Lu}\p{Ll}\p{Lt}"
+_CASED = rf"^[{_LETTERS}]"
+_TITLE_PARTS = rf"[{_LETTERS}]+[^{_LETTERS}]?|[^{_LETTERS}]+"
+
 _PLAIN_NUMBER = r"^[\t-\r\x20]*+[+-]?\d+(?:\.\d+)?[\t-\r\x20]*+$"
 _TWO_EXPONENTS = r"(?s)[eE].*[eE]"
 _NOT_NUMBER_CHARS = r"[^0-9eE.\-+()%]+"
@@ -159,13 +163,16 @@ def normalize_text(c: Column, case: str = "lower", strip_spaces: bool = True) ->
     if case == "upper":
         return F.upper(text)
     if case == "title":
-        chars = F.split(text, "")
+        # Runs of letters with the sign after them, whose case follows theirs, and runs of other signs. A part refers to
+        # nothing but itself: what a lambda names of the row is computed for each part again.
+        parts = F.regexp_extract_all(text, F.lit(_TITLE_PARTS), F.lit(0))
 
-        def titled(ch: Column, i: Column) -> Column:
-            after_letter = (i > 0) & F.get(chars, i - 1).rlike(r"[\p{Lu}\p{Ll}\p{Lt}]")
-            return F.when(after_letter, F.lower(ch)).otherwise(F.upper(ch))
+        def titled(part: Column) -> Column:
+            # A capital sigma is lowered as it is alone, wherever it stands.
+            rest = F.lower(F.replace(F.substr(part, F.lit(2)), F.lit("\u03a3"), F.lit("\u03c3")))
+            return F.when(part.rlike(_CASED), F.concat(F.upper(F.left(part, F.lit(1))), rest)).otherwise(F.upper(part))
 
-        return F.array_join(F.transform(chars, titled), "")
+        return F.array_join(F.transform(parts, titled), "")
     return text
 
 

@@ -92,6 +92,14 @@ def test_normalize_text(spark, case):
     check(spark, expected, lambda c: C.normalize_text(c, case))
 
 
+def test_title_reads_the_cell_once(spark):
+    texts = ["o'neil-smith 4th\tx2Y", "\U0001f600a\U00010428B\U0001f600", "ⓐⓐ aⓐB", "", " \n "]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(C.normalize_text(F.col("s"), "title").alias("t"))
+    assert [r["t"] for r in df.collect()] == ["O'Neil-Smith 4Th X2Y", "\U0001f600A\U00010428b\U0001f600", "ⒶⒶ AⓐB", "", ""]
+    # A lambda that named the whole cell would collapse it again for each of its characters.
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
+
+
 def test_typed_columns(spark):
     df = spark.createDataFrame(
         [(1, float("nan"), True, datetime(2026, 1, 1)), (0, 1.0, None, None)], "i int, d double, b boolean, t timestamp"
