@@ -30,6 +30,9 @@ from tabsight.llm.toxicity import held_out
 LETTER_WORDS, SHAPE_WORDS, DIMENSIONS, ENTRIES, REACH = 12_288, 4_096, 64, 4, 2
 #: Longer tokens are words like others, but the table of frequent words does not name them.
 LONGEST_WORD = 64
+#: Bits of a word's hash: the places and the signs of its index vector.
+HASH_BITS = 7 * ENTRIES
+HASH_MASK = (1 << HASH_BITS) - 1
 #: Different (kind, word) that a counting task holds, and tokens that a worker knows, before they start anew.
 HELD_WORDS, HELD_TOKENS = 400_000, 700_000
 #: Characters of texts, and tokens, whose arrays are made at once.
@@ -44,6 +47,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _REPEATS = re.compile(r"(.)\1+")
 _PLAIN = re.compile(r"([^\W\d_]+)([^\w\s]?)")
+#: Signs that often follow a word.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 def _kind(run: str) -> str:
@@ -53,7 +58,12 @@ def _kind(run: str) -> str:
 def words_of_token(token: str) -> tuple[str, str]:
     """The letters of a token in lower case, and its shape: case, digits and signs, with runs cut to two."""
     if token.isalpha() and len(token) < LONGEST_WORD:
-        return token.lower(), _kind(token)
+        return token.lower(), "a" if token.islower() else _kind(token)
+    letters = token.rstrip(_SIGNS)
+    # This capital alone is lowered to two signs, the second of them no letter.
+    if letters.isalpha() and "\u0130" not in letters:
+        signs = token[len(letters) :]
+        return letters.lower(), _kind(letters) + (signs if len(signs) < 3 else _REPEATS.sub(r"\1\1", signs))
     plain = _PLAIN.fullmatch(token)
     if plain:
         return plain[1].lower(), _kind(plain[1]) + plain[2]
@@ -62,8 +72,8 @@ def words_of_token(token: str) -> tuple[str, str]:
 
 
 def _hash(word: str) -> int:
-    """31 bits that name the places and signs of a word's index vector."""
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
+    """``HASH_BITS`` bits that name the places and signs of a word's index vector."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & HASH_MASK
 
 
 def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,43 +85,52 @@ def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens(dict):
-    """Tokens to numbers of ``rows``, each of six: the numbers of the token's letters, shape and repeated shape among the frequent words
-    (-1 for rarer ones), then their hashes."""
+    """Tokens to numbers of ``rows``, each the word of the token's letters and the number of its shape; ``shape_words`` holds two words
+    a shape, of it and of its repetition.
+
+    A word is one whole number: its number among the frequent words and 1 (0 for rarer ones), then its hash.
+    """
 
     def __init__(self, words: tuple[list[str], list[str]]):
         super().__init__()
-        self.known = [{w: k for k, w in enumerate(own)} for own in words]
-        self.shapes: dict[str, tuple[int, int, int, int]] = {}
-        self.rows = array("q")
+        self.known = [{w: k + 1 for k, w in enumerate(own)} for own in words]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.shapes: dict[str, int] = {}
+        self.rows, self.shape_words = array("q"), array("q")
+
+    def word(self, kind: int, word: str) -> int:
+        """A frequent word or any other as a whole number."""
+        return self.known[kind].get(word, 0) << HASH_BITS | _hash(word)
 
     def __missing__(self, token: str) -> int:
         letters, shape = words_of_token(token)
-        numbers = self.shapes.get(shape)
-        if numbers is None:
-            again = f"{shape} again"
-            numbers = (self.known[1].get(shape, -1), self.known[1].get(again, -1), _hash(shape), _hash(again))
-            if len(self.shapes) < HELD_TOKENS:
-                self.shapes[shape] = numbers
-        self.rows.extend((self.known[0].get(letters, -1), numbers[0], numbers[1], _hash(letters), numbers[2], numbers[3]))
+        number = self.shapes.get(shape)
+        if number is None:
+            number = self.shapes[shape] = len(self.shapes)
+            self.shape_words.extend((self.word(1, shape), self.word(1, f"{shape} again")))
+        self.rows.append(self.word(0, letters))
+        self.rows.append(number)
         self[token] = row = len(self)
         return row
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The text and (numbers of letters and shape, then their hashes) of every token of some texts."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The text, and the words of letters and shape, of every token of some texts."""
         split = [text.split() if text else [] for text in texts]
         lengths = [len(own) for own in split]
         if len(self) > HELD_TOKENS:
-            self.clear()
-            self.rows = array("q")
+            self._forget()
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
         owner = np.repeat(np.arange(len(texts)), lengths)
-        # The view must be gone before the rows grow again.
-        found = np.frombuffer(self.rows, np.int64).reshape(-1, 6)[at] if len(at) else np.zeros((0, 6), np.int64)
+        if not len(at):
+            return owner, [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        # The views must be gone before the rows grow again.
+        found = np.frombuffer(self.rows, np.int64).reshape(-1, 2)[at]
         again = np.zeros(len(at), bool)
         again[1:] = (at[1:] == at[:-1]) & (owner[1:] == owner[:-1])
-        read = found[:, [0, 1, 3, 4]]
-        read[again] = found[again][:, [0, 2, 3, 5]]
-        return owner, read
+        return owner, [found[:, 0].copy(), np.frombuffer(self.shape_words, np.int64)[2 * found[:, 1] + again]]
 
 
 _HELD: dict[int, Tokens] = {}
@@ -173,26 +192,29 @@ def frequent_words(docs: DataFrame) -> tuple[list[str], list[str]]:
     return letters, [*shapes, *(f"{s} again" for s in shapes)]
 
 
-def add_contexts(total: np.ndarray, owner: np.ndarray, at: np.ndarray, own: tuple[int, int], first: int, letters: int) -> None:
-    """Add the index vectors of the neighbours of the tokens ``own`` (places counted from ``first``) to their words."""
-    if len(at) <= REACH:
-        own_gaps = range(1, len(at))
-    else:
-        own_gaps = range(1, REACH + 1)
-    places = np.arange(first, first + len(at))
-    centre_here = (places >= own[0]) & (places < own[1])
-    nowhere = len(total)  # cells of pairs that do not count
+def add_contexts(total: np.ndarray, owner: np.ndarray, read: list[np.ndarray], own: tuple[int, int], first: int, letters: int) -> None:
+    """Add the index vectors of the neighbours of the tokens ``own`` (places counted from ``first``) to their words.
+
+    Equal pairs of a word and a neighbour are counted first and added once, times their number.
+    """
+    places = np.arange(first, first + len(owner))
+    here = (places >= own[0]) & (places < own[1])
+    gaps = [(gap, owner[:-gap] == owner[gap:]) for gap in range(1, min(REACH, len(owner) - 1) + 1)]
     for kind, offset in ((0, 0), (1, letters)):
-        entries, signs = index_entries(at[:, 2 + kind])
-        row = np.where(centre_here & (at[:, kind] >= 0), (at[:, kind] + offset) * DIMENSIONS, nowhere)
-        cells, values = [], []
-        for gap in own_gaps:
-            same = owner[:-gap] == owner[gap:]
-            for centre, near in ((slice(None, -gap), slice(gap, None)), (slice(gap, None), slice(None, -gap))):
-                cells.append((np.where(same, row[centre], nowhere)[:, None] + entries[near]).ravel())
-                values.append(signs[near].ravel())
-        if cells:
-            total += np.bincount(np.concatenate(cells), np.concatenate(values), nowhere + DIMENSIONS)[:nowhere]
+        words = read[kind]
+        centres, near = words >> HASH_BITS << HASH_BITS, words & HASH_MASK
+        counts = here & (centres > 0)
+        pairs = [np.zeros(0, np.int64)]
+        for gap, same in gaps:
+            for centre, other in ((slice(None, -gap), slice(gap, None)), (slice(gap, None), slice(None, -gap))):
+                pairs.append((centres[centre] | near[other])[same & counts[centre]])
+        found, times = np.unique(np.concatenate(pairs), return_counts=True)
+        if len(found):
+            entries, signs = index_entries(found & HASH_MASK)
+            cells = (((found >> HASH_BITS) - 1 + offset) * DIMENSIONS)[:, None] + entries
+            low = cells[0, 0] // DIMENSIONS * DIMENSIONS  # pairs are in the order of their centres
+            added = np.bincount((cells - low).ravel(), (times[:, None] * signs).ravel())
+            total[low : low + len(added)] += added
 
 
 def word_vectors(docs: DataFrame, words: tuple[list[str], list[str]]) -> list[np.ndarray]:
@@ -211,10 +233,10 @@ def word_vectors(docs: DataFrame, words: tuple[list[str], list[str]]) -> list[np
         tokens, total = tokens_of(words), np.zeros(cells)  # whole numbers, exact in doubles
         for batch in batches:
             for texts in _some_texts(batch.column(0).to_pylist()):
-                owner, at = tokens.read(texts)
-                for begin in range(0, len(at), RUN_TOKENS):
+                owner, read = tokens.read(texts)
+                for begin in range(0, len(owner), RUN_TOKENS):
                     here = slice(max(0, begin - REACH), begin + RUN_TOKENS + REACH)
-                    add_contexts(total, owner[here], at[here], (begin, begin + RUN_TOKENS), here.start, sizes[0])
+                    add_contexts(total, owner[here], [own[here] for own in read], (begin, begin + RUN_TOKENS), here.start, sizes[0])
         slices = [total[k * step : (k + 1) * step].astype(np.int64).tobytes() for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["slice", "part"])
 
@@ -239,26 +261,28 @@ def pooled(texts: list[str | None], vectors: list[np.ndarray], tokens: Tokens) -
     scale = 1 / np.maximum(lengths, 1)
     parts = []
     for kind in (0, 1):
-        known = read[:, kind] >= 0
-        size = max(len(vectors[kind]), 1)
-        pairs, counts = np.unique(owner[known] * size + read[known, kind], return_counts=True)
-        of_text, word = np.divmod(pairs, size)
-        share = (counts * scale[of_text]).astype(np.float32)[:, None]
+        # Equal words of a text are one pair; a text's frequent words are in the order of their numbers, after the rarer ones.
+        bits = HASH_BITS + len(vectors[kind]).bit_length()
+        pairs, counts = np.unique(owner << bits | read[kind], return_counts=True)
+        of_pair, word = pairs >> bits, (pairs >> HASH_BITS & (1 << bits - HASH_BITS) - 1) - 1
+        known = word >= 0
+        of_text = of_pair[known]
+        share = (counts[known] * scale[of_text]).astype(np.float32)[:, None]
         sums = np.zeros((2, len(texts), DIMENSIONS), np.float32)
-        if len(pairs):
+        if len(of_text):
             begins = np.flatnonzero(np.append(True, of_text[1:] != of_text[:-1]))
-            own = vectors[kind][word]
+            own = vectors[kind][word[known]]
             sums[0, of_text[begins]] = np.add.reduceat(share * own, begins)
             if kind:
                 sums[1, of_text[begins]] = np.add.reduceat(share * own * own, begins)
         index = np.zeros(len(texts) * DIMENSIONS)
-        for begin in range(0, len(read), RUN_TOKENS):
+        for begin in range(0, len(pairs), RUN_TOKENS):
             here = slice(begin, begin + RUN_TOKENS)
-            entries, signs = index_entries(read[here, 2 + kind])
-            index += np.bincount((owner[here, None] * DIMENSIONS + entries).ravel(), signs.ravel(), len(index))
+            entries, signs = index_entries(pairs[here] & HASH_MASK)
+            index += np.bincount((of_pair[here, None] * DIMENSIONS + entries).ravel(), (counts[here, None] * signs).ravel(), len(index))
         parts += [sums[0], index.reshape(-1, DIMENSIONS) * scale[:, None]]
     # How far the shapes spread around their mean, and the length.
-    seen = np.bincount(owner[known], minlength=len(texts))[:, None] * scale[:, None]
+    seen = np.bincount(of_text, counts[known], len(texts))[:, None] * scale[:, None]
     spread = sums[1] - 2 * sums[0] ** 2 + sums[0] ** 2 * seen
     parts += [np.sqrt(np.maximum(spread, 0)), np.log1p(lengths)[:, None] / 10]
     return np.concatenate(parts, axis=1).astype(np.float32)

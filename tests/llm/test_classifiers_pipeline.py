@@ -74,6 +74,46 @@ def test_quality_held_out(labelled):
     assert judge(quality.quality(docs, labels), {i: q for i, q, _ in truth}, 0.3) >= 0.95
 
 
+def test_quality_prices_equal_words_once(monkeypatch):
+    """As many index vectors are made as there are different words and pairs, and sums are those of every single token."""
+    texts = ["The cat sat. the CAT " * 3_000, None, "x x", "dog!!", "the, 12 34"]
+    words = (["the", "cat", "x"], ["a", "B", "a again"])
+    tokens, total = quality.Tokens(words), np.zeros(6 * quality.DIMENSIONS)
+    owner, read = tokens.read(texts)
+    asked, entries_of = [], quality.index_entries
+    monkeypatch.setattr(quality, "index_entries", lambda hashes: asked.append(len(hashes)) or entries_of(hashes))
+    quality.add_contexts(total, owner, read, (0, len(owner)), 0, 3)
+    pooled = quality.pooled(texts, [np.zeros((3, quality.DIMENSIONS), np.float32)] * 2, tokens)
+    assert sum(asked) < 200
+
+    def vector(word):
+        made = np.zeros(quality.DIMENSIONS)
+        places, signs = entries_of(np.array([zlib.crc32(word.encode()) & 0x7FFFFFFF]))
+        np.add.at(made, places[0], signs[0])
+        return made
+
+    plain = np.zeros((6, quality.DIMENSIONS))
+    for number, text in enumerate(texts):
+        split = (text or "").split()
+        pairs = [quality.words_of_token(t) for t in split]
+        shapes = [s + " again" if i and split[i] == split[i - 1] else s for i, (_, s) in enumerate(pairs)]
+        for kind, own in enumerate(([w for w, _ in pairs], shapes)):
+            vectors = {w: vector(w) for w in own}
+            for i, word in enumerate(own):
+                if word in words[kind]:
+                    near = [j for j in range(max(0, i - 2), min(len(own), i + 3)) if j != i]
+                    plain[3 * kind + words[kind].index(word)] += sum((vectors[own[j]] for j in near), np.zeros(quality.DIMENSIONS))
+            mean = sum((vectors[w] for w in own), np.zeros(quality.DIMENSIONS)) / max(len(own), 1)
+            begin = (2 * kind + 1) * quality.DIMENSIONS
+            assert np.allclose(pooled[number, begin : begin + quality.DIMENSIONS], mean, atol=1e-6)
+    assert (total.reshape(6, -1) == plain).all()
+
+
+@pytest.mark.parametrize("token, words", [("The", ("the", "B")), ("RESTING!!!", ("resting", "A!!")), ("\u0130X!!", ("ix", "A!!")), ("\u0130X!", ("i\u0307x", "A!")), ("a1b22", ("ab", "a9a9")), ("--", ("", "--"))])
+def test_words_of_token(token, words):
+    assert quality.words_of_token(token) == words
+
+
 def test_without_rows_or_labels(spark, documents, none):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(none, no_labels).count() == 0 and quality.quality(none, no_labels).count() == 0
