@@ -62,17 +62,21 @@ class _Search:
     group: tuple
     low: float
     high: float
-    count: int
+    rows: int
     below: int
     ranks: tuple[int, ...]
 
 
-def group_bounds(values: DataFrame, groups: list[str], value: str) -> list:
-    """(group..., n, low, high) rows; one per group."""
+def _counted(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def group_bounds(values: DataFrame, groups: list[str], value: str, weight: str | None = None) -> list:
+    """(group..., n, rows, low, high) rows; one per group."""
     return (
         values.filter(F.col(value).isNotNull())
         .groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .agg(_counted(weight).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(value).alias("low"), F.max(value).alias("high"))
         .collect()
     )
 
@@ -85,14 +89,16 @@ def order_statistics(
     bounds: Iterable | None = None,
     small_group: int = SMALL_GROUP,
     bins: int = BINS,
+    weight: str | None = None,
 ) -> dict[tuple, dict[str, float]]:
     """``{group: {name: value}}`` for a number of groups bounded by columns.
 
-    ``bounds`` may carry the (group..., n, low, high) rows of an earlier pass.
+    ``bounds`` may carry the (group..., n, low, high) rows of an earlier pass. A row counts as often as the whole number
+    ``weight`` says; ``n`` is then the sum of the weights, and the rows need ``rows``, how many there are.
     """
-    values = values.select(*groups, value).filter(F.col(value).isNotNull())
+    values = values.select(*groups, value, *([weight] if weight else [])).filter(F.col(value).isNotNull())
     if bounds is None:
-        bounds = group_bounds(values, groups, value)
+        bounds = group_bounds(values, groups, value, weight)
     found: dict[tuple, dict[int, float]] = {}
     sizes: dict[tuple, int] = {}
     searches: list[_Search] = []
@@ -103,7 +109,7 @@ def order_statistics(
         sizes[group] = row["n"]
         found[group] = {}
         ranks = sorted({r for pick in wanted.values() for r in pick(row["n"])[:2]})
-        searches.append(_Search(group, row["low"], row["high"], row["n"], 0, tuple(ranks)))
+        searches.append(_Search(group, row["low"], row["high"], row["rows" if weight else "n"], 0, tuple(ranks)))
 
     first_pass = True
     while searches:
@@ -112,13 +118,13 @@ def order_statistics(
         for s in searches:
             if s.low == s.high:
                 found[s.group].update({r: s.low for r in s.ranks})
-            elif s.count <= small_group:
+            elif s.rows <= small_group:
                 small.append(s)
             else:
                 large.append(s)
         if small:
-            _finish(values, groups, value, small, found)
-        searches = _narrow(values, groups, value, large, bins, first_pass) if large else []
+            _finish(values, groups, value, small, found, weight)
+        searches = _narrow(values, groups, value, large, bins, first_pass, weight) if large else []
         first_pass = False
 
     result: dict[tuple, dict[str, float]] = {}
@@ -142,33 +148,40 @@ def _search_table(values: DataFrame, groups: list[str], value: str, searches: li
     return local_frame(values.sparkSession, rows, schema)
 
 
-def _candidates(values: DataFrame, groups: list[str], value: str, table: DataFrame) -> DataFrame:
+def _candidates(values: DataFrame, groups: list[str], value: str, table: DataFrame, weight: str | None) -> DataFrame:
     """The values inside the intervals of their group."""
     match = (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high"))
     for i, g in enumerate(groups):
         match = match & (F.col(g) == F.col(f"_g{i}"))
     extra = [c for c in table.columns if not c.startswith("_g")]
+    if weight:
+        extra.append(F.col(weight).alias("_w"))
     # A handful of intervals per group; groups are columns or top values.
     return values.join(F.broadcast(table), match).select(F.col(value).alias("_v"), *extra)
 
 
-def _finish(values, groups, value, searches: list[_Search], found) -> None:
-    """Sort each proven-small interval in one array and read the ranks."""
+def _finish(values, groups, value, searches: list[_Search], found, weight: str | None) -> None:
+    """Sort each proven-small interval in one array and read the ranks; of weighted rows by their running sum."""
     ranks = local_frame(values.sparkSession, [(i, r, r - s.below + 1) for i, s in enumerate(searches) for r in s.ranks],
-        "_rid int, _rank long, _at int",
+        "_rid int, _rank long, _at long",
     )
     table = _search_table(values, groups, value, searches)
-    arrays = _candidates(values, groups, value, table).groupBy("_id").agg(
-        F.sort_array(F.collect_list("_v")).alias("_sorted")
-    )
-    picked = arrays.join(F.broadcast(ranks), F.col("_id") == F.col("_rid")).select(
-        "_id", "_rank", F.element_at("_sorted", F.col("_at")).alias("_value")
-    )
+    candidates = _candidates(values, groups, value, table, weight)
+    if weight:
+        up_to = W.partitionBy("_id").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        ends = candidates.groupBy("_id", "_v").agg(F.sum("_w").alias("_w")).withColumn("_end", F.sum("_w").over(up_to))
+        hit = (F.col("_id") == F.col("_rid")) & (F.col("_at") <= F.col("_end")) & (F.col("_at") > F.col("_end") - F.col("_w"))
+        picked = ends.join(F.broadcast(ranks), hit).select("_id", "_rank", F.col("_v").alias("_value"))
+    else:
+        arrays = candidates.groupBy("_id").agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+        picked = arrays.join(F.broadcast(ranks), F.col("_id") == F.col("_rid")).select(
+            "_id", "_rank", F.element_at("_sorted", F.col("_at").cast("int")).alias("_value")
+        )
     for row in picked.collect():
         found[searches[row["_id"]].group][row["_rank"]] = row["_value"]
 
 
-def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pass: bool) -> list[_Search]:
+def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pass: bool, weight: str | None) -> list[_Search]:
     """One counting pass over the bins of every interval."""
 
     def place(c: Column) -> Column:
@@ -188,9 +201,12 @@ def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pas
     table = _search_table(values, groups, value, searches)
     table = table.withColumn("_from", place(F.col("_low"))).withColumn("_span", place(F.col("_high")) - F.col("_from"))
     counted = (
-        _candidates(values, groups, value, table)
+        _candidates(values, groups, value, table, weight)
         .groupBy("_id", bin_.cast("int").alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .agg(
+            _counted("_w" if weight else None).alias("_n"), F.count(F.lit(1)).alias("_rows"),
+            F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        )
     )
     before = W.partitionBy("_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     running = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -209,7 +225,7 @@ def _narrow(values, groups, value, searches: list[_Search], bins: int, first_pas
         key = (row["_id"], row["_bin"])
         known = narrowed.get(key)
         ranks_here = (known.ranks if known else ()) + (row["_rank"],)
-        narrowed[key] = _Search(s.group, row["_min"], row["_max"], row["_n"], s.below + row["_before"], ranks_here)
+        narrowed[key] = _Search(s.group, row["_min"], row["_max"], row["_rows"], s.below + row["_before"], ranks_here)
     return list(narrowed.values())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tabsight.config import BOOLEAN, CATEGORICAL, DATE, FIRST_ROW, NUMERIC, ROW, TEXT, fields
 from tabsight.functions import cells as C
-from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, column_order_statistics
+from tabsight.operators.order_stats import MEDIAN, SMALL_GROUP, order_statistics
 from tabsight.sources.local import local_frame
 from tabsight.sources.staging import data_columns, ensure_rows, first_rows
 
@@ -33,12 +34,6 @@ def head_rows(df: DataFrame, rows: int) -> DataFrame:
     return df.filter(F.col(ROW) < rows + FIRST_ROW) if rows > 0 else df
 
 
-_FACTS = (
-    "m", "missing_count", "n_bool", "n_num", "n_date", "avg_length",
-    "num_min", "num_max", "num_mean", "num_stddev", "ts_min", "ts_max",
-)
-
-
 def _by_kind(df: DataFrame, columns: list[str]) -> dict[str, list[int]]:
     groups: dict[str, list[int]] = {}
     for i, kind in enumerate(C.kinds(df, columns).values()):
@@ -57,91 +52,78 @@ def _position() -> Column:
     return F.substring("slot", 3, 6).cast("int").alias("position")
 
 
-def _measures(i="") -> list[str]:
-    """SQL of every fact over the columns present, missing, num, ts, flag, length (with suffix ``i``)."""
-    measures = [
-        f"count_if(present{i})", f"count_if(NOT present{i})", f"count(flag{i})", f"count(num{i})", f"count(ts{i})",
-        f"avg(length{i})", f"min(num{i})", f"max(num{i})", f"avg(num{i})", f"stddev_samp(num{i})",
-        f"min(ts{i})", f"max(ts{i})",
-    ]
-    return [f"{sql} AS {name}{i}" for sql, name in zip(measures, _FACTS)]
+def _count_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    return cells.groupBy("slot", *keys).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
 
 
-def _facts(df: DataFrame, columns: list[str], strict_numbers: bool) -> list[DataFrame]:
-    """Counts and ranges per column, in a few frames of one row per column.
+#: What a cell reads as: whether it holds something, its number, time and truth value, the length and the counting key of a text.
+_READINGS = ("present", "num", "ts", "flag", "length", "value")
 
-    Typed columns never meet the text parser and aggregate side by side; text
-    columns are unpivoted first so that the parser is compiled once, however
-    many there are.
-    """
-    groups = _by_kind(df, columns)
-    text = groups.pop("string", [])
-    typed = [(i, kind) for kind, slots in groups.items() for i in slots]
-    first, last = (C.iso_text(F.col(c)).alias(n) for c, n in (("ts_min", "date_min"), ("ts_max", "date_max")))
-    shown = ["*", first, last]
-    no_time, parts = F.lit(None).cast("timestamp"), []
-    for start in range(0, len(typed), 32):
-        block = typed[start : start + 32]
-        prepared, measures = [], []
-        for i, kind in block:
-            c = C.col(columns[i])
-            prepared += [
-                c.isNotNull().alias(f"present{i}"),
-                C.parse_number(c, kind).alias(f"num{i}"),
-                (c.cast("timestamp") if kind == "temporal" else no_time).alias(f"ts{i}"),
-                C.parse_boolean(c, kind).alias(f"flag{i}"),
-                # The text of a typed value has at most 40 characters, all the rule asks of it.
-                F.lit(0).alias(f"length{i}"),
-            ]
-            measures += _measures(i)
-        records = ", ".join(
-            f"struct({i} AS position, {', '.join(f'{name}{i} AS {name}' for name in _FACTS)})" for i, _ in block
-        )
-        row = df.select(*prepared).selectExpr(*measures)
-        parts.append(row.selectExpr(f"inline(array({records}))").select(*shown))
-    if text:
-        raw = F.col("raw")
-        missing = C.is_missing(raw)
-        cells = _unpivot(df, columns, text, lambda c: c.cast("string")).select(
-            "slot",
-            (~missing).alias("present"),
-            C.parse_number(raw, strict=strict_numbers).alias("num"),
-            C.parse_date(raw).alias("ts"),
-            C.parse_boolean(raw).alias("flag"),
-            F.when(~missing, F.length(C.strip(raw))).alias("length"),
-        )
-        facts = cells.groupBy("slot").agg(*[F.expr(m) for m in _measures()])
-        parts.append(facts.select(_position(), *_FACTS).select(*shown))
-    return parts
-
-
-def value_counts_by_column(df: DataFrame, columns: list[str], digest_long: bool) -> DataFrame:
-    """(position, value, n, first) per distinct folded non-missing value.
-
-    Columns are counted in their own type and turned to text afterwards.
-    ``digest_long`` ships long texts as a SHA-256 digest; its 65 characters
-    cannot meet an undigested key, which has at most 64 bytes.
+
+def _readings(kind: str, strict_numbers: bool) -> list[Column]:
+    """``_READINGS`` of ``raw``, a cell as it is counted. Only texts have a key; other cells are counted by themselves."""
+    raw = F.col("raw")
+    if kind == "string":
+        present = ~C.is_missing(raw)
+        folded = C.fold_value(raw)
+        # A digest has 65 characters and cannot meet an undigested key, which has at most 64 bytes.
+        key = F.when(F.octet_length(folded) > _SHORT_TEXT, F.concat(F.lit("#"), F.sha2(folded, 256))).otherwise(folded)
+        found = [
+            present, C.parse_number(raw, strict=strict_numbers), C.parse_date(raw), C.parse_boolean(raw),
+            F.when(present, F.length(C.strip(raw))), F.when(present, key),
+        ]
+    else:
+        # The text of a typed value has at most 40 characters, all the rule asks of it.
+        present = raw.isNotNull()
+        number = raw.cast("double") if kind == "decimal" else C.parse_number(raw, kind)
+        time = raw if kind == "temporal" else F.lit(None).cast("timestamp")
+        flag = {"decimal": C.parse_boolean(raw), "boolean": raw == "True"}.get(kind, C.parse_boolean(raw, kind))
+        found = [present, number, time, flag, F.when(present, F.lit(0)), F.lit(None).cast("string")]
+    return [c.alias(name) for name, c in zip(_READINGS, found, strict=True)]
+
+
+def cell_counts(df: DataFrame, columns: list[str], strict_numbers: bool = False) -> DataFrame:
+    """(position, present, num, ts, flag, length, value, n, first) per distinct cell of every column.
+
+    Cells are counted as they are, typed columns in their own type, and read afterwards, once for each distinct one. Long
+    texts are read first, so that a digest is shuffled instead of the text.
     """
     shapes = {
+        "string": lambda c: c.cast("string"),
         "integral": lambda c: c.cast("long"),
         "floating": lambda c: c.cast("double"),
         "temporal": lambda c: c.cast("timestamp"),
     }
     parts = []
     for kind, slots in _by_kind(df, columns).items():
+        as_text = lambda c, kind=kind: C.text_of(c, kind)
+        cells = _unpivot(df, columns, slots, shapes.get(kind, as_text))
+        readings = _readings(kind, strict_numbers)
         if kind == "string":
-            cells = _unpivot(df, columns, slots, lambda c: c.cast("string"))
-            cells = cells.filter(~C.is_missing(F.col("raw"))).withColumn("raw", C.fold_value(F.col("raw")))
-            if digest_long:
-                raw = F.col("raw")
-                key = F.when(F.octet_length(raw) > _SHORT_TEXT, F.concat(F.lit("#"), F.sha2(raw, 256))).otherwise(raw)
-                cells = cells.withColumn("raw", key)
-        else:
-            as_text = lambda c, kind=kind: C.text_of(c, kind)
-            cells = _unpivot(df, columns, slots, shapes.get(kind, as_text)).filter(F.col("raw").isNotNull())
-        counts = cells.groupBy("slot", "raw").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-        parts.append(counts.select(_position(), F.lower(F.col("raw").cast("string")).alias("value"), "n", "first"))
-    return reduce(DataFrame.unionByName, parts)
+            long = F.octet_length("raw") > _SHORT_TEXT
+            parts.append(_count_cells(cells.filter(long).select(ROW, "slot", *readings), *_READINGS))
+            cells = cells.filter(F.col("raw").isNull() | ~long)
+        parts.append(_count_cells(cells, "raw").select("slot", *readings, "n", "first"))
+    return reduce(DataFrame.unionByName, [part.select(_position(), *_READINGS, "n", "first") for part in parts])
+
+
+def _facts(counts: DataFrame) -> dict[int, dict]:
+    """Counts and ranges per column position, from the counted cells."""
+    n = F.col("n")
+
+    def cells(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    present, number = F.col("present"), F.col("num").isNotNull()
+    facts = counts.groupBy("position").agg(
+        cells(present).alias("m"), cells(~present).alias("missing_count"),
+        cells(F.col("flag").isNotNull()).alias("n_bool"), cells(number).alias("n_num"), cells(F.col("ts").isNotNull()).alias("n_date"),
+        F.try_divide(F.sum(F.col("length") * n), cells(present)).alias("avg_length"),
+        F.min("num").alias("num_min"), F.max("num").alias("num_max"), F.count("num").alias("num_rows"),
+        F.try_divide(F.sum(F.col("num") * n), cells(number)).alias("num_mean"),
+        C.iso_text(F.min("ts")).alias("date_min"), C.iso_text(F.max("ts")).alias("date_max"),
+    )
+    return {r["position"]: r.asDict() for r in facts.collect()}
 
 
 def top_ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -150,22 +132,24 @@ def top_ranked(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _distinct_and_top(df: DataFrame, columns: list[str]) -> dict[int, dict]:
-    """Distinct counts and the five top values per column position.
+def _distinct_and_top(counts: DataFrame, has_texts: bool) -> dict[int, dict]:
+    """Distinct counts and the five top values per column position."""
 
-    The counted values are kept while two small aggregates read them, so the
-    table is scanned and shuffled once.
-    """
-    counts = value_counts_by_column(df, columns, digest_long=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found = {
-            r["position"]: {"distinct_count": r["n"], "top": []}
-            for r in counts.groupBy("position").agg(F.count("value").alias("n")).collect()
-        }
-        for r in top_ranked(counts, ["position"], _SAMPLES).orderBy("position", "rank").collect():
+    def read(values: DataFrame) -> dict[int, dict]:
+        found = {r["position"]: {"distinct_count": r["n"], "top": []} for r in values.groupBy("position").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for r in top_ranked(values, ["position"], _SAMPLES).orderBy("position", "rank").collect():
             found[r["position"]]["top"].append(r)
-    finally:
-        counts.unpersist()
+        return found
+
+    found = read(counts.filter(F.col("present") & F.col("value").isNull()).select("position", "n", "first"))
+    if has_texts:
+        # Texts that differ in case and spaces are one value. Read apart: in a union the counted cells would be counted anew.
+        texts = counts.filter(F.col("value").isNotNull()).groupBy("position", "value")
+        texts = texts.agg(F.sum("n").alias("n"), F.min("first").alias("first")).drop("value").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found |= read(texts)
+        finally:
+            texts.unpersist()
     return found
 
 
@@ -237,49 +221,68 @@ def profile(
     columns = columns or data_columns(head)
     # The first rows nearly always hold five values of every column already.
     near = head_rows(head, min(_LIKELY_ROWS, sample_rows) if sample_rows > 0 else _LIKELY_ROWS)
+    counts = cell_counts(head, columns, strict_numbers)
+    # Read several times: fewer parts than the shuffles of all kinds of columns have, and a few for each core.
+    spark = df.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 4 * spark.sparkContext.defaultParallelism))
+    counts = counts.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Independent jobs with tiny results: run side by side, they fill each other's idle cores.
+        with ThreadPoolExecutor(2) as pool:
+            found, samples = pool.map(lambda job: job(), [lambda: _facts(counts), lambda: _samples(near, columns)])
+        values = _distinct_and_top(counts, "string" in _by_kind(head, columns))
+        for i, r in found.items():
+            r |= values.get(i, {"distinct_count": 0, "top": []})
+            r["samples"] = samples.get(i, [])
+        names = [name for name, _ in fields(_RULE_SCHEMA)]
+        facts = local_frame(df.sparkSession, [(i, *(r[n] for n in names[1:])) for i, r in found.items()], _RULE_SCHEMA)
+        for r in with_types(facts).collect():
+            found[r["position"]] |= {n: r[n] for n in ("detected_type", "confidence", "invalid_count")}
+        numeric = {i: r for i, r in found.items() if r["detected_type"] == NUMERIC}
+        medians = _medians(counts, numeric, small_group)
+        _add_spreads(counts, head, columns, numeric, strict_numbers)
+    finally:
+        counts.unpersist()
 
-    jobs = [
-        lambda: _distinct_and_top(head, columns),
-        lambda: _samples(near, columns),
-        *[lambda f=f: {r["position"]: r.asDict() for r in f.collect()}
-          for f in _facts(head, columns, strict_numbers)],
-    ]
-    # Independent jobs with tiny results: run side by side, they fill each other's idle cores.
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        values, samples, *facts = list(pool.map(lambda job: job(), jobs))
-    found = {i: r for part in facts for i, r in part.items()}
-    for i, r in found.items():
-        r |= values.get(i, {"distinct_count": 0, "top": []})
-        r["samples"] = samples.get(i, [])
-    names = [name for name, _ in fields(_RULE_SCHEMA)]
-    facts = local_frame(df.sparkSession, [(i, *(r[n] for n in names[1:])) for i, r in found.items()], _RULE_SCHEMA)
-    for r in with_types(facts).collect():
-        found[r["position"]] |= {n: r[n] for n in ("detected_type", "confidence", "invalid_count")}
-
-    numeric = [i for i, r in found.items() if r["detected_type"] == NUMERIC]
     sparse = [i for i, r in found.items() if len(r["samples"]) < min(_SAMPLES, r["m"])]
     if sparse:
         late = _samples(head, [columns[i] for i in sparse])
         for slot, rows in late.items():
             found[sparse[slot]]["samples"] = rows
     texts = _texts_at(head, columns, found)
-    medians = _medians(head, columns, numeric, found, strict_numbers, small_group)
 
     records = [_record(name, i, found.get(i), medians.get(i), texts) for i, name in enumerate(columns)]
     return local_frame(df.sparkSession, records, PROFILE_SCHEMA)
 
 
-def _medians(head, columns, numeric: list[int], found: dict, strict_numbers: bool, small_group: int) -> dict:
-    if not numeric:
-        return {}
-    by_kind = C.kinds(head, columns)
-    exprs = {columns[i]: C.parse_number(C.col(columns[i]), by_kind[columns[i]], strict_numbers) for i in numeric}
+def _medians(counts: DataFrame, numeric: dict[int, dict], small_group: int) -> dict[int, float]:
     bounds = [
-        {"column": columns[i], "n": found[i]["n_num"], "low": found[i]["num_min"], "high": found[i]["num_max"]}
-        for i in numeric
+        {"position": i, "n": r["n_num"], "rows": r["num_rows"], "low": r["num_min"], "high": r["num_max"]}
+        for i, r in numeric.items()
     ]
-    stats = column_order_statistics(head, exprs, {"median": MEDIAN}, bounds, small_group)
-    return {i: stats[columns[i]]["median"] for i in numeric}
+    stats = order_statistics(counts, ["position"], "num", {"median": MEDIAN}, bounds, small_group, weight="n")
+    return {i: found["median"] for (i,), found in stats.items()}
+
+
+def _add_spreads(counts: DataFrame, head: DataFrame, columns: list[str], numeric: dict[int, dict], strict_numbers: bool) -> None:
+    """Add ``num_stddev``: from the counted cells by their distances from the mean, from the cells where no double holds their sum."""
+    by_kind = C.kinds(head, columns)
+    means, wide = [], []
+    for i, r in numeric.items():
+        if math.isfinite(r["num_mean"]):
+            means.append((i, r["num_mean"]))
+        else:
+            number = C.parse_number(C.col(columns[i]), by_kind[columns[i]], strict_numbers)
+            wide.append(F.stddev_samp(number).alias(str(i)))
+    if means:
+        known = F.broadcast(local_frame(counts.sparkSession, means, "position int, mean double"))
+        away = F.col("num") - F.col("mean")
+        for r in counts.join(known, "position").groupBy("position").agg(F.sum(away * away * F.col("n")).alias("squares")).collect():
+            n = numeric[r["position"]]["n_num"]
+            numeric[r["position"]]["num_stddev"] = math.sqrt(r["squares"] / (n - 1)) if n > 1 else None
+    if wide:
+        for i, spread in head.agg(*wide).first().asDict().items():
+            numeric[int(i)]["num_stddev"] = spread
 
 
 def _texts_at(head: DataFrame, columns: list[str], found: dict) -> dict:
@@ -305,7 +308,7 @@ def _record(name: str, position: int, row, median, texts: dict) -> tuple:
     samples = [texts[position, s[ROW]][0] for s in row["samples"]]
     is_numeric = row["detected_type"] == NUMERIC
     is_date = row["detected_type"] == DATE
-    numbers = [row["num_min"], row["num_max"], row["num_mean"], median, row["num_stddev"]]
+    numbers = [row["num_min"], row["num_max"], row["num_mean"], median, row.get("num_stddev")]
     return (
         name,
         position,

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tabsight.operators.outliers import outliers
-from tabsight.operators.profile import column_types, profile
+from tabsight.operators.profile import cell_counts, column_types, profile
 from tabsight.operators.profile_many import profile_datasets
 from tabsight.operators.quality import duplicate_rows, findings, missing_cells, quality
 from tabsight.operators.order_stats import MEDIAN, floor_index, linear, order_statistics, upper_middle
@@ -75,6 +75,43 @@ def test_sample_limit_and_late_samples(numbered):
     assert full["late"]["numeric_median"] == 4.5
 
 
+def test_equal_cells_are_read_once(numbered, spark):
+    """What a profile reads of cells comes from one row for each distinct cell, and counts every one of them."""
+    cells = [" 12 ", "12", "N/A", None, "x" * 70, "X" * 70, "2024-01-05", "yes", "12 ", "1e400"]
+    df = numbered("a b", [(cells[i % len(cells)], str(i % 3)) for i in range(3_000)]).withColumn("k", (F.col("_row") % 4).cast("double"))
+    counts = cell_counts(df, ["a", "b", "k"])
+    assert counts.count() == len(cells) - 1 + 3 + 4  # the long texts are one value
+    sums = {r["position"]: r for r in counts.groupBy("position").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("present").cast("int")).alias("m")).collect()}
+    assert [(sums[i]["n"], sums[i]["m"]) for i in range(3)] == [(3_000, 2_400), (3_000, 3_000), (3_000, 3_000)]
+    rows = records(profile(df, small_group=2))
+    assert (rows["a"]["non_missing_count"], rows["a"]["missing_count"], rows["a"]["distinct_count"]) == (2_400, 600, 5)
+    assert [tuple(t) for t in rows["a"]["top_values"]][:2] == [("12", 900), ("x" * 70, 600)]
+    plain = df.agg(*[f(c) for c in ("b", "k") for f in (F.avg, F.stddev_samp, F.median)]).first()
+    for at, c in enumerate(("b", "k")):
+        found = [rows[c][f"numeric_{n}"] for n in ("mean", "stddev", "median")]
+        assert found == pytest.approx(plain[3 * at : 3 * at + 3], rel=1e-12)
+
+
+def test_numbers_whose_sum_no_double_holds(spark):
+    df = spark.createDataFrame([(1e308, 2.0), (1.1e308, 2.0), (1.2e308, None), (None, float("nan"))], "a double, b double")
+    rows = records(profile(df))
+    plain = df.agg(F.stddev_samp("a")).first()[0]
+    assert rows["a"]["numeric_median"] == 1.1e308 and rows["a"]["numeric_stddev"] == pytest.approx(plain, nan_ok=True)
+    assert rows["b"]["non_missing_count"] == 3 and rows["b"]["distinct_count"] == 2
+
+
+def test_weighted_order_statistics(spark):
+    """A row that counts w times is w rows, with wide and narrow searches."""
+    rng = random.Random(5)
+    rows = [(g, float(rng.choice([1, 2, 2.5, 7, 1e6, -3])) if g else 4.0, rng.randint(1, 9)) for g in range(3) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g int, v double, w int")
+    each = spark.createDataFrame([(g, v) for g, v, w in rows for _ in range(w)], "g int, v double")
+    wanted = {"median": MEDIAN, "q1": linear(0.25), "q9": floor_index(0.9), "up": upper_middle}
+    plain = order_statistics(each, ["g"], "v", wanted)
+    assert order_statistics(df, ["g"], "v", wanted, weight="w") == plain
+    assert order_statistics(df, ["g"], "v", wanted, small_group=3, bins=4, weight="w") == plain
+
+
 def test_empty_table(numbered):
     rows = records(profile(numbered("a b", [])))
     assert rows["a"]["detected_type"] == "text" and rows["b"]["non_missing_count"] == 0
