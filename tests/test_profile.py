@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tabsight.operators.outliers import outliers
-from tabsight.operators.profile import cell_counts, column_types, profile
+from tabsight.operators.profile import cell_counts, column_types, distinct_estimates, distinct_sketches, merge_sketches, profile
 from tabsight.operators.profile_many import profile_datasets
 from tabsight.operators.quality import duplicate_rows, findings, missing_cells, quality
 from tabsight.operators.order_stats import MEDIAN, floor_index, linear, order_statistics, upper_middle
@@ -112,6 +112,16 @@ def test_weighted_order_statistics(spark):
     assert order_statistics(df, ["g"], "v", wanted, small_group=3, bins=4, weight="w") == plain
 
 
+def test_sketches_make_no_row_for_a_cell(spark):
+    df = spark.range(300).select(*[(F.col("id") % (i + 1)).cast("string" if i % 2 else "long").alias(f"c{i}") for i in range(40)])
+    sketches = distinct_sketches(df)
+    assert "Expand" not in sketches._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["column"]: (r["position"], r["distinct_estimate"]) for r in distinct_estimates(sketches).collect()}
+    assert found == {f"c{i}": (i, i + 1) for i in range(40)}
+    none = distinct_sketches(df.filter("c0 < 0"), ["c3"])
+    assert [r["distinct_estimate"] for r in distinct_estimates(merge_sketches(none, distinct_sketches(df, ["c3"]))).collect()] == [4]
+
+
 def test_empty_table(numbered):
     rows = records(profile(numbered("a b", [])))
     assert rows["a"]["detected_type"] == "text" and rows["b"]["non_missing_count"] == 0
